@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -162,3 +162,10 @@ def batches(rows: Iterable[pa.RecordBatch], limit: int = 2000) -> Iterator[pa.Re
     for batch in rows:
         for i in range(0, batch.num_rows, limit):
             yield batch.slice(i, limit)
+
+
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows of df (2 * n at most), the same for the same rows: those of the lowest hashes of key."""
+    total = df.count()
+    share = 1.0 if total <= n else n / total
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * n)

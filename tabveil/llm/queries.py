@@ -2,18 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe, chat, containment, language_id, neighbours, pii, toxicity
 from .near_dedup import near_duplicates
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held_out():
+    return F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(RANKS)
+    both = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
+    counts = [F.size(F.filter("pii_base", lambda x: x.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    made = chat.format_conversations(turns.unionByName(extra)).select("conv_id", "formatted").withColumn("turns", chat.read_back(F.col("formatted")))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t.role, F.lit("")), F.lit("\n"), t.text, F.lit("\n"))), "")
+    made = made.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), text.alias("said"), F.array_join(F.transform(F.filter("turns", lambda t: t.loss), lambda t: t.text), "").alias("loss"))
+    return made.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = docs.join(_read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where(~_held_out())
+    scored = toxicity.score(docs, toxicity.learn(labelled))
+    score = F.col("tox_score")
+    return scored.select("doc_id", _held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("tox_passages").alias("n_passages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs.where(~_held_out())))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op10_language)}
+def _chat_sql() -> str:
+    """op6 in DuckDB: texts are escaped, marks counted by role, digests taken of the turns in order."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    t = chat.DEFAULT
+    escaped = f"replace(text, '{chat.ESCAPE}', '{chat.ESCAPE}0')"
+    for c in t.controls:
+        escaped = f"replace({escaped}, {quote(c)}, {quote(c[0] + chat.ESCAPE + '1' + c[1:])})"
+    marks = " ".join(f"WHEN {quote(r)} THEN {len(a) + len(b)}" for r, (a, b) in t.marks.items())
+    loss = ", ".join(map(quote, t.loss))
+    said = "'</s>[INST] ok [/INST]'"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn::int AS turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', {said}), (-7, 1, 'assistant', {said}))
+SELECT conv_id, count(*)::bigint AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role IN ({loss})), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role IN ({loss})), '')) AS loss_sha256,
+  sum(length({escaped}) + CASE role {marks} END)::bigint AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_chat": _chat_sql()}
