@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -176,26 +176,45 @@ class Encoder:
     """Splits texts by a pattern and encodes the pieces, remembering those seen last."""
 
     def __init__(self, words: Vocabulary, pattern: str) -> None:
-        self.words, self.find, self.seen = words, regex.compile(pattern).findall, {}
-
-    def encode(self, texts: list[str | None], pass_chars: int = 1 << 21) -> Iterable[list[int]]:
+        self.words, self.find = words, regex.compile(pattern).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}  # of a piece, in the arrays below
+        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        lists = self.words.merge([p.encode("utf-8", "surrogatepass") for p in pieces])
+        length = np.array([len(x) for x in lists], dtype=np.int64)
+        start = len(self.flat) + np.cumsum(length) - length
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(length.sum()))])
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+
+    def encode(self, texts: list[str | None], pass_chars: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts end to end, number of ids of each), in the texts' order."""
         run: list[list[str]] = []
         size = 0
         for text in texts:
             run.append(self.find(text) if text else [])
             size += len(text or "")
             if size >= pass_chars:
-                yield from self._run(run)
+                yield self._run(run)
                 run, size = [], 0
-        yield from self._run(run)
-
-    def _run(self, run: list[list[str]]) -> Iterable[list[int]]:
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        new = [*set(chain.from_iterable(run)).difference(self.seen)]
-        self.seen.update(zip(new, self.words.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        for pieces in run:
-            yield [*chain.from_iterable(map(self.seen.__getitem__, pieces))]
+        yield self._run(run)
+
+    def _run(self, run: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        if new := [*set(chain.from_iterable(run)).difference(self.place)]:
+            self._learn(new)
+        pieces = np.array([len(p) for p in run], dtype=np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(run)), np.int64, int(pieces.sum()))
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        flat = self.flat[np.repeat(self.start[at] - ends[:-1], length) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(pieces)])]
+        return flat, np.diff(bounds)
 
 
 def read_ranks(path: str) -> bytes:
@@ -221,7 +240,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids:
     def run(rows):
         encoder = Encoder(vocabulary(shared.value), pattern)
         for batch in batches(rows, 1000):
-            found = pa.array(encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.list_(pa.int32()))
+            flats, lengths = zip(*encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()), strict=True)
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), found], [*others, ids])
 
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
@@ -236,8 +257,10 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded"
     def run(rows):
         tokens = vocabulary(shared.value).tokens
         for batch in batches(rows, 1000):
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            found = pa.array([b"".join(map(tokens.__getitem__, x)) if x else b"" for x in lists], pa.binary())
+            lists = batch.column(batch.schema.get_field_index(ids))
+            flat, lengths = lists.flatten().to_pylist() if lists.flatten().null_count else lists.flatten().to_numpy().tolist(), lists.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(lengths)
+            found = pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
