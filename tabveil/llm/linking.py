@@ -51,17 +51,21 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     """(node, component) of all nodes that have a link of 0.75 Jaccard similarity or more.
 
     signatures(node, tokens array<long>) must hold one row for each distinct set, texts(node, text) its text
-    (more rows are ignored). A node takes part only if threshold of its tokens occur elsewhere at all, so
+    (more nodes and repeated rows are ignored). A node takes part only if threshold of its tokens occur elsewhere at all, so
     unique texts leave after one shuffle of their tokens and their text is never moved.
 
     1. Star pass: each node is measured against one pivot, the smallest node that shares its most frequent
        token. Nodes linked to a pivot form its ball. A group of n near copies costs n pairs, not n * n.
-    2. Inverted join over balls: a ball posts the tokens of all its members once. Tokens are ordered from
-       the rarest on; of s shared tokens only the first s - threshold + 1 are posted, as any two balls that
-       share threshold tokens share one of these. Tokens within one ball alone drop out, so those of
-       large groups of copies do.
-    3. Pairs of balls in which members may still be linked by the triangle inequality (Jaccard distance
-       is a metric; all distances used are exact) are opened up and their members measured.
+    2. Spread pass: each node is measured against two pivots of each of its tokens, chosen by a hash, if these
+       are in other balls. So the copies that are too far from the first pivot join their group, at a number of
+       pairs in proportion to the postings.
+    3. Inverted join over balls: a ball posts the tokens of all its members once. Tokens that one component
+       alone holds drop out, so those of groups of copies do. The others are ordered from the rarest on; of s
+       tokens only the first s - threshold + 1 are posted, as any two balls that share threshold tokens share
+       one of these. Only balls of different components are paired.
+    4. Pairs of balls in which members may still be linked by the triangle inequality (Jaccard distance
+       is a metric; all distances used are exact) are opened up and their members measured, unless they are
+       in one component by then.
     """
     postings = signatures.select("node", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
@@ -69,7 +73,7 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     taking = scratch(shared.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("node"), "taking")
     shared = shared.join(taking, "node", "left_semi")
     signatures = scratch(signatures.join(taking, "node", "left_semi"), "signatures")
-    texts = scratch(texts.join(taking, "node", "left_semi"), "texts")
+    texts = scratch(texts.join(taking, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     hottest = shared.groupBy("node").agg(F.max(F.struct("c", "token")).alias("top")).select("node", F.col("top.token").alias("token"))
     pivots = hottest.groupBy("token").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -77,13 +81,22 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     star = scratch(measure(_matching(star, signatures, threshold), texts).where("linked"), "star")
     balls = star.select(F.col("a").alias("node"), F.col("b").alias("ball"), "dist")
 
-    posted = shared.join(balls.select("node", "ball"), "node", "left").select("token", F.coalesce("ball", "node").alias("ball")).distinct()
-    df = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = scratch(shared.select("node", "token").join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held")
+    at = F.struct(F.xxhash64("node"), "node", "ball")
+    ends = held.groupBy("token").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.min("ball").alias("first"), F.max("ball").alias("last")).where("first <> last")
+    ends = ends.select("token", F.explode(F.array("low", "high")).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.ball").alias("other"))
+    spread = held.join(ends, "token").where("ball <> other").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    spread = scratch(measure(_matching(spread, signatures, threshold), texts).where("linked"), "spread")
+    links = star.select("a", "b").unionByName(spread.select("a", "b"))
+    found = scratch(connected_components(links).withColumnRenamed("component", "group"), "found")
+
+    posted = held.join(found, "node", "left").select("token", "ball", F.coalesce("group", "node").alias("group")).distinct()
+    df = posted.groupBy("token").agg(F.count("*").alias("df"), F.min("group").alias("first"), F.max("group").alias("last")).where("first <> last").select("token", "df")
     posted = posted.join(df, "token")
     own = Window.partitionBy("ball")
     posted = posted.withColumn("s", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "token")))
-    posted = scratch(posted.where(F.col("r") <= F.col("s") - threshold + 1).select("token", "ball"), "posted")
-    pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.token = y.token and x.ball < y.ball")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b")).distinct()
+    posted = scratch(posted.where(F.col("r") <= F.col("s") - threshold + 1).select("token", "ball", "group"), "posted")
+    pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.token = y.token and x.ball < y.ball and x.group <> y.group")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b")).distinct()
     pairs = scratch(pairs, "pairs")
 
     radius = balls.groupBy("ball").agg(F.max("dist").alias("radius"))
@@ -92,7 +105,7 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     wide = sized.where("ra is not null or rb is not null").select("a", "b")
     lone = _matching(sized.where("ra is null and rb is null").select("a", "b"), signatures, threshold)
     centres = scratch(measure(lone.unionByName(wide), texts), "centres")
-    links = star.select("a", "b").unionByName(centres.where("linked").select("a", "b"))
+    links = links.unionByName(centres.where("linked").select("a", "b"))
 
     open_ = centres.where("not linked").join(ra, "a", "left").join(rb, "b", "left").where("(ra is not null or rb is not null) and dist <= 0.25 + coalesce(ra, 0) + coalesce(rb, 0) + 1e-9")
     open_ = scratch(open_.select("a", "b", "dist"), "open")

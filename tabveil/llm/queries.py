@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, containment, language_id, neighbours, pii, toxicity
+from . import bpe, chat, containment, language_id, neighbours, passages, pii, toxicity
 from .near_dedup import near_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,13 +70,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("tox_passages").alias("n_passages"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs.where(~_held_out())))
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op8_passages, op10_language)}
 def _chat_sql() -> str:
     """op6 in DuckDB: texts are escaped, marks counted by role, digests taken of the turns in order."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
