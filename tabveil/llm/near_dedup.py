@@ -51,3 +51,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps: one document of each component.
+
+    Rows that repeat a doc_id are one document and stay or go together.
+    """
+    found = near_duplicates(docs)
+    gone = scratch(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
