@@ -6,13 +6,18 @@ band keys with a threshold of one.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import scratch, shingles_of
+from ._shared import batches, passes, scratch, shingle_hashes, shingles_of
 from .components import connected_components
 
 
+#: Balls that share a token at most before their pairs must also share a rare shingle.
+HOT = 64
+
+
 def _measure(rows):
     """Exact sizes of intersection and union of two texts' shingle sets; the b side repeats in runs."""
     last, last_set = None, None
@@ -47,6 +52,34 @@ def _matching(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFr
     return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= threshold).drop("tokens_a", "tokens_b")
 
 
+def _shingled(rows):
+    for batch in batches(rows, 500):
+        nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for first, raws in passes(texts):
+            hashes, at, _ = shingle_hashes(raws)
+            own = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(len(raws))]
+            sizes = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[first : first + len(raws)], sizes), pa.int64()), pa.array(np.concatenate(own).astype(np.int64))], ["node", "shingle"])
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): balls of different groups with members(node, ball, group) whose rarest shingles meet.
+
+    Sets of similarity 0.75 or more share a shingle among the rarest floor(n / 4) + 1 of each, in any
+    order common to all. So a passage that thousands of texts hold pairs only those that consist of it mostly.
+    """
+    rows = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingled, "node long, shingle long")
+    rows = scratch(rows, "shingles")
+    df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("node")
+    rows = rows.join(df, "shingle").withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "shingle")))
+    rows = rows.where((F.col("r") <= F.floor(F.col("n") / 4) + 1) & (F.col("df") > 1)).select("node", "shingle")
+    rows = rows.join(members, "node").select("shingle", "ball", "group").distinct()
+    ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last")).where("first <> last").select("shingle")
+    rows = scratch(rows.join(ends, "shingle", "left_semi"), "rare")
+    return rows.alias("x").join(rows.alias("y"), F.expr("x.shingle = y.shingle and x.ball < y.ball and x.group <> y.group")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
+
+
 def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of all nodes that have a link of 0.75 Jaccard similarity or more.
 
@@ -62,7 +95,8 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     3. Inverted join over balls: a ball posts the tokens of all its members once. Tokens that one component
        alone holds drop out, so those of groups of copies do. The others are ordered from the rarest on; of s
        tokens only the first s - threshold + 1 are posted, as any two balls that share threshold tokens share
-       one of these. Only balls of different components are paired.
+       one of these. Only balls of different components are paired. Where more than HOT balls share a token,
+       as with a common passage, they are paired by their rarest shingles instead, which loses no link.
     4. Pairs of balls in which members may still be linked by the triangle inequality (Jaccard distance
        is a metric; all distances used are exact) are opened up and their members measured, unless they are
        in one component by then.
@@ -95,9 +129,12 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     posted = posted.join(df, "token")
     own = Window.partitionBy("ball")
     posted = posted.withColumn("s", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "token")))
-    posted = scratch(posted.where(F.col("r") <= F.col("s") - threshold + 1).select("token", "ball", "group"), "posted")
-    pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.token = y.token and x.ball < y.ball and x.group <> y.group")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b")).distinct()
-    pairs = scratch(pairs, "pairs")
+    posted = scratch(posted.where(F.col("r") <= F.col("s") - threshold + 1).select("token", "ball", "group", "df"), "posted")
+    crowded = posted.where(F.col("df") > HOT).select("ball", "group").distinct()
+    rare = _rare_pairs(held.select("node", "ball").distinct().join(crowded, "ball"), texts)
+    posted = posted.where(F.col("df") <= HOT)
+    pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.token = y.token and x.ball < y.ball and x.group <> y.group")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
+    pairs = scratch(pairs.unionByName(rare).distinct(), "pairs")
 
     radius = balls.groupBy("ball").agg(F.max("dist").alias("radius"))
     ra, rb = radius.select(F.col("ball").alias("a"), F.col("radius").alias("ra")), radius.select(F.col("ball").alias("b"), F.col("radius").alias("rb"))

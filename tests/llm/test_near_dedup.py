@@ -55,6 +55,15 @@ def test_chains_and_groups_of_near_copies(spark):
     assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
 
 
+def test_a_common_passage_pairs_no_others(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(80)
+    rows = [(i, " ".join(words(rng.randrange(10, 80)) + passage + words(rng.randrange(10)))) for i in range(250)]
+    rows += [(1000 + i, " ".join(passage + words(rng.randrange(1, 12)))) for i in range(40)]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
+
+
 def test_defined_edges(spark):
     rows = [(1, None, "x", 9), (2, "", "x", 9), (3, " \t\n ", "x", 9), (4, "Two WORDS", "x", 9), (5, "two words", "x", 9), (6, "a b c d e f", None, None), (6, "a b c d e f", None, None), (7, "w " * 50_000, "x", 9), (8, "w w w w w", "x", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, component long")
