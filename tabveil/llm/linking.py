@@ -73,11 +73,13 @@ def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     own = Window.partitionBy("node")
     rows = rows.join(df, "shingle").withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "shingle")))
-    rows = rows.where((F.col("r") <= F.floor(F.col("n") / 4) + 1) & (F.col("df") > 1)).select("node", "shingle")
-    rows = rows.join(members, "node").select("shingle", "ball", "group").distinct()
+    rows = rows.where((F.col("r") <= F.floor(F.col("n") / 4) + 1) & (F.col("df") > 1)).select("node", "shingle", "n", "r").join(members, "node")
     ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last")).where("first <> last").select("shingle")
     rows = scratch(rows.join(ends, "shingle", "left_semi"), "rare")
-    return rows.alias("x").join(rows.alias("y"), F.expr("x.shingle = y.shingle and x.ball < y.ball and x.group <> y.group")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
+    # at their first common shingle, what is left of both must hold the whole intersection
+    enough = "7 * (1 + least(x.n - x.r, y.n - y.r)) >= 3 * (x.n + y.n)"
+    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.shingle = y.shingle and x.node < y.node and x.group <> y.group and {enough}"))
+    return both.select(F.least("x.ball", "y.ball").alias("a"), F.greatest("x.ball", "y.ball").alias("b"))
 
 
 def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
