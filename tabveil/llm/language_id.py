@@ -208,7 +208,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
         for batch in batches(rows, 4000):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             pred, score = [], []
-            for first, raws in passes(texts, 8 << 20):
+            for first, raws in passes(texts, 4 << 20):
                 sums = label_texts(network, raws) if network else np.zeros((len(raws), 1))
                 for i, row in enumerate(sums):
                     text = texts[first + i]

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import _LOWER, batches, minhash_parameters, mix64, scratch, shingle_hashes
+from ._shared import _LOWER, PASS_BYTES, batches, minhash_parameters, mix64, scratch, shingle_hashes
 from .linking import linked_components
 
 #: Bands and rows of a band: two paragraphs of similarity 0.75 meet in no band with probability (1 - 0.75 ** 2) ** 12,
@@ -51,31 +51,40 @@ def _bands(hashes: np.ndarray, at: np.ndarray, params) -> np.ndarray:
     return out
 
 
+def _runs(batch: pa.RecordBatch, least: int):
+    """(doc, number, start, end) and bytes of the paragraphs of a batch, in runs of about PASS_BYTES."""
+    where, raws, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for k, start, end, line in _lines(text):
+            if end - start >= 2 * least - 1:
+                where.append((doc, k, start, end))
+                raws.append(line.encode("utf-8", "replace"))
+                size += len(raws[-1])
+                if size >= PASS_BYTES:
+                    yield where, raws
+                    where, raws, size = [], [], 0
+    if raws:
+        yield where, raws
+
+
 def _signed(least: int):
     def run(rows):
         params = minhash_parameters(BANDS * ROWS, 3)
         for batch in batches(rows, 1000):
-            where, raws = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, start, end, line in _lines(text):
-                    if end - start >= 2 * least - 1:
-                        where.append((doc, k, start, end))
-                        raws.append(line.encode("utf-8", "replace"))
-            if not raws:
-                continue
-            hashes, at, counts = shingle_hashes(raws)
-            long = np.flatnonzero(counts >= least)
-            if not len(long):
-                continue
-            sizes = np.diff(at)[long]
-            ends = np.cumsum(sizes)
-            own = hashes[np.repeat(at[:-1][long] - (ends - sizes), sizes) + np.arange(ends[-1])]
-            tokens = _bands(own, np.concatenate([[0], ends]), params).astype(np.int64)
-            where = [where[i] for i in long]
-            columns = [pa.array(c, pa.int64()) for c in zip(*where, strict=True)]
-            columns += [pa.array(counts[long], pa.int64()), pa.array([_node(raws[i]) for i in long], pa.int64())]
-            columns += [pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, BANDS), pa.int32()), pa.array(tokens.ravel()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "n_words", "node", "tokens"])
+            for where, raws in _runs(batch, least):
+                hashes, at, counts = shingle_hashes(raws)
+                long = np.flatnonzero(counts >= least)
+                if not len(long):
+                    continue
+                sizes = np.diff(at)[long]
+                ends = np.cumsum(sizes)
+                own = hashes[np.repeat(at[:-1][long] - (ends - sizes), sizes) + np.arange(ends[-1])]
+                tokens = _bands(own, np.concatenate([[0], ends]), params).astype(np.int64)
+                where = [where[i] for i in long]
+                columns = [pa.array(c, pa.int64()) for c in zip(*where, strict=True)]
+                columns += [pa.array(counts[long], pa.int64()), pa.array([_node(raws[i]) for i in long], pa.int64())]
+                columns += [pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, BANDS), pa.int32()), pa.array(tokens.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "n_words", "node", "tokens"])
 
     return run
 
