@@ -1 +1,5 @@
+"""Column functions."""
 
+from .keyed import gumbel, laplace, token, uniform
+
+__all__ = ["gumbel", "laplace", "token", "uniform"]
