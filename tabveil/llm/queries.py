@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, containment, language_id, neighbours, passages, pii, toxicity
+from . import bpe, chat, containment, language_id, neighbours, passages, pii, repeats, toxicity
 from .near_dedup import near_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,13 +74,19 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs.where(~_held_out())))
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op8_passages, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op8_passages, op9_suffix_dedup, op10_language)}
 def _chat_sql() -> str:
     """op6 in DuckDB: texts are escaped, marks counted by role, digests taken of the turns in order."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
