@@ -2,8 +2,8 @@
 
 A string of LENGTH bytes at i is keyed by the sampled position p(i) inside it (the cover), so equal strings are
 sampled at the same offset and meet under the name of what surrounds p. Sampled suffixes are named first; names that
-occur once drop out with all their strings. Of what is left, runs of strings whose surroundings are equal as a whole are
-settled by one name; only the remaining suffixes, at the ends of repeats, are compared one by one.
+occur once drop out with all their strings, and runs of strings that recur as a whole are settled by one name. What is
+left, at the ends of repeats, is named again in runs of BLOCK strings, and at last string by string.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from ._shared import POWERS, batches, mix64, prefix_hashes, scratch
 #: Bytes of a string that counts as repeated; bytes of a gram that the cover compares.
 LENGTH, GRAM = 400, 16
 #: The cover samples among the grams FIRST to FIRST + RANGE - 1 of a string, at LENGTH 400.
-FIRST, RANGE = 100, 150
+FIRST, RANGE = 60, 240
+#: Strings of a run when names are taken again; the last level is of single strings.
+BLOCKS = (8, 1)
 
 
 def cover(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,22 +90,47 @@ def _keyed(rows):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_key(r) for r in raws], pa.int64()), pa.array([len(r) for r in raws], pa.int64())], ["doc_id", "text", "key", "n_bytes"])
 
 
-def _strings(length: int):
-    """(h1, h2, key, at, sure) of each string of the runs that have to be compared one by one."""
+def _split(length: int, block: int):
+    """The runs of each text cut at multiples of block before p, named like the sampled positions."""
 
     def run(rows):
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches(rows, 100):
             for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = memoryview(_raw(text))
-                at = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
-                sure = np.concatenate([np.full(r["hi"] - r["lo"] + 1, r["sure"]) for r in runs])
-                h = np.frombuffer(b"".join([digest(raw[i : i + length]) for i in at.tolist()]), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(at), key)), pa.array(at), pa.array(sure, pa.bool_())], ["h1", "h2", "key", "at", "sure"])
+                raw = _raw(text)
+                out = []
+                for r in runs:
+                    p, lo, hi = r["p"], r["lo"], r["hi"]
+                    for k in range((p - hi) // block, (p - lo) // block + 1):
+                        first, last = p - k * block - block + 1, p - k * block
+                        a, b = max(first, lo), min(last, hi)
+                        out.append((key, p, a, b, r["sure"], digest(raw[last : first + length]), digest(raw[a : b + length], p - a)))
+                columns = [*zip(*out, strict=True)]
+                columns = [np.array(c, dtype=np.uint64).astype(np.int64) if k > 4 else np.array(c) for k, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "p", "lo", "hi", "sure", "name", "whole"])
 
     return run
 
 
+RUNS = "key long, p long, lo long, hi long, sure boolean, name long, whole long"
+
+
+def _settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) of named runs: those that recur as a whole, and one of each kind under a name of several kinds.
+
+    sure tells of a run that recurs already; it is kept as what others may equal.
+    """
+    rows = rows.withColumn("id", F.xxhash64("key", "lo", "p"))
+    again = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("name")
+    rows = scratch(rows.join(again, "name", "left_semi"), label)
+    one = F.min(F.struct("id", "key", "p", "lo", "hi")).alias("one")
+    kinds = rows.groupBy("name", "whole").agg(one, F.max("id").alias("b"), F.max("sure").alias("sure"))
+    kinds = scratch(kinds.select("name", "whole", "one.key", "one.p", "one.lo", "one.hi", (F.col("sure") | (F.col("one.id") != F.col("b"))).alias("sure")), f"{label}-kinds")
+    settled = rows.where("not sure").join(kinds.where("sure").select("name", "whole"), ["name", "whole"], "left_semi").select("key", "lo", "hi").distinct()
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    return settled, kinds.join(mixed, "name", "left_semi").select("key", "p", "lo", "hi", "sure")
+
+
 def _cut(length: int):
     """The spans that repeated strings cover, and what is left."""
 
@@ -136,27 +163,20 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if it is covered by a string of length bytes that also starts anywhere else in the input, the same
     text included; spans are the maximal runs that go, in bytes of the UTF-8 text, and kept is the rest. Null
     texts are empty; texts shorter than length keep all. Repeated rows are copies of each other and go whole. Other
-    columns are ignored. length must be 16 or more. Texts and surroundings are compared by 64-bit and strings by
-    128-bit digests.
+    columns are ignored. length must be 16 or more. Texts and strings are
+    compared by 64-bit digests under a 64-bit name.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = docs.mapInArrow(_keyed, "doc_id long, text string, key long, n_bytes long")
-    place = F.struct("key", "p")
-    sampled = scratch(docs.select("text").mapInArrow(_named(length), "key long, p long, lo long, hi long, name long, whole long"), "sampled")
-    again = sampled.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name")
-    sampled = scratch(sampled.join(again, "name", "left_semi"), "again")
-
-    wholes = sampled.groupBy("name", "whole").agg(F.min(F.struct("key", "p", "lo", "hi")).alias("a"), F.max(place).alias("b"))
-    wholes = scratch(wholes.select("name", "whole", "a.key", "a.lo", "a.hi", (F.struct("a.key", "a.p") != F.col("b")).alias("sure")), "wholes")
-    mixed = wholes.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    runs = wholes.join(mixed, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "sure")).alias("runs"))  # of one text
-    one = texts.select("key", "text").join(runs, "key").dropDuplicates(["key"])
-    strings = scratch(one.select("key", "text", "runs").mapInArrow(_strings(length), "h1 long, h2 long, key long, at long, sure boolean"), "strings")
-    where = F.struct("key", "at")
-    twice = strings.groupBy("h1", "h2").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.max("sure").alias("sure")).where("sure or a <> b").select("h1", "h2")
-    found = strings.where("not sure").join(twice, ["h1", "h2"], "left_semi").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    settled = sampled.join(wholes.where("sure").select("name", "whole"), ["name", "whole"], "left_semi").select("key", "lo", "hi").distinct()
-    gone = found.unionByName(settled).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))  # of one text
+    named = docs.select("text").mapInArrow(_named(length), "key long, p long, lo long, hi long, name long, whole long")
+    settled, left = _settle(scratch(named, "named").withColumn("sure", F.lit(False)), "again")
+    gone = settled
+    for block in BLOCKS:
+        runs = left.groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "sure")).alias("runs"))  # of one text
+        one = texts.select("key", "text").join(runs, "key").dropDuplicates(["key"])
+        settled, left = _settle(scratch(one.select("key", "text", "runs").mapInArrow(_split(length, block), RUNS), f"split-{block}"), f"again-{block}")
+        gone = gone.unionByName(settled)
+    gone = gone.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))  # of one text
 
     copies = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
     marks = scratch(gone.join(copies, "key", "full_outer"), "marks")
