@@ -15,7 +15,7 @@ from .components import connected_components
 
 
 #: Balls that share a token at most before their pairs must also share a rare shingle.
-HOT = 64
+HOT = 8
 
 
 def _measure(rows):

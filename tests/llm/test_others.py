@@ -1,0 +1,186 @@
+"""Neighbours, decontamination, personal data, chat, toxicity, language and the pipeline on small inputs."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tabveil.llm import chat, containment, language_id, neighbours, pii, queries, toxicity
+from tabveil.llm._shared import shingles_of
+
+from test_near_dedup import brute_force
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_neighbours_recall_ties_and_edges(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, dtype=float) for r in vectors.collect()}
+    found = {}
+    for r in queries.op2_neighbours(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert abs(r.score - np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())) < 1e-12
+    hits = 0
+    for q, rows in found.items():
+        best = sorted((np.sqrt(((x[q] - v) ** 2).sum()), i) for i, v in x.items() if i != q)[:10]
+        hits += len({i for _, i in best} & {i for _, i, _ in rows})
+    assert set(found) == {i for i in x if i % 100 == 0} and hits >= 9 * len(found)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [1.0, 1.0]), (3, [1.0, 1.0]), (4, None), (6, [0.0, 0.0]), (7, [1.0, None]), (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (10, [1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("x"))
+    assert [tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 3, 1.0), (0, 2, 5, 1.0)]
+    assert neighbours.nearest(df.limit(0), df).collect() == []
+
+
+def test_contamination_equals_brute_force(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng = random.Random(3)
+    more = []
+    for k, r in enumerate(items.collect()):
+        words = r.text.split()
+        cut = words[: int(len(words) * rng.choice([0.6, 0.8, 0.9]))]
+        more.append((10_000 + k, " ".join([f"x{rng.randrange(10**6)}" for _ in range(3000)] + cut)))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + more
+    sets = {r.item_id: shingles_of(r.text) for r in items.collect()}
+    want = set()
+    for d, t in rows:
+        own = shingles_of(t)
+        want |= {(d, i, len(s), len(s & own)) for i, s in sets.items() if 100 * len(s & own) >= 75 * len(s)}
+    got = containment.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
+
+
+def test_decontamination_edges(spark):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, None), (4, ""), (5, "Short ITEM"), (None, "z")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two THREE four five six y", "k"), (2, None, "k"), (3, "", "k"), (4, "short item", "k"), (5, "a short item more", None)], "doc_id long, text string, item_id string")
+    assert sorted((r.doc_id, r.item_id) for r in containment.contaminated(docs, items).collect()) == [(1, 1), (4, 5)]
+    kept = containment.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
+    assert containment.decontaminate(docs.limit(0), items).collect() == [] and containment.decontaminate(docs, items.limit(0)).count() == 5
+
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base(text):
+    out = []
+    for k, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, kind, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+@pytest.fixture(scope="module")
+def judge(spark):
+    return pii.train(spark)
+
+
+def test_personal_data(spark, judge):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("aZ09 .-@+()%_5:,é😀1234567890") for _ in range(rng.randrange(300)))) for i in range(400)]
+    rows += [(1000, None), (1001, ""), (1002, "w" * 100_000 + "@"), (1003, "1" * 100_000), (1004, "1.1.1.1 " * 3000), (1005, "a@b.c_d@e.f a@b.c.d@e.f"), (1006, "+1" + " (" * 40_000)]
+    rows += [(2000, "é 😀 call (212) 555-0199 or ann (at) example.com, ip 10[.]1[.]2[.]3; order 212-555-0199, noon at home. Then")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii_base", F.lit(1))
+    got = {r.doc_id: (r.b, r.s) for r in pii.find(df, judge).select("doc_id", pii.listed(F.col("pii_base")).alias("b"), pii.listed(F.col("pii_spans")).alias("s")).collect()}
+    assert all(got[i][0] == base(t) for i, t in rows)
+    assert all(set(filter(None, b.split(","))) <= set(s.split(",")) for b, s in got.values())
+    assert {"phone:9:23", "email:27:47", "ip:52:66"} <= set(got[2000][1].split(","))
+    out = {r.doc_id: r.text for r in pii.redact(df.where("doc_id in (1000, 1005, 2000)"), judge).collect()}
+    assert out[1000] is None and out[1005] == "[EMAIL][EMAIL] [EMAIL]@e.f" and out[2000].startswith("é 😀 call [PHONE] or [EMAIL], ip [IP]; ")
+    assert pii.find(df.limit(0), judge).collect() == []
+
+
+def test_chat_round_trip_and_machine(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, "x<<TEXT>>\ny"), (2, 1, "tool=<<TEXT>>", None), (2, 2, "null", "a␛1b␛0<<<SYS>>"), (2, 3, "assistant", " lead </s>\n"), (None, None, "user", ""), (3, 0, "assistant", "[[INST]]"), (3, 0, "assistant", "[[INST]]"), (4, 1, "user", "b" * 100_000), (4, 0, "system", "s"), (4, 2, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit(0))
+    out = {r.conv_id: r for r in chat.format_conversations(df).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    for conv, r in out.items():
+        own = sorted(((t is not None, t, ro is not None, ro, x or "") for c, t, ro, x in rows if c == conv), key=lambda v: (v[0], v[1] or 0, v[2], v[3] or "", v[4]))
+        assert [(b.role, b.text) for b in r.back] == [(ro, x) for *_, ro, x in own]
+        assert [b.text for b in r.back if b.loss] == [x for *_, ro, x in own if ro == "assistant"]
+    assert {c for c, r in out.items() if r.valid} == {1, 4}
+    assert chat.format_conversations(df.limit(0)).collect() == []
+
+
+def test_segments_equal_brute_force():
+    rng = random.Random(2)
+
+    def best(s, lo, hi):
+        top = max(((sum(s[i : j + 1]), -i, -j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0))
+        if top[0] <= 1e-12:
+            return []
+        i, j = -top[1], -top[2]
+        return best(s, lo, i) + [(i, j)] + best(s, j + 1, hi)
+
+    for _ in range(200):
+        s = np.array([rng.choice([0, 0, 0, rng.uniform(-2, 5)]) for _ in range(rng.randrange(1, 22))])
+        at = np.flatnonzero(s)
+        got = toxicity.segments(at, s[at] - 0.25, 0.25)
+        assert [(a, b) for a, b, _ in got] == best([x - 0.25 for x in s], 0, len(s))
+
+
+def test_toxicity_held_out_and_edges(spark):
+    found = queries.op7_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
+    r = found.agg(F.count_if(F.expr("toxic = 1 and predicted = 1")), F.count_if(F.expr("toxic = 1")), F.count_if(F.expr("predicted = 1")), F.min("score"), F.max("score")).first()
+    assert r[0] >= 0.8 * r[1] and r[0] >= 0.85 * r[2] and 0 <= r[3] and r[4] <= 1
+    df = spark.createDataFrame([(1, None, 1), (2, "", 0), (2, "", 0), (3, "a " * 100_000, None)], "doc_id long, text string, tox_score int")
+    model = toxicity.learn(df.select("doc_id", "text", F.col("tox_score").alias("toxic")))
+    assert [round(x.tox_score, 6) for x in toxicity.score(df, model).collect()] == [0.119203] * 4
+    assert toxicity.score(df.limit(0), model).collect() == []
+
+
+def test_gradients_and_language(spark):
+    net = language_id.Network.new(["a", "b", "c"])
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    data, lengths = language_id.matrix([b"abc", b"defgh", b"x"])
+    labels = np.array([0, 1, 2])
+    _, g = net.gradients(data, lengths, labels)
+    for k, at in (("uf", (3, 5)), ("ub", (2, 30)), ("xf", (ord("e"), 4)), ("xb", (ord("b"), 14)), ("v", (3, 1))):
+        old, two = net.w[k][at], []
+        for step in (1e-4, -1e-4):
+            net.w[k][at] = old + step
+            two.append(net.gradients(data, lengths, labels)[0])
+        net.w[k][at] = old
+        assert abs((two[0] - two[1]) / 2e-4 - g[k][at]) < 2e-5
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = queries.op10_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert found.where("lang = lang_pred").count() >= 0.97 * found.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found.collect())
+    df = spark.createDataFrame([(1, None, "en"), (2, "123 !!", "en"), (3, "x" * 100_000, None), (3, "x" * 100_000, None)], "doc_id long, text string, lang string")
+    net = language_id.learn(docs.limit(100))
+    assert [r.lang_pred == "und" and r.score == 0 for r in language_id.identify(df, net).collect()] == [True, True, False, False]
+    assert {r.lang_pred for r in language_id.identify(df, language_id.learn(df.limit(0))).collect()} == {"und"}
+
+
+def test_pipeline_stages_decide(spark, judge):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    state, kept = docs, [{r.doc_id for r in docs.select("doc_id").collect()}]
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "near_dedup", "decontamination", "pii", "bpe"]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        state = stage(spark, state, sf).persist()
+        assert state.columns == docs.columns
+        kept.append({r.doc_id for r in state.select("doc_id").collect()})
+    gone = kept[0] - kept[1]
+    assert sum(labels.get(i) == 1 for i in gone) >= 0.5 * sum(labels.values()) and sum(labels.get(i) == 0 for i in gone) <= 0.02 * len(labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    near = brute_force([(i, texts[i]) for i in sorted(kept[1])])
+    assert kept[2] == {i for i, (_, _, keep) in near.items() if keep}
+    items = [shingles_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert kept[3] == {i for i in kept[2] if not any(100 * len(s & shingles_of(texts[i])) >= 75 * len(s) for s in items)}
+    assert kept[4] == kept[3]
+    for r in state.select("doc_id", "text").collect():
+        if not base(texts[r.doc_id]):
+            continue
+        assert not base(r.text) or "[" in r.text
+    out = corpus_pipeline.STAGES[4][1](spark, state, sf)
+    assert out.where("not lossless").count() == 0 and out.count() == len(kept[4])
