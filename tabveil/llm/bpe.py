@@ -17,7 +17,7 @@ from ._shared import batches
 #: No such pair.
 NONE = np.int64(1 << 40)
 #: Cells of one matrix, and pieces whose ids a task remembers.
-CELLS, REMEMBERED = 1 << 19, 200_000
+CELLS, REMEMBERED = 1 << 18, 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,7 +191,7 @@ class Encoder:
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
 
-    def encode(self, texts: list[str | None], pass_chars: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str | None], pass_chars: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts end to end, number of ids of each), in the texts' order."""
         run: list[list[str]] = []
         size = 0
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids:
 
     def run(rows):
         encoder = Encoder(vocabulary(shared.value), pattern)
-        for batch in batches(rows, 1000):
+        for batch in batches(rows, 400):
             flats, lengths = zip(*encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()), strict=True)
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
             found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats)))
@@ -256,7 +256,7 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded"
 
     def run(rows):
         tokens = vocabulary(shared.value).tokens
-        for batch in batches(rows, 1000):
+        for batch in batches(rows, 400):
             lists = batch.column(batch.schema.get_field_index(ids))
             flat, lengths = lists.flatten().to_pylist() if lists.flatten().null_count else lists.flatten().to_numpy().tolist(), lists.value_lengths().fill_null(0).to_numpy()
             ends = np.cumsum(lengths)
