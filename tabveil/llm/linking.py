@@ -16,6 +16,8 @@ from .components import connected_components
 
 #: Balls that share a token at most before their pairs must also share a rare shingle.
 HOT = 8
+#: Pivots that a node is measured against in the spread pass.
+PIVOTS = 4
 
 
 def _measure(rows):
@@ -91,17 +93,17 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
 
     1. Star pass: each node is measured against one pivot, the smallest node that shares its most frequent
        token. Nodes linked to a pivot form its ball. A group of n near copies costs n pairs, not n * n.
-    2. Spread pass: each node is measured against two pivots of each of its tokens, chosen by a hash, if these
-       are in other balls. So the copies that are too far from the first pivot join their group, at a number of
-       pairs in proportion to the postings.
+    2. Spread pass: each node is measured against the pivots, chosen by a hash, of its PIVOTS most crowded tokens
+       whose pivots are in other balls. So most copies that are too far from the first pivot join their group, at a
+       number of pairs in proportion to the nodes.
     3. Inverted join over balls: a ball posts the tokens of all its members once. Tokens that one component
        alone holds drop out, so those of groups of copies do. The others are ordered from the rarest on; of s
        tokens only the first s - threshold + 1 are posted, as any two balls that share threshold tokens share
        one of these. Only balls of different components are paired. Where more than HOT balls share a token,
        as with a common passage, they are paired by their rarest shingles instead, which loses no link.
     4. Pairs of balls in which members may still be linked by the triangle inequality (Jaccard distance
-       is a metric; all distances used are exact) are opened up and their members measured, unless they are
-       in one component by then.
+       is a metric; all distances used are exact) are opened up and their members paired by their rarest
+       shingles, unless they are in one component by then.
     """
     postings = signatures.select("node", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
@@ -118,10 +120,12 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
     balls = star.select(F.col("a").alias("node"), F.col("b").alias("ball"), "dist")
 
     held = scratch(shared.select("node", "token").join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held")
-    at = F.struct(F.xxhash64("node"), "node", "ball")
-    ends = held.groupBy("token").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.min("ball").alias("first"), F.max("ball").alias("last")).where("first <> last")
-    ends = ends.select("token", F.explode(F.array("low", "high")).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.ball").alias("other"))
-    spread = held.join(ends, "token").where("ball <> other").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    low = F.min(F.struct(F.xxhash64("node"), "node", "ball"))
+    ends = held.groupBy("token").agg(low.alias("p"), F.min("ball").alias("first"), F.max("ball").alias("last"), F.count("*").alias("n")).where((F.col("first") != F.col("last")) & (F.col("n") > HOT))
+    ends = ends.select("token", F.col("p.node").alias("pivot"), F.col("p.ball").alias("other"), "n")
+    crowd = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "token"))
+    spread = held.join(ends, "token").where("ball <> other").withColumn("k", crowd).where(F.col("k") <= PIVOTS)
+    spread = spread.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     spread = scratch(measure(_matching(spread, signatures, threshold), texts).where("linked"), "spread")
     links = star.select("a", "b").unionByName(spread.select("a", "b"))
     found = scratch(connected_components(links).withColumnRenamed("component", "group"), "found")
@@ -152,11 +156,9 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
         found = connected_components(links)
         ca, cb = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         open_ = open_.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "dist")
-        member = balls.unionByName(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("ball"), F.lit(0.0).alias("dist")))
-        ma = member.select(F.col("ball").alias("a"), F.col("node").alias("x"), F.col("dist").alias("dx"))
-        mb = member.select(F.col("ball").alias("b"), F.col("node").alias("y"), F.col("dist").alias("dy"))
-        inner = open_.join(ma, "a").join(mb, "b").where("dist - dx - dy <= 0.25 + 1e-9 and dx + dy > 0 and x <> y")
-        inner = inner.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        inner = scratch(measure(_matching(inner, signatures, threshold), texts).where("linked").select("a", "b"), "inner")
+        ends = open_.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
+        member = balls.select("node", "ball").join(ends, "ball").select("node").unionByName(ends.select(F.col("ball").alias("node"))).distinct()
+        member = member.join(found, "node", "left").select("node", F.col("node").alias("ball"), F.coalesce("component", "node").alias("group"))
+        inner = scratch(measure(_rare_pairs(scratch(member, "members"), texts).distinct(), texts).where("linked").select("a", "b"), "inner")
         links = links.unionByName(inner)
     return connected_components(links)
