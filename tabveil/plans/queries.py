@@ -496,7 +496,7 @@ def date_sequence_inverse(spark, d):
 @query(
     "SELECT l_orderkey, "
     + ", ".join(f"max(CASE WHEN r = {k} THEN {c} END) AS {c}{k}" for k in range(1, 8) for c in ("l_returnflag", "l_quantity"))
-    + " FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) GROUP BY 1"
+    + " FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity)) GROUP BY 1"
 )
 def flatten_sequences(spark, d):
     first = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")).alias("x")
