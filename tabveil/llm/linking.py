@@ -18,6 +18,8 @@ from .components import connected_components
 HOT = 8
 #: Pivots that a node is measured against in the spread pass.
 PIVOTS = 4
+#: Of the shingles before it in its prefix, a posted one carries this many, the last.
+PRIOR = 16
 
 
 def _measure(rows):
@@ -69,6 +71,10 @@ def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     Sets of similarity 0.75 or more share a shingle among the rarest floor(n / 4) + 1 of each, in any
     order common to all. So a passage that thousands of texts hold pairs only those that consist of it mostly.
+
+    A posted shingle carries a few of those before it. Two texts with one of these in common have met there, and are
+    skipped; at their first common shingle they never are, so each pair is met at least once. A ball posts a
+    shingle once, with bounds that hold for each of its members and what they all carry alike.
     """
     rows = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingled, "node long, shingle long")
     rows = scratch(rows, "shingles")
@@ -77,11 +83,15 @@ def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.join(df, "shingle").withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "shingle")))
     rows = rows.where((F.col("r") <= F.floor(F.col("n") / 4) + 1) & (F.col("df") > 1)).select("node", "shingle", "n", "r").join(members, "node")
     ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last")).where("first <> last").select("shingle")
-    rows = scratch(rows.join(ends, "shingle", "left_semi"), "rare")
+    prior = F.collect_list("shingle").over(own.orderBy("r").rowsBetween(-PRIOR, -1))
+    rows = rows.join(ends, "shingle", "left_semi").withColumn("prior", prior)
+    least, most = F.min("prior"), F.max("prior")
+    rows = rows.groupBy("shingle", "ball").agg(F.min("group").alias("group"), F.min("n").alias("n"), F.max(F.col("n") - F.col("r")).alias("room"), F.when(least == most, least).otherwise(F.array().cast("array<bigint>")).alias("prior"))
+    rows = scratch(rows, "rare")
     # at their first common shingle, what is left of both must hold the whole intersection
-    enough = "7 * (1 + least(x.n - x.r, y.n - y.r)) >= 3 * (x.n + y.n)"
-    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.shingle = y.shingle and x.node < y.node and x.group <> y.group and {enough}"))
-    return both.select(F.least("x.ball", "y.ball").alias("a"), F.greatest("x.ball", "y.ball").alias("b"))
+    enough = "7 * (1 + least(x.room, y.room)) >= 3 * (x.n + y.n)"
+    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.shingle = y.shingle and x.ball < y.ball and x.group <> y.group and {enough} and not arrays_overlap(x.prior, y.prior)"))
+    return both.select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
 
 
 def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
