@@ -2,6 +2,7 @@ import itertools
 import random
 
 from tabveil.llm._shared import shingles_of
+from tabveil.llm.linking import _rare_pairs
 from tabveil.llm.near_dedup import near_duplicates
 
 SF = "/root/testdata/sf0.001/documents.parquet"
@@ -76,3 +77,28 @@ def test_null_ids_take_their_class(spark):
     df = spark.createDataFrame([(None, "a b c d e f g"), (3, "a b c d e f g"), (None, "other text")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates(df).collect()}
     assert got == {(3, 3): (3, True), (None, 3): (3, False), (None, 1): (None, True)}
+
+
+def test_rare_pairs_lose_no_linked_pair_of_balls(spark):
+    rng = random.Random(11)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (12, 40, 150)]
+    shared = [f"s{i}" for i in range(30)]
+    texts = []
+    for k in range(90):
+        words = list(bases[k % 3])
+        for _ in range(rng.randrange(1 + len(words) // 25)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(words + shared * (k % 4 == 0)))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    # balls of one to several members, at random; a ball is its own group
+    ball = [rng.choice([k, k % 20]) for k in range(len(texts))]
+    members = spark.createDataFrame([(k, b, b) for k, b in enumerate(ball)], "node long, ball long, group long")
+    sets = [shingles_of(t) for t in texts]
+    expected = {
+        (min(ball[x], ball[y]), max(ball[x], ball[y]))
+        for x in range(len(sets))
+        for y in range(x)
+        if ball[x] != ball[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+    }
+    found = {(r.a, r.b) for r in _rare_pairs(members, nodes).distinct().collect()}
+    assert expected and expected <= found
