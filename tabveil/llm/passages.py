@@ -1,13 +1,13 @@
-"""Substring dedup: paragraphs that recur nearly word for word, by MinHash banding."""
+"""Substring dedup: paragraphs that recur nearly word for word, by MinHash banding, and runs of words that recur anywhere."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import _LOWER, PASS_BYTES, batches, minhash_parameters, mix64, scratch, shingle_hashes
+from ._shared import _LOWER, _SPACE_LUT, PASS_BYTES, SHINGLE, batches, minhash_parameters, mix64, passes, scratch, shingle_hashes
 from .linking import linked_components
 
 #: Bands and rows of a band: two paragraphs of similarity 0.75 meet in no band with probability (1 - 0.75 ** 2) ** 12,
@@ -122,3 +122,121 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     rows = rows.join(clusters, "component")
     kept = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.paragraph") == F.col("paragraph"))
     return rows.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.paragraph").alias("keeper_paragraph"), kept.alias("kept"))
+
+
+#: Words of the grams that are sampled: each window of WINDOW words posts its least gram, so equal windows post the same one.
+GRAM = 8
+
+
+def _word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word, its start and end in code points, and the number of line feeds before it."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    edge = np.diff(_SPACE_LUT[data].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    ends = ends[len(ends) - len(starts) :]
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return points[starts], points[ends], np.searchsorted(np.flatnonzero(data == 10), starts)
+
+
+def _joined(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words, from those of their shingles."""
+    n = max(0, len(shingles) - words + SHINGLE)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in (*range(0, words - SHINGLE, SHINGLE), words - SHINGLE):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + shingles[k : k + n])
+    return out
+
+
+def _least_grams(shingles: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams, and for each window of words the place of its least gram (the first of equal ones)."""
+    grams = _joined(shingles, GRAM)
+    wide = np.lib.stride_tricks.sliding_window_view(mix64(grams), window - GRAM + 1)
+    least = np.empty(len(wide), dtype=np.int64)
+    for i in range(0, len(wide), PASS):
+        least[i : i + PASS] = wide[i : i + PASS].argmin(axis=1)
+    return grams, least + np.arange(len(wide))
+
+
+def _streams(ids: list, texts: list, window: int):
+    """(id, raw bytes, shingle hashes) of the texts of window words or more, in runs of about PASS_BYTES."""
+    for first, raws in passes(texts):
+        hashes, at, counts = shingle_hashes(raws)
+        for i in np.flatnonzero(counts >= window):
+            yield ids[first + i], raws[i], hashes[at[i] : at[i + 1]]
+
+
+def _posted(window: int):
+    def run(rows):
+        for batch in batches(rows, 500):
+            docs, keys = [], []
+            for doc, _, shingles in _streams(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
+                grams, least = _least_grams(shingles, window)
+                own = grams[np.unique(least)]
+                docs.append(np.full(len(own), doc, dtype=np.int64))
+                keys.append(own.astype(np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys))], ["text_id", "gram"])
+
+    return run
+
+
+def _candidates(window: int):
+    def run(rows):
+        for batch in batches(rows, 100):
+            known = dict(zip(batch.column(0).to_pylist(), batch.column(2), strict=True))
+            out = []
+            for doc, raw, shingles in _streams(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
+                grams, least = _least_grams(shingles, window)
+                seen = known[doc].values.to_numpy().view(np.uint64)
+                at = np.flatnonzero(np.isin(grams, seen)[least])
+                starts, ends, lines = _word_bounds(raw)
+                span = (starts[at] << 32) | ends[at + window - 1]
+                out.append((np.full(len(at), doc, dtype=np.int64), (at << 32) | lines[at], span, _joined(shingles, window)[at].astype(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["text_id", "place", "span", "h"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, window: int = LEAST_WORDS) -> DataFrame:
+    """The runs of words of docs(doc_id, text) that occur more than once word for word, wherever they begin.
+
+    Columns as of repeated_passages; paragraph and keeper_paragraph are the lines where the run and its keeper begin.
+    A text is one stream of words, so a run may lie inside a line or cross lines. Each window of so many words that occurs in
+    two places has as keeper the smallest (doc_id, place) of them, and a row is a maximal run of such windows whose keepers
+    lie in one text, those that are kept apart from the others. So every word of a repeated window is in a row; a copy with
+    words changed has a row for each stretch of window words or more between the changes. Rows that repeat a doc_id and
+    text count once.
+
+    1. Each window posts its least gram: texts that share a window share that gram. Only windows whose gram
+       occurs twice go on.
+    2. Those windows are counted by their hash, and runs are made of the ones that recur.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.where("text is not null").withColumn("text_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    posted = scratch(docs.select("text_id", "text").mapInArrow(_posted(window), "text_id long, gram long"), "grams")
+    twice = posted.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    held = posted.join(twice, "gram").groupBy("text_id").agg(F.collect_list("gram").alias("grams"))
+    taken = docs.select("text_id", "doc_id", "text").join(held, "text_id").dropDuplicates(["text_id"])
+    found = scratch(taken.select("text_id", "text", "grams").mapInArrow(_candidates(window), "text_id long, place long, span long, h long"), "windows")
+    ids = scratch(docs.select("text_id", "doc_id").distinct(), "ids")
+    found = found.join(ids, "text_id")
+    low = F.min(F.struct("doc_id", "text_id", "place"))
+    firsts = found.groupBy("h").agg(low.alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper")
+    rows = found.join(firsts, "h").withColumn("at", F.shiftright("place", 32))
+    rows = rows.withColumn("keeper_id", F.col("keeper.text_id")).withColumn("kept", (F.col("text_id") == F.col("keeper.text_id")) & (F.col("place") == F.col("keeper.place")))
+    run = F.row_number().over(Window.partitionBy("text_id", "keeper_id", "kept").orderBy("at"))
+    rows = rows.withColumn("run", F.col("at") - run)
+    first, last = F.min(F.struct("at", "place", "span", "keeper")), F.max(F.struct("at", "span"))
+    rows = rows.groupBy("text_id", "doc_id", "keeper_id", "kept", "run").agg(first.alias("first"), last.alias("last"))
+    low32 = lambda x: F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))
+    return rows.select(
+        "doc_id",
+        low32("first.place").alias("paragraph"),
+        F.shiftright("first.span", 32).alias("start"),
+        low32("last.span").alias("end"),
+        (F.col("last.at") - F.col("first.at") + window).alias("n_words"),
+        F.col("first.keeper.doc_id").alias("keeper_doc_id"),
+        low32("first.keeper.place").alias("keeper_paragraph"),
+        "kept",
+    )

@@ -71,7 +71,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return passages.repeated_passages(docs).unionByName(passages.repeated_spans(docs))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
