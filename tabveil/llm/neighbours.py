@@ -13,8 +13,8 @@ from ._shared import batches, hash_sample, scratch
 
 #: Centroids of each half, vectors to fit them on, rounds of fitting, vectors of one block of a cell.
 CENTROIDS, TRAIN, ROUNDS, BLOCK = 32, 20_000, 12, 2048
-#: A query's traversal ends when its cells hold this share of the distinct vectors, and this many at least.
-SHARE, LEAST = 0.45, 4000
+#: A query's traversal ends when its cells hold this share of the distinct vectors, whatever their number.
+SHARE = 0.8
 
 
 def _fit_half(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def _vectors(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries, k near vectors by Euclidean distance, nearest first.
 
     Both tables hold vec_id and embedding (an array of numbers). Vectors that are null, zero, or hold a null
@@ -98,7 +98,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     posted = scratch(rows.mapInArrow(post, "vec_id long, cell int, embedding array<double>"), "posted")
     cells = posted.groupBy("cell", F.xxhash64("embedding").alias("h")).agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
     index.counts = {r.cell: r.distinct for r in cells}  # centroids squared at most; copies don't end a traversal early
-    wanted = max(least, int(share * sum(index.counts.values())))
+    wanted = max(k + 1, int(share * sum(index.counts.values())))
     in_blocks = {r.cell: -(-r.n // BLOCK) for r in cells}
 
     def ask(batches_):

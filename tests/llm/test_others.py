@@ -34,6 +34,25 @@ def test_neighbours_recall_ties_and_edges(spark):
     assert neighbours.nearest(df.limit(0), df).collect() == []
 
 
+@pytest.mark.parametrize("n, hot", [(2_000, False), (12_000, False), (12_000, True)])
+def test_neighbours_recall_at_any_size(spark, n, hot):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if hot:
+        x[: n // 3] = x[0] + 0.02 * rng.standard_normal((n // 3, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, df.where(f"vec_id % {n // 60} = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, ids in found.items():
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(ids & set(np.argpartition(far, 10)[:10].tolist()))
+    assert len(found) >= 60 and hits >= 9.5 * len(found)
+
+
 def test_contamination_equals_brute_force(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     rng = random.Random(3)
