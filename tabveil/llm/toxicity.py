@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._shared import batches, hash_sample
 
-#: Labelled documents to learn from, tokens of the lexicon at most, least |z| of a token in it.
-TRAIN_DOCS, LEXICON, LEAST_Z = 16_000, 20_000, 4.0
+#: Labelled documents to learn from, tokens of the lexicon at most.
+TRAIN_DOCS, LEXICON = 16_000, 20_000
+#: Least |z| of a token of the lexicon: the one of these that predicts best across folds of the training rows.
+LEAST_Z, FOLDS = (4.0, 3.0, 2.5, 2.0, 1.5), 4
 #: Weight of the Dirichlet prior as a share of the counts, cost of a token outside the lexicon, bound of a token's score.
 PRIOR, DRIFT, BOUND = 0.1, 0.25, 6.0
 #: Expected number of chance segments of a passage's score in a document, at most.
@@ -95,63 +97,97 @@ def _decay(scores: np.ndarray, share: np.ndarray, rest: float) -> float:
 
 
 def _words(rows):
-    """(label, word) for each distinct word of each document."""
+    """(fold, label, word) for each distinct word of each document."""
     for batch in batches(rows, 500):
-        labels, words = [], []
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        folds, labels, words = [], [], []
+        for fold, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = set(tokens(text))
             words += own
+            folds += [fold] * len(own)
             labels += [toxic] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.string())], ["toxic", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), pa.array(labels, pa.int32()), pa.array(words, pa.string())], ["fold", "toxic", "word"])
+
+
+def _lexicons(counts: DataFrame, without: int) -> list[Model]:
+    """One uncalibrated model for each of LEAST_Z, from the counts of all folds but one (-1: of all)."""
+    folds = [f for f in range(FOLDS) if f != without]
+    counts = counts.select("word", *(sum((F.col(f"{y}_{f}") for f in folds[1:]), F.col(f"{y}_{folds[0]}")).alias(y) for y in ("y1", "y0"))).where("y1 + y0 > 0")
+    n1, n0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
+    if not n1 or not n0:
+        return [Model({}) for _ in LEAST_Z]
+    prior = F.col("a")
+    odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR * (n1 + n0) - F.col(y) - prior))
+    scored = counts.withColumn("a", PRIOR * (F.col("y1") + F.col("y0")))
+    scored = scored.withColumn("d", odds("y1", n1) - odds("y0", n0)).withColumn("z", F.abs(F.col("d") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))))
+    found = scored.where(F.col("z") >= min(LEAST_Z)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "d", "y0", "z").collect()
+    out = []
+    for least in LEAST_Z:
+        own = [x for x in found if x.z >= least]
+        model = Model({x.word: float(np.clip(x.d, -BOUND, BOUND)) for x in own})
+        if not any(s > DRIFT for s in model.lexicon.values()):
+            model = Model({})
+        else:
+            share = np.array([x.y0 for x in own]) / n0
+            model.rate = _decay(np.array([*model.lexicon.values()]), share, 1 - share.sum())
+        out.append(model)
+    return out
+
+
+def _calibrate(model: Model, seen: list) -> float:
+    """Sets scale, offset and slope from rows (toxic, n, scores in units of the rate); the log loss that is left."""
+    clean = [r for r in seen if r.toxic == 0 and r.n]
+    chance = sum(r.n * np.exp(-max(r.s, default=0.0)) for r in clean)
+    model.scale = len(clean) / chance if chance else 1.0
+    unit = Model({}, scale=model.scale)
+    x = np.array([unit.surprise(r.n, [(0, 0, s) for s in r.s]) for r in seen])
+    y = np.array([float(r.toxic) for r in seen])
+    weights = np.zeros(2)
+    design = np.stack([np.ones_like(x), x], axis=1)
+    for _ in range(40):  # Newton steps with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
+        h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
+        weights += np.clip(np.linalg.solve(h, design.T @ (y - p) - 1e-2 * weights), -3, 3)
+    model.offset, model.slope = map(float, weights)
+    p = np.clip(1 / (1 + np.exp(-np.clip(design @ weights, -30, 30))), 1e-6, 1 - 1e-6)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on labelled(doc_id, text, toxic 0/1), about train_docs rows of it, chosen by a hash of doc_id.
 
     Equal texts count once. A token's score is its log-odds ratio between the classes' counts of documents,
-    with a Dirichlet prior in proportion to the counts of both; tokens whose ratio is less than LEAST_Z standard
-    deviations from zero have none. Rate and scale of the extreme-value law are fitted to the clean
-    documents. Rows with a null text or label don't count. Without rows of both classes, no text is toxic.
+    with a Dirichlet prior in proportion to the counts of both; tokens whose ratio is too few standard
+    deviations from zero have none. How many is chosen by cross-validation within these rows (LEAST_Z), and the scale
+    of the extreme-value law and the logistic step are fitted to scores of rows that the lexicon behind them
+    hasn't seen. Rows with a null text or label don't count. Without rows of both classes, no text is toxic.
     """
     rows = hash_sample(labelled.where("text is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), "doc_id", train_docs)
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text").persist()
+    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select(F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text").persist()
+    counts = rows.mapInArrow(_words, "fold int, toxic int, word string").groupBy("word").agg(*(F.count_if(F.expr(f"fold = {f} and toxic = {y}")).cast("double").alias(f"y{y}_{f}") for y in (1, 0) for f in range(FOLDS))).persist()
     try:
-        counts = rows.mapInArrow(_words, "toxic int, word string").groupBy("word").agg(F.count_if(F.col("toxic") == 1).cast("double").alias("y1"), F.count_if(F.col("toxic") == 0).cast("double").alias("y0"))
-        n1, n0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
-        if not n1 or not n0:
+        models = _lexicons(counts, -1)
+        if not any(m.lexicon for m in models):
             return Model({})
-        prior = F.col("a")
-        odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR * (n1 + n0) - F.col(y) - prior))
-        scored = counts.withColumn("a", PRIOR * (F.col("y1") + F.col("y0")))
-        scored = scored.withColumn("d", odds("y1", n1) - odds("y0", n0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
-        found = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(LEXICON).select("word", "d", "y0").collect()
-        model = Model({r.word: float(np.clip(r.d, -BOUND, BOUND)) for r in found})
-        if not any(s > DRIFT for s in model.lexicon.values()):
-            return Model({})
-        share = np.array([r.y0 for r in found]) / n0
-        model.rate = _decay(np.array([*model.lexicon.values()]), share, 1 - share.sum())
+        folded = [_lexicons(counts, f) for f in range(FOLDS)]
 
         def features(rows):
             for batch in batches(rows, 500):
-                scanned = [model.scan(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in scanned], pa.int64()), pa.array([[s for *_, s in f] for _, f in scanned], pa.list_(pa.float64()))], ["toxic", "n", "s"])
-
-        seen = rows.mapInArrow(features, "toxic int, n long, s array<double>").collect()
+                toxic, at, n, s = [], [], [], []
+                for fold, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for k, model in enumerate(folded[fold]):
+                        size, found = model.scan(text)
+                        toxic.append(label)
+                        at.append(k)
+                        n.append(size)
+                        s.append([model.rate * x for *_, x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["toxic", "k", "n", "s"])
+
+        seen = rows.mapInArrow(features, "toxic int, k int, n long, s array<double>").collect()
     finally:
         rows.unpersist()
-    clean = [r for r in seen if r.toxic == 0 and r.n]
-    chance = sum(r.n * np.exp(-model.rate * max(r.s, default=0.0)) for r in clean)
-    model.scale = len(clean) / chance if chance else 1.0
-    x = np.array([model.surprise(r.n, [(0, 0, s) for s in r.s]) for r in seen])
-    y = np.array([float(r.toxic) for r in seen])
-    weights = np.zeros(2)
-    design = np.stack([np.ones_like(x), x], axis=1)
-    for _ in range(40):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        weights += np.clip(np.linalg.solve(h, design.T @ (y - p) - 1e-2 * weights), -3, 3)
-    model.offset, model.slope = map(float, weights)
-    return model
+        counts.unpersist()
+    losses = [_calibrate(m, [r for r in seen if r.k == k]) if m.lexicon else np.inf for k, m in enumerate(models)]
+    return models[int(np.argmin(losses))]
 
 
 PASSAGES = T.ArrayType(T.StructType([T.StructField("first_token", T.IntegerType()), T.StructField("last_token", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))

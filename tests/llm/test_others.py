@@ -153,6 +153,12 @@ def test_toxicity_held_out_and_edges(spark):
     assert toxicity.score(df.limit(0), model).collect() == []
 
 
+def test_toxicity_finds_rarer_words_in_held_out_rows(spark):
+    found = queries.op7_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
+    r = found.agg(F.count_if(F.expr("toxic = 1 and predicted = 1")), F.count_if(F.expr("toxic = 1")), F.count_if(F.expr("toxic = 0 and predicted = 1")), F.count_if(F.expr("toxic = 0"))).first()
+    assert r[0] >= 0.9 * r[1] and r[2] <= 0.015 * r[3]
+
+
 def test_gradients_and_language(spark):
     net = language_id.Network.new(["a", "b", "c"])
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
