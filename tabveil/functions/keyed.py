@@ -12,12 +12,12 @@ def token(c: str | Column) -> Column:
 
 
 def uniform(seed: str, *keys: str | Column) -> Column:
-    """A number strictly between 0 and 1 from the md5 of the seed and the keys.
+    """A number strictly between 0 and 1, an odd multiple of 2 ** -53, from the md5 of the seed and the keys.
 
     A seed that others know lets them subtract the noise: draw it from secrets for releases, fix it in tests only.
     """
     text = F.concat_ws("|", F.lit(seed), *[token(k) for k in keys])
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(4294967296.0)
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
 def laplace(u: Column, scale: float) -> Column:

@@ -38,8 +38,15 @@ def joint(df: DataFrame, cols: str | list[str]) -> DataFrame:
 
 
 def shares(df: DataFrame, value: str, by: list[str] | None = None, out: str = "p") -> DataFrame:
-    """df with out = value over its total (of each group of by); all-zero groups become uniform."""
-    w = Window.partitionBy(*(by or []))
+    """df with out = value over its total (of each group of by); all-zero groups become uniform.
+
+    Without by, the total is a table of one row that is joined back, so the cells stay where they are.
+    """
+    if not by:
+        totals = df.agg(F.sum(value).alias("__total"), F.count("*").alias("__cells"))
+        share = F.when(F.col("__total") == 0, 1 / F.col("__cells")).otherwise(F.col(value) / F.col("__total"))
+        return df.crossJoin(F.broadcast(totals)).withColumn(out, share).drop("__total", "__cells")
+    w = Window.partitionBy(*by)
     total, cells = F.sum(value).over(w), F.count("*").over(w)
     return df.withColumn(out, F.when(total == 0, 1 / cells).otherwise(F.col(value) / total))
 
@@ -53,7 +60,7 @@ def marginals(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def uniform_distribution(df: DataFrame, col: str) -> DataFrame:
     """col, p: the same share for each observed value."""
-    return clean(df.select(col)).distinct().withColumn("p", 1 / F.count("*").over(Window.partitionBy()))
+    return shares(clean(df.select(col)).distinct().withColumn("__zero", F.lit(0)), "__zero").drop("__zero")
 
 
 def domain(df: DataFrame, cols: list[str], max_cells: int = MAX_CELLS) -> DataFrame:

@@ -31,8 +31,13 @@ def check_epsilon(epsilon: float) -> None:
         raise ValueError("epsilon must be positive")
 
 
+def noise_seed(seed: str, mechanism: str, cols: list[str], epsilon: float) -> str:
+    """A seed of its own for each release, so that no two tables share noise that a difference would cancel."""
+    return "|".join([seed, mechanism, repr(float(epsilon)), *(f"{len(c)}:{c}" for c in cols)])
+
+
 def _noisy(df: DataFrame, value: str, keys: list[str], scale: float, seed: str):
-    """value plus Laplace noise keyed by the cell, at least 0; no noise for a scale of 0."""
+    """value plus Laplace noise keyed by the release's seed and the cell, at least 0; no noise for a scale of 0."""
     noise = F.lit(0.0) if scale == 0 else laplace(uniform(seed, *keys), scale)
     return F.greatest(F.lit(0.0), F.col(value) + noise)
 
@@ -42,30 +47,41 @@ def dp_contingency(df: DataFrame, cols: str | list[str], epsilon: float, seed: s
     check_epsilon(epsilon)
     cols = ensure_list(cols)
     cells = dense(df, cols, max_cells)
-    return cells.withColumn("count", F.ceil(_noisy(cells, "count", cols, 1 / epsilon, seed)).cast("long"))
+    return cells.withColumn("count", F.ceil(_noisy(cells, "count", cols, 1 / epsilon, noise_seed(seed, "contingency", cols, epsilon))).cast("long"))
 
 
-def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS) -> DataFrame:
-    """cols, p: shares with Laplace(2 / (n * epsilon)), clamped and normalised; with one column a marginal."""
+def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS, mechanism: str = "joint") -> DataFrame:
+    """cols, p: shares with Laplace(2 / (n * epsilon)), clamped and normalised; with one column a marginal.
+
+    mechanism names the release: another one of the same columns and epsilon has noise of its own.
+    """
     check_epsilon(epsilon)
     cols = ensure_list(cols)
     n = df.count()
     cells = shares(dense(df, cols, max_cells), "count")
     scale = 2 / (n * epsilon) if n else 0.0
-    return shares(cells.withColumn("v", _noisy(cells, "p", cols, scale, seed)), "v").select(*cols, "p")
+    return shares(cells.withColumn("v", _noisy(cells, "p", cols, scale, noise_seed(seed, mechanism, cols, epsilon))), "v").select(*cols, "p")
 
 
 def dp_conditional(df: DataFrame, child: str, parents: list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS) -> DataFrame:
     """parents, child, p: a noisy joint, normalised within each parent combination."""
-    noisy = dp_joint(df, [*parents, child], epsilon, seed, max_cells)
+    noisy = dp_joint(df, [*parents, child], epsilon, seed, max_cells, "conditional")
     return shares(noisy.withColumnRenamed("p", "v"), "v", parents).select(*parents, child, "p") if parents else noisy
 
 
 def r_sensitivity(n: int) -> float:
+    """Of the R score of a table of n rows; n must be positive."""
+    if n < 1:
+        raise ValueError("the sensitivity needs one row at least")
     return 3 / n + 2 / n**2
 
 
 def mi_sensitivity(n: int) -> float:
+    """Of the mutual information of a table of n rows; the term of the other rows vanishes at n = 1."""
+    if n < 1:
+        raise ValueError("the sensitivity needs one row at least")
+    if n == 1:
+        return 0.0
     return 2 / n * math.log((n + 1) / 2) + (n - 1) / n * math.log((n + 1) / (n - 1))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import uniform
 from .distributions import same
 
-#: Buckets of the unit interval: a draw meets only the values whose interval touches its bucket.
-BUCKETS = 64
+#: Buckets of the unit interval: a draw meets only the values whose interval touches its bucket. A distribution without
+#: parents has as many as values, within these bounds.
+BUCKETS, MAX_BUCKETS = 64, 1 << 20
 
 
 def intervals(dist: DataFrame, order: list[str], by: list[str] | None = None, p: str = "p") -> DataFrame:
@@ -22,14 +23,18 @@ def intervals(dist: DataFrame, order: list[str], by: list[str] | None = None, p:
 def draw(rows: DataFrame, dist: DataFrame, values: list[str], seed: str, row_key: str, by: list[str] | None = None) -> DataFrame:
     """rows with values drawn from dist given the columns by, one uniform number a row keyed by row_key.
 
-    Rows whose by columns have no distribution drop out.
+    A row whose by columns have no distribution is an error when it is drawn.
     """
     by = by or []
+    buckets = BUCKETS if by else max(BUCKETS, min(dist.count(), MAX_BUCKETS))
     cdf = intervals(dist, values, by).where("hi > lo")
-    low = F.floor(F.col("lo") * BUCKETS)
-    cdf = cdf.select(*[F.col(c).alias(f"__{c}") for c in by], *values, "lo", "hi", F.explode(F.sequence(low.cast("int"), F.least(F.floor(F.col("hi") * BUCKETS), F.lit(BUCKETS)).cast("int"))).alias("__bucket"))
-    u = rows.withColumn("__u", uniform(f"{seed}|{','.join(values)}", row_key)).withColumn("__k", F.floor(F.col("__u") * BUCKETS).cast("int"))
+    low = F.floor(F.col("lo") * buckets)
+    cdf = cdf.select(*[F.col(c).alias(f"__{c}") for c in by], *values, "lo", "hi", F.explode(F.sequence(low.cast("int"), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets)).cast("int"))).alias("__bucket"))
+    u = rows.withColumn("__u", uniform(f"{seed}|{','.join(values)}", row_key)).withColumn("__k", F.floor(F.col("__u") * buckets).cast("int"))
     on = (F.col("__k") == F.col("__bucket")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))
     if by:
         on &= same([F.col(c) for c in by], [F.col(f"__{c}") for c in by])
-    return u.join(cdf, on).select(*rows.columns, *values)
+    lost = F.col("__bucket").isNull()
+    missing = F.raise_error(F.lit(f"no distribution of {values} for these values of {by}"))
+    first = F.when(lost, missing).otherwise(F.col(values[0])).alias(values[0])
+    return u.join(cdf, on, "left").select(*rows.columns, first, *values[1:])

@@ -58,9 +58,10 @@ class Synthesizer:
     def _restore(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema_])
 
-    def score(self, original: DataFrame, artificial: DataFrame) -> float:
-        """Mean Jensen-Shannon distance of the columns."""
-        return js_marginal(original, artificial).agg(F.avg("distance")).first()[0]
+    def score(self, original: DataFrame, artificial: DataFrame, by_column: bool = False) -> float | dict[str, float]:
+        """Mean Jensen-Shannon distance of the columns, or with by_column that of each."""
+        found = {r.column: r.distance for r in js_marginal(original, artificial).select("column", "distance").collect()}  # one row a column
+        return found if by_column else sum(found.values()) / len(found)
 
     def copy(self) -> Synthesizer:
         return copy.copy(self)
@@ -231,11 +232,17 @@ class BayesNet(Synthesizer):
         return rows.select(key, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema_ if f.name != key])
 
     def _state(self) -> dict:
-        return super()._state() | {"theta": self.theta, "split": self.split, "score_function": self.score_function, "network": [[p.attribute, [*p.parents]] for p in self.network_]}
+        return super()._state() | {"theta": self.theta, "split": self.split, "score_function": self.score_function, "network": self._listed(self.network_), "given": self._listed(self.network_init)}
+
+    @staticmethod
+    def _listed(network: list[Pair] | None) -> list | None:
+        return None if network is None else [[p.attribute, [*p.parents]] for p in network]
 
     def _load_state(self, state: dict) -> None:
         self.theta, self.split, self.score_function = state["theta"], state["split"], state["score_function"]
         self.network_ = [Pair(a, tuple(p)) for a, p in state["network"]]
+        given = state.get("given")
+        self.network_init = None if given is None else [Pair(a, tuple(p)) for a, p in given]
 
 
 class BayesNetNonPrivate(BayesNet):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import warnings
 from dataclasses import dataclass, field
 from statistics import NormalDist
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import uniform
 from .distributions import clean, shares
+from .privacy import Ledger, dp_joint
 
 #: Edges nearer than this are one.
 NEAR = 1e-8
@@ -182,15 +184,25 @@ class ContinuousBins:
 
 @dataclass
 class CategoryBins:
-    """Categories in sorted order, dealt to n_bins of equal width; back by the learned shares within a bin."""
+    """Categories in sorted order, dealt to n_bins of equal width; back by the learned shares within a bin.
+
+    The shares are marginals with Laplace noise, epsilon / d for each of d columns; an infinite epsilon keeps them exact.
+    seed keys the noise; one drawn from secrets is the default. Which categories there are is read without noise.
+    """
 
     n_bins: int = 5
+    epsilon: float = 1.0
+    seed: str | None = None
     codes_: dict[str, DataFrame] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, columns: list[str]) -> CategoryBins:
-        df = clean(df)
+        if self.n_bins < 1:
+            raise ValueError("n_bins must be positive")
+        df, seed = clean(df), self.seed if self.seed is not None else secrets.token_hex(16)
+        ledger = Ledger(self.epsilon)
         for c in columns:
-            counts = shares(df.groupBy(F.col(c).cast("string").alias("__v")).agg(F.count("*").alias("n")).where("__v is not null"), "n")
+            share = ledger.spend(f"categories {c}", self.epsilon / len(columns))
+            counts = dp_joint(df.select(F.col(c).cast("string").alias(c)), c, share, seed).select(F.col(c).alias("__v"), "p").where("__v is not null")
             w = Window.partitionBy()
             rank = F.row_number().over(w.orderBy("__v")) - 1  # one row a category
             width = F.greatest((F.count("*").over(w) - 1) / self.n_bins, F.lit(1e-9))

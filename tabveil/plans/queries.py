@@ -44,7 +44,7 @@ def token_sql(c: str) -> str:
 def uniform_sql(seed: str, *keys: str) -> str:
     """The twin of functions.uniform; keys are SQL expressions."""
     text = " || '|' || ".join([f"'{seed}'", *map(token_sql, keys)])
-    return f"((('0x' || substr(md5({text}), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)"
+    return f"((('0x' || substr(md5({text}), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double)"
 
 
 def laplace_sql(u: str, scale: float | str) -> str:
@@ -155,12 +155,12 @@ def laplace_noise(spark, d):
     return read(spark, d, "orders").select("o_orderkey", F.round(laplace(uniform(SEED, "o_orderkey"), 2.0), 6).alias("noise"))
 
 
-def _dp_joint_sql(table: str, cols: tuple[str, ...], epsilon: float, seed: str = SEED) -> str:
+def _dp_joint_sql(table: str, cols: tuple[str, ...], epsilon: float, seed: str = SEED, mechanism: str = "joint") -> str:
     """A chain of CTEs ending in noisy(cols, p)."""
     doms = " CROSS JOIN ".join(f"(SELECT DISTINCT {c} FROM {table}) d_{c}" for c in cols)
     on = " AND ".join(f"d_{c}.{c} IS NOT DISTINCT FROM s.{c}" for c in cols)
     keys = ", ".join(cols)
-    noise = laplace_sql(uniform_sql(seed, *cols), f"2 / (n * {epsilon}::double)")
+    noise = laplace_sql(uniform_sql(privacy.noise_seed(seed, mechanism, [*cols], epsilon), *cols), f"2 / (n * {epsilon}::double)")
     return f"""total AS (SELECT count(*)::double AS n FROM {table}),
 seen AS (SELECT {keys}, count(*) AS c FROM {table} GROUP BY {keys}),
 cells AS (SELECT {", ".join(f"d_{c}.{c}" for c in cols)}, coalesce(s.c, 0) AS count FROM {doms} LEFT JOIN seen s ON {on}),
@@ -182,13 +182,13 @@ def dp_joint(spark, d):
 
 
 @query(
-    f"""WITH {_dp_joint_sql("lineitem", FLAGS, 0.1)} SELECT l_returnflag, l_linestatus, ceil(greatest(0::double, count + {laplace_sql(uniform_sql(SEED, *FLAGS), 5.0)}))::bigint AS count FROM cells"""
+    f"""WITH {_dp_joint_sql("lineitem", FLAGS, 0.1)} SELECT l_returnflag, l_linestatus, ceil(greatest(0::double, count + {laplace_sql(uniform_sql(privacy.noise_seed(SEED, 'contingency', [*FLAGS], 0.2), *FLAGS), 5.0)}))::bigint AS count FROM cells"""
 )
 def dp_contingency(spark, d):
     return privacy.dp_contingency(read(spark, d, "lineitem"), [*FLAGS], 0.2, SEED)
 
 
-@query(f"WITH {_dp_joint_sql('lineitem', FLAGS, 0.1)} SELECT l_returnflag, l_linestatus, round(p / sum(p) OVER (PARTITION BY l_returnflag), 6) AS p FROM noisy")
+@query(f"WITH {_dp_joint_sql('lineitem', FLAGS, 0.1, mechanism='conditional')} SELECT l_returnflag, l_linestatus, round(p / sum(p) OVER (PARTITION BY l_returnflag), 6) AS p FROM noisy")
 def dp_conditional(spark, d):
     return r6(privacy.dp_conditional(read(spark, d, "lineitem"), "l_linestatus", ["l_returnflag"], 0.1, SEED), "p")
 
@@ -263,19 +263,50 @@ def _flags(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
 
 
-@query()
+def _cdf_sql(name: str, table: str, child: tuple[str, ...], parents: tuple[str, ...] = (), value: str = "p") -> str:
+    """CTE name: child by parents with lo and hi, the ends of the cumulative shares of value; the last hi is 2."""
+    over = f"PARTITION BY {', '.join(parents)} ORDER BY" if parents else "ORDER BY"
+    order = ", ".join(f"{c} NULLS FIRST" for c in child)
+    total = f"sum({value}) OVER ({over.removesuffix(' ORDER BY') if parents else ''})"
+    return f"""{name} AS (SELECT * REPLACE (CASE WHEN lead(hi) OVER ({over} {order}) IS NULL THEN 2 ELSE hi END AS hi), coalesce(lag(hi) OVER ({over} {order}), 0) AS lo
+FROM (SELECT {", ".join([*parents, *child])}, sum({value}) OVER ({over} {order} ROWS UNBOUNDED PRECEDING) / {total} AS hi FROM ({table})))"""
+
+
+def _drawn_sql(columns: str, rows: str, cdf: str, child: tuple[str, ...], parents: tuple[str, ...] = (), key: str = "id") -> str:
+    """rows with child drawn from cdf, as sampling.draw() does."""
+    u = uniform_sql(f"{SEED}|{','.join(child)}", f"r.{key}")
+    on = " AND ".join([f"{u} >= c.lo", f"{u} < c.hi", *(f"r.{x} IS NOT DISTINCT FROM c.{x}" for x in parents)])
+    return f"SELECT {columns}, {', '.join(f'c.{x}' for x in child)} FROM {rows} r JOIN {cdf} c ON {on}"
+
+
+def _noisy_sql(table: str, cols: tuple[str, ...], epsilon: float, mechanism: str = "joint") -> str:
+    return f"WITH {_dp_joint_sql(table, cols, epsilon, mechanism=mechanism)} SELECT * FROM noisy"
+
+
+_IDS = "ids AS (SELECT row_number() OVER () - 1 AS id FROM lineitem)"
+_FLAG_CELLS = f"""WITH {_dp_joint_sql("lineitem", FLAGS, 1.0)} SELECT l_returnflag, l_linestatus,
+  ceil(greatest(0::double, count + {laplace_sql(uniform_sql(privacy.noise_seed(SEED, "contingency", [*FLAGS], 1.0), *FLAGS), 1.0)}))::bigint AS p FROM cells"""
+
+
+@query(
+    f"""WITH {_IDS}, {_cdf_sql("f", _noisy_sql("lineitem", FLAGS[:1], 0.5), FLAGS[:1])}, {_cdf_sql("s", _noisy_sql("lineitem", FLAGS[1:], 0.5), FLAGS[1:])},
+one AS ({_drawn_sql("r.*", "ids", "f", FLAGS[:1])}), two AS ({_drawn_sql("r.*", "one", "s", FLAGS[1:])}) SELECT l_returnflag, l_linestatus FROM two"""
+)
 def marginal_synthesizer(spark, d):
-    return syn.MarginalSynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample(1000)
+    return syn.MarginalSynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample()
 
 
-@query()
+@query(
+    f"""WITH {_IDS}, {", ".join(_cdf_sql(n, f"SELECT DISTINCT {c}, 1 AS p FROM lineitem", (c,)) for n, c in zip("fs", FLAGS))},
+one AS ({_drawn_sql("r.*", "ids", "f", FLAGS[:1])}), two AS ({_drawn_sql("r.*", "one", "s", FLAGS[1:])}) SELECT l_returnflag, l_linestatus FROM two"""
+)
 def uniform_synthesizer(spark, d):
-    return syn.UniformSynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample(1000)
+    return syn.UniformSynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample()
 
 
-@query()
+@query(f"WITH {_IDS}, {_cdf_sql('f', _FLAG_CELLS, FLAGS)}, one AS ({_drawn_sql('r.*', 'ids', 'f', FLAGS)}) SELECT l_returnflag, l_linestatus FROM one")
 def contingency_synthesizer(spark, d):
-    return syn.ContingencySynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample(1000)
+    return syn.ContingencySynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample()
 
 
 def _people(spark, d) -> DataFrame:
@@ -302,12 +333,25 @@ def bayesnet_tables(spark, d):
     return r6(model.tables_["c_mktsegment"], "p").select("n_name", "c_mktsegment", "p")
 
 
-@query()
+#: What a network of three given pairs leaves for each table of a budget of 5.
+_SHARE = 1 * 5.0 / 3
+_PEOPLE = "t AS (SELECT c_custkey, r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_CHAIN_CDFS = ", ".join(_cdf_sql(f"cdf_{p.attribute}", _noisy_sql("t", (*p.parents, p.attribute), _SHARE, "conditional"), (p.attribute,), p.parents) for p in CHAIN)
+
+
+@query(
+    f"""WITH {_PEOPLE}, ids AS (SELECT row_number() OVER () - 1 AS id FROM t), {_CHAIN_CDFS},
+one AS ({_drawn_sql("r.*", "ids", "cdf_r_name", ("r_name",))}), two AS ({_drawn_sql("r.*", "one", "cdf_n_name", ("n_name",), ("r_name",))}),
+three AS ({_drawn_sql("r.*", "two", "cdf_c_mktsegment", ("c_mktsegment",), ("n_name",))}) SELECT r_name, n_name, c_mktsegment FROM three"""
+)
 def bayesnet_sample(spark, d):
-    return syn.BayesNet(5.0, network=CHAIN, seed=SEED).fit(_people(spark, d)).sample(1000)
+    return syn.BayesNet(5.0, network=CHAIN, seed=SEED).fit(_people(spark, d)).sample()
 
 
-@query()
+@query(
+    f"""WITH {_PEOPLE}, {_CHAIN_CDFS}, two AS ({_drawn_sql("r.c_custkey, r.r_name", "t", "cdf_n_name", ("n_name",), ("r_name",), "c_custkey")}),
+three AS ({_drawn_sql("r.*", "two", "cdf_c_mktsegment", ("c_mktsegment",), ("n_name",), "c_custkey")}) SELECT c_custkey, r_name, n_name, c_mktsegment FROM three"""
+)
 def bayesnet_sample_remaining(spark, d):
     model = syn.BayesNet(5.0, network=CHAIN, seed=SEED).fit(_people(spark, d))
     fixed = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -316,7 +360,7 @@ def bayesnet_sample_remaining(spark, d):
 
 @query()
 def bayesnet_nonprivate(spark, d):
-    return syn.BayesNetNonPrivate(1.0, seed=SEED).fit(_people(spark, d)).sample(1000)
+    return syn.BayesNetNonPrivate(1.0, seed=SEED).fit(_people(spark, d)).sample()
 
 
 # --- transformers
@@ -377,7 +421,7 @@ def generalize_continuous(spark, d):
 
 @query(
     f"""WITH m AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b, bool_and(p_retailprice % 1 = 0) AS w FROM part), e AS (SELECT w, list_append([a + (b - a) * k / 10 FOR k IN range(10)], b) AS e FROM m),
-c AS (SELECT p_partkey, w, e, {_code_sql(_NUDGED, "e")} AS c, (('0x' || substr(md5('{SEED}|=p_retailprice|' || {token_sql("p_partkey")}), 1, 8))::bigint + 0.5::double) / 4294967296.0::double AS u FROM part, e)
+c AS (SELECT p_partkey, w, e, {_code_sql(_NUDGED, "e")} AS c, (('0x' || substr(md5('{SEED}|=p_retailprice|' || {token_sql("p_partkey")}), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double AS u FROM part, e)
 SELECT p_partkey, round(CASE WHEN w THEN round(e[c + 1] + u * (e[c + 2] - e[c + 1])) ELSE e[c + 1] + u * (e[c + 2] - e[c + 1]) END, 6) AS p_retailprice FROM c"""
 )
 def generalize_continuous_inverse(spark, d):
@@ -386,24 +430,24 @@ def generalize_continuous_inverse(spark, d):
     return r6(bins.inverse_transform(bins.transform(part), "p_partkey", SEED), "p_retailprice")
 
 
-_BRANDS = """b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS r, count(*) OVER () AS k, n / sum(n) OVER ()::double AS p FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)),
+_BRANDS = f"""{_dp_joint_sql("part", ("p_brand",), 1.0)}, b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS r, count(*) OVER () AS k, p FROM noisy),
 c AS (SELECT p_brand, p, least(floor(r * (1 + 1e-5) / greatest((k - 1) / 5.0, 1e-9) + 1e-8), 4)::int AS code FROM b)"""
 
 
 @query(f"WITH {_BRANDS} SELECT p_partkey, code AS p_brand FROM part JOIN c USING (p_brand)")
 def generalize_categorical(spark, d):
     part = read(spark, d, "part").select("p_partkey", "p_brand")
-    return tr.CategoryBins(5).fit(part, ["p_brand"]).transform(part)
+    return tr.CategoryBins(5, seed=SEED).fit(part, ["p_brand"]).transform(part)
 
 
 @query(
     f"""WITH {_BRANDS}, cdf AS (SELECT code, p_brand, sum(p) OVER (PARTITION BY code ORDER BY p_brand ROWS UNBOUNDED PRECEDING) / sum(p) OVER (PARTITION BY code) AS hi FROM c),
-u AS (SELECT p_partkey, code, (('0x' || substr(md5('{SEED}|=p_brand|' || {token_sql("p_partkey")}), 1, 8))::bigint + 0.5::double) / 4294967296.0::double AS u FROM part JOIN c USING (p_brand))
+u AS (SELECT p_partkey, code, (('0x' || substr(md5('{SEED}|=p_brand|' || {token_sql("p_partkey")}), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double AS u FROM part JOIN c USING (p_brand))
 SELECT p_partkey, min(cdf.p_brand) AS p_brand FROM u JOIN cdf ON u.code = cdf.code AND cdf.hi > u.u GROUP BY p_partkey"""
 )
 def generalize_categorical_inverse(spark, d):
     part = read(spark, d, "part").select("p_partkey", "p_brand")
-    bins = tr.CategoryBins(5).fit(part, ["p_brand"])
+    bins = tr.CategoryBins(5, seed=SEED).fit(part, ["p_brand"])
     return bins.inverse_transform(bins.transform(part), "p_partkey", SEED)
 
 
@@ -420,7 +464,7 @@ def generalize_schematic(spark, d):
 
 @query(
     f"""WITH l AS (SELECT r_name, list(n_name ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
-SELECT c_custkey, names[floor((('0x' || substr(md5('{SEED}|=nation|' || {token_sql("c_custkey")}), 1, 8))::bigint + 0.5::double) / 4294967296.0::double * len(names))::int + 1] AS nation
+SELECT c_custkey, names[floor((('0x' || substr(md5('{SEED}|=nation|' || {token_sql("c_custkey")}), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double * len(names))::int + 1] AS nation
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN l USING (r_name)"""
 )
 def generalize_schematic_inverse(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,12 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str, copies: int = 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new name under the folder that driver and executors share, or a temporary folder where the session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new name under spark.checkpoint.dir, which driver and executors share, or else under the warehouse.
+
+    A temporary folder of this machine is taken only where everything runs in the driver's process.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and re.match(r"local(\[|$)", spark.sparkContext.master):
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

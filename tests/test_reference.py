@@ -99,6 +99,37 @@ def test_models_restore_schema_nulls_and_files(spark, tmp_path):
     assert sorted(map(repr, again.sample(50).collect())) == sorted(map(repr, model.sample(50).collect()))
 
 
+def test_releases_share_no_noise(spark):
+    df = spark.createDataFrame([("Y", "N"), ("N", "Y"), ("Y", "Y")] * 20, "a string, b string")
+    noisy = lambda c, e=1.0: {r[0]: r.p for r in privacy.dp_joint(df.select(F.col(c)), c, e, "s").collect()}
+    one, two = noisy("a"), {r[0]: r.p for r in privacy.dp_joint(df.select(F.col("a").alias("b")), "b", 1.0, "s").collect()}
+    assert all(one[k] != two[k] for k in one)
+    assert [r.p for r in privacy.dp_conditional(df, "b", [], 1.0, "s").orderBy("b").collect()] != [r.p for r in privacy.dp_joint(df, "b", 1.0, "s").orderBy("b").collect()]
+    counts = {e: {r.a: r["count"] for r in privacy.dp_contingency(df, "a", e, "s").collect()} for e in (0.01, 0.02)}
+    assert (counts[0.01]["Y"] - 40) != 2 * (counts[0.02]["Y"] - 40)
+    assert privacy.mi_sensitivity(1) == 0 and privacy.r_sensitivity(1) == 5
+    with pytest.raises(ValueError):
+        privacy.r_sensitivity(0)
+
+
+def test_grouping_shares_are_noisy_and_spend_the_budget(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 4 == 0]) for i in range(40)] + [(99, None)], "k long, x string")
+    shares = lambda **kw: {r["__v"]: round(r.p, 9) for r in tr.CategoryBins(2, **kw).fit(df, ["x"]).codes_["x"].collect()}
+    assert shares(epsilon=math.inf) == {"a": round(30 / 41, 9), "b": round(10 / 41, 9)}
+    assert shares(seed="s") == shares(seed="s") != shares(seed="t") and shares(seed="s") != shares(epsilon=math.inf)
+    with pytest.raises(ValueError):
+        shares(epsilon=0)
+
+
+def test_an_unseen_parent_is_an_error(spark):
+    df = spark.createDataFrame([("x", "p"), ("y", "q")] * 30, "a string, b string")
+    model = syn.BayesNetNonPrivate(50.0, network=[syn.Pair("a"), syn.Pair("b", ("a",))], seed="s").fit(df)
+    good = model.sample_remaining(spark.createDataFrame([(1, "x")], "k long, a string"), "k")
+    assert [tuple(r) for r in good.collect()] == [(1, "x", "p")]
+    with pytest.raises(Exception, match="no distribution"):
+        model.sample_remaining(spark.createDataFrame([(1, "z")], "k long, a string"), "k").collect()
+
+
 def test_dates_with_an_explicit_format(spark):
     df = spark.createDataFrame([("01/02/14", "02/07/14"), ("08/01/14", None), (None, None)], "d1 string, d2 string")
     got = [tuple(r) for r in tr.generalize_dates(df, ["d1", "d2"], "MM/dd/yy").collect()]
