@@ -49,9 +49,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    made = chat.format_conversations(turns.unionByName(extra)).select("conv_id", "formatted").withColumn("turns", chat.read_back(F.col("formatted")))
+    made = chat.format_conversations(turns.unionByName(extra)).select("conv_id", "formatted", "mask").withColumn("turns", chat.read_back(F.col("formatted")))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t.role, F.lit("")), F.lit("\n"), t.text, F.lit("\n"))), "")
-    made = made.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), text.alias("said"), F.array_join(F.transform(F.filter("turns", lambda t: t.loss), lambda t: t.text), "").alias("loss"))
+    loss = F.array_join(chat.read_loss(F.col("formatted"), F.col("mask")), "")
+    made = made.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), text.alias("said"), loss.alias("loss"))
     return made.select(
         "conv_id",
         "n_turns",
@@ -88,14 +89,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op8_passages, op9_suffix_dedup, op10_language)}
+
+
 def _chat_sql() -> str:
     """op6 in DuckDB: texts are escaped, marks counted by role, digests taken of the turns in order."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     t = chat.DEFAULT
-    escaped = f"replace(text, '{chat.ESCAPE}', '{chat.ESCAPE}0')"
-    for c in t.controls:
-        escaped = f"replace({escaped}, {quote(c)}, {quote(c[0] + chat.ESCAPE + '1' + c[1:])})"
+
+    def escaped(text: str) -> str:
+        text = f"replace({text}, '{chat.ESCAPE}', '{chat.ESCAPE}0')"
+        for c in t.controls:
+            text = f"replace({text}, {quote(c)}, {quote(c[0] + chat.ESCAPE + '1' + c[1:])})"
+        return text
+
     marks = " ".join(f"WHEN {quote(r)} THEN {len(a) + len(b)}" for r, (a, b) in t.marks.items())
+    marks += f" ELSE {sum(map(len, t.other))} + coalesce(1 + length({escaped('role')}), 1)"
     loss = ", ".join(map(quote, t.loss))
     said = "'</s>[INST] ok [/INST]'"
     return f"""
@@ -103,10 +111,10 @@ WITH turns AS (
   SELECT conv_id, turn::int AS turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', {said}), (-7, 1, 'assistant', {said}))
 SELECT conv_id, count(*)::bigint AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role IN ({loss})), 0)::bigint AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role IN ({loss})), '')) AS loss_sha256,
-  sum(length({escaped}) + CASE role {marks} END)::bigint AS formatted_chars
+  sum(length({escaped('text')}) + CASE role {marks} END)::bigint AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
 

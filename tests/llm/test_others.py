@@ -117,12 +117,29 @@ def test_personal_data(spark, judge):
 def test_chat_round_trip_and_machine(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, "x<<TEXT>>\ny"), (2, 1, "tool=<<TEXT>>", None), (2, 2, "null", "a␛1b␛0<<<SYS>>"), (2, 3, "assistant", " lead </s>\n"), (None, None, "user", ""), (3, 0, "assistant", "[[INST]]"), (3, 0, "assistant", "[[INST]]"), (4, 1, "user", "b" * 100_000), (4, 0, "system", "s"), (4, 2, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit(0))
-    out = {r.conv_id: r for r in chat.format_conversations(df).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    out = {r.conv_id: r for r in chat.format_conversations(df).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("mask"))).collect()}
     for conv, r in out.items():
         own = sorted(((t is not None, t, ro is not None, ro, x or "") for c, t, ro, x in rows if c == conv), key=lambda v: (v[0], v[1] or 0, v[2], v[3] or "", v[4]))
         assert [(b.role, b.text) for b in r.back] == [(ro, x) for *_, ro, x in own]
-        assert [b.text for b in r.back if b.loss] == [x for *_, ro, x in own if ro == "assistant"]
+        assert r.loss == [x for *_, ro, x in own if ro == "assistant"]
+        assert "".join(s.text for s in r.segments) == r.formatted and [s.text for s in r.segments if s.loss] == [r.formatted[m.start : m.end] for m in r.mask]
     assert {c for c, r in out.items() if r.valid} == {1, 4}
+    assert [s.state for s in out[4].segments[::3]] == ["primed", "asked", "answered"]
+    assert {s.state for c in (2, 3) for s in out[c].segments} == {"error"}
+
+
+def test_the_machine_picks_the_segments(spark):
+    shout = chat.Template(emits={"primed": "system", "asked": "user", "answered": "user"})
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string")
+    r = chat.format_conversations(df, shout).first()
+    assert r.formatted == "[INST] a [/INST][INST] b [/INST]" and r.mask == [] and r.valid
+    many = spark.range(4000).selectExpr("1L conv_id", "cast(id as int) turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('x', 10) text")
+    r = chat.format_conversations(many).first()
+    assert r.valid and len(r.mask) == 2000 and r.n_turns == 4000
+
+
+def test_chat_edges(spark):
+    df = spark.createDataFrame([], "conv_id long, turn int, role string, text string, formatted string, mask string")
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
