@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SHINGLE = 5
 #: Bytes of text that one numpy pass takes at most, unless a single text is longer.
 PASS_BYTES = 1 << 20
+#: Rows and bytes of a batch that a Python task gets at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER_LUT = np.frombuffer(_LOWER, dtype=np.uint8)
@@ -24,21 +28,55 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else a folder in the warehouse.
+
+    A machine's own temporary folder is taken only where everything runs in the driver's process, as in tests.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
+    if not root and re.match(r"local(\[|$)", spark.sparkContext.master):
         root = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
 
+def scratch(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and lost executors lose nothing.
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
-    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    Give the folder of a room() for what is needed only until that room ends.
+    """
+    path = f"{folder or scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def room(spark: SparkSession) -> Iterator[str]:
+    """A folder for scratch tables, deleted at the end: whatever outlives it must be written elsewhere before."""
+    folder = f"{scratch_root(spark)}/room-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        _delete(spark, folder)
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most, set for the session.
+
+    Texts of any length come in batches that fit a worker; a text longer than that is a batch of its own.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is None or not 0 < int(re.match(r"-?\d+", now)[0]) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df.mapInArrow(run, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text: A-Z lower-cased, split at ASCII white space."""
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []

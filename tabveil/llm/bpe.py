@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._shared import batches
+from ._shared import batches, in_batches
 
 #: No such pair.
 NONE = np.int64(1 << 40)
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids:
             found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), found], [*others, ids])
 
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(text, F.col(text).cast("string")).transform(in_batches, run, schema)
 
 
 def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -263,4 +263,4 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded"
             found = pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_batches, run, schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._shared import batches, mix64, passes, scratch, shingle_hashes, shingles_of
+from ._shared import batches, in_batches, mix64, passes, scratch, shingle_hashes, shingles_of
 
 #: Minima of a sketch at most, bytes of item text that one pass over the documents carries.
 SKETCH, BLOCK_BYTES = 24, 4 << 20
@@ -97,7 +97,7 @@ def _search(docs: DataFrame, part: list[tuple[int, str]], emit, schema) -> DataF
                 found += [index.contained(texts[first + i], hashes[at[i] : at[i + 1]]) for i in range(len(raws))]
             yield emit(batch, found)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_batches, run, schema)
 
 
 PAIRS = "doc_id long, item_id long, n_item long, n_shared long, containment double"

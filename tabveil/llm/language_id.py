@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._shared import POWERS, batches, hash_sample, mix64, passes, prefix_hashes
+from ._shared import POWERS, batches, hash_sample, in_batches, mix64, passes, prefix_hashes
 
 #: Units of each direction, bytes of a sequence at most (longer words are cut), documents and words to learn from.
 UNITS, REACH, TRAIN_DOCS, TRAIN_WORDS = 12, 48, 3000, 60_000
@@ -218,4 +218,4 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
                     score.append(min(1.0, float(row[best] / row.sum())) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.select(*others).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.transform(in_batches, run, T.StructType([*docs.select(*others).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

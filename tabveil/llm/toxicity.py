@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._shared import batches, hash_sample
+from ._shared import batches, hash_sample, in_batches
 
 #: Labelled documents to learn from, tokens of the lexicon at most.
 TRAIN_DOCS, LEXICON = 16_000, 20_000
@@ -163,7 +163,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """
     rows = hash_sample(labelled.where("text is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), "doc_id", train_docs)
     rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select(F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text").persist()
-    counts = rows.mapInArrow(_words, "fold int, toxic int, word string").groupBy("word").agg(*(F.count_if(F.expr(f"fold = {f} and toxic = {y}")).cast("double").alias(f"y{y}_{f}") for y in (1, 0) for f in range(FOLDS))).persist()
+    counts = rows.transform(in_batches, _words, "fold int, toxic int, word string").groupBy("word").agg(*(F.count_if(F.expr(f"fold = {f} and toxic = {y}")).cast("double").alias(f"y{y}_{f}") for y in (1, 0) for f in range(FOLDS))).persist()
     try:
         models = _lexicons(counts, -1)
         if not any(m.lexicon for m in models):
@@ -182,7 +182,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
                         s.append([model.rate * x for *_, x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["toxic", "k", "n", "s"])
 
-        seen = rows.mapInArrow(features, "toxic int, k int, n long, s array<double>").collect()
+        seen = rows.transform(in_batches, features, "toxic int, k int, n long, s array<double>").collect()
     finally:
         rows.unpersist()
         counts.unpersist()
@@ -214,4 +214,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([x for x in told if x["expected"] <= SIGNIFICANT])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, arrow)], [*batch.schema.names, "tox_score", "tox_passages"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_batches, run, schema)
