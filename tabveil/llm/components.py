@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import scratch
+from ._shared import room, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -19,21 +19,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for each node of links(a, b); component is the smallest node that is reachable.
 
     Edges are rewritten until each node points at its component's smallest one (Kiveris and others,
-    2014). All state is a table in the shared folder; the driver sees two numbers a round. Self-links and
-    null ends are ignored; repeated links count once; an empty table gives an empty table.
+    2014), in rounds that grow with the logarithm of the nodes; more than max_rounds is an error. All state is a
+    table in the shared folder; the driver sees two numbers a round. Self-links and null ends are ignored; repeated
+    links count once; an empty table gives an empty table.
     """
-    edges = links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
-    edges = scratch(edges.where("u > v").distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        edges = scratch(_small_star(_large_star(edges)), "edges")
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
+    spark = links.sparkSession
+    edges = links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
+    with room(spark) as folder:
+        edges = scratch(edges, "edges", folder)
+        seen = None
+        for _ in range(max_rounds):
+            edges = scratch(_small_star(_large_star(edges)), "edges", folder)
+            mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if mark == seen:
+                break
+            seen = mark
+        else:
+            raise RuntimeError(f"the components were not settled after {max_rounds} rounds")
+        edges = scratch(edges, "components")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -6,11 +6,13 @@ band keys with a threshold of one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import batches, passes, scratch, shingle_hashes, shingles_of
+from ._shared import batches, in_batches, passes, room, scratch, shingle_hashes, shingles_of
 from .components import connected_components
 
 
@@ -20,6 +22,8 @@ HOT = 8
 PIVOTS = 4
 #: Of the shingles before it in its prefix, a posted one carries this many, the last.
 PRIOR = 16
+#: 64-bit words of a set's map: each of its shingles flips one bit.
+MAP = 8
 
 
 def _measure(rows):
@@ -45,7 +49,7 @@ def measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, dist, linked) of each pair, on the full sets of texts(node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_measure, "a long, b long, dist double, linked boolean")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").transform(in_batches, _measure, "a long, b long, dist double, linked boolean")
 
 
 def _matching(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
@@ -66,7 +70,19 @@ def _shingled(rows):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[first : first + len(raws)], sizes), pa.int64()), pa.array(np.concatenate(own).astype(np.int64))], ["node", "shingle"])
 
 
-def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _maps(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ball, w0, w1, ...): the map of the shingles of each ball that has one member; nulls for others.
+
+    Two sets' maps differ in at most as many bits as the sets in elements, so a pair whose maps differ in more than a
+    seventh of both sizes can't have a similarity of 0.75.
+    """
+    bit = F.expr("shiftleft(1L, cast(shiftright(shingle, 3) & 63 as int))")
+    words = [F.bit_xor(F.when(F.col("shingle").bitwiseAND(F.lit(MAP - 1)) == k, bit).otherwise(0)).alias(f"w{k}") for k in range(MAP)]
+    maps = members.join(rows.groupBy("node").agg(*words), "node")
+    return maps.groupBy("ball").agg(*(F.when(F.count("*") == 1, F.min(f"w{k}")).alias(f"w{k}") for k in range(MAP)))
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """(a, b): balls of different groups with members(node, ball, group) whose rarest shingles meet.
 
     Sets of similarity 0.75 or more share a shingle among the rarest floor(n / 4) + 1 of each, in any
@@ -76,8 +92,9 @@ def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     skipped; at their first common shingle they never are, so each pair is met at least once. A ball posts a
     shingle once, with bounds that hold for each of its members and what they all carry alike.
     """
-    rows = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingled, "node long, shingle long")
-    rows = scratch(rows, "shingles")
+    rows = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").transform(in_batches, _shingled, "node long, shingle long")
+    rows = scratch(rows, "shingles", folder)
+    maps = scratch(_maps(members, rows), "maps", folder)
     df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     own = Window.partitionBy("node")
     rows = rows.join(df, "shingle").withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "shingle")))
@@ -87,19 +104,20 @@ def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.join(ends, "shingle", "left_semi").withColumn("prior", prior)
     least, most = F.min("prior"), F.max("prior")
     rows = rows.groupBy("shingle", "ball").agg(F.min("group").alias("group"), F.min("n").alias("n"), F.max(F.col("n") - F.col("r")).alias("room"), F.when(least == most, least).otherwise(F.array().cast("array<bigint>")).alias("prior"))
-    rows = scratch(rows, "rare")
+    rows = scratch(rows.join(maps, "ball"), "rare", folder)
     # at their first common shingle, what is left of both must hold the whole intersection
     enough = "7 * (1 + least(x.room, y.room)) >= 3 * (x.n + y.n)"
-    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.shingle = y.shingle and x.ball < y.ball and x.group <> y.group and {enough} and not arrays_overlap(x.prior, y.prior)"))
+    differ = " + ".join(f"bit_count(x.w{k} ^ y.w{k})" for k in range(MAP))
+    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.shingle = y.shingle and x.ball < y.ball and x.group <> y.group and {enough} and coalesce(7 * ({differ}) <= x.n + y.n, true) and not arrays_overlap(x.prior, y.prior)"))
     return both.select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
 
 
-def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def linked_components(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: int, given: DataFrame | None = None) -> DataFrame:
     """(node, component) of all nodes that have a link of 0.75 Jaccard similarity or more.
 
-    signatures(node, tokens array<long>) must hold one row for each distinct set, texts(node, text) its text
-    (more nodes and repeated rows are ignored). A node takes part only if threshold of its tokens occur elsewhere at all, so
-    unique texts leave after one shuffle of their tokens and their text is never moved.
+    signatures(node, tokens array<long>) must hold one row for each distinct set; texts gives (node, text) for a table of
+    nodes. A node takes part only if threshold of its tokens occur elsewhere at all, so unique texts leave after one
+    shuffle of their tokens. given(a, b) are links besides those that are found.
 
     1. Star pass: each node is measured against one pivot, the smallest node that shares its most frequent
        token. Nodes linked to a pivot form its ball. A group of n near copies costs n pairs, not n * n.
@@ -115,53 +133,59 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
        is a metric; all distances used are exact) are opened up and their members paired by their rarest
        shingles, unless they are in one component by then.
     """
+    with room(signatures.sparkSession) as folder:
+        return _linked(signatures, texts, threshold, given, folder)
+
+
+def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: int, given: DataFrame | None, folder: str) -> DataFrame:
     postings = signatures.select("node", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = scratch(postings.join(counts, "token"), "shared")
-    taking = scratch(shared.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("node"), "taking")
+    shared = scratch(postings.join(counts, "token"), "shared", folder)
+    taking = scratch(shared.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("node"), "taking", folder)
     shared = shared.join(taking, "node", "left_semi")
-    signatures = scratch(signatures.join(taking, "node", "left_semi"), "signatures")
-    texts = scratch(texts.join(taking, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    signatures = scratch(signatures.join(taking, "node", "left_semi"), "signatures", folder)
+    texts = scratch(texts_of(taking), "texts", folder)
 
     hottest = shared.groupBy("node").agg(F.max(F.struct("c", "token")).alias("top")).select("node", F.col("top.token").alias("token"))
     pivots = hottest.groupBy("token").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     star = hottest.join(pivots, "token").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    star = scratch(measure(_matching(star, signatures, threshold), texts).where("linked"), "star")
+    star = scratch(measure(_matching(star, signatures, threshold), texts).where("linked"), "star", folder)
     balls = star.select(F.col("a").alias("node"), F.col("b").alias("ball"), "dist")
 
-    held = scratch(shared.select("node", "token").join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held")
+    held = scratch(shared.select("node", "token").join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held", folder)
     low = F.min(F.struct(F.xxhash64("node"), "node", "ball"))
     ends = held.groupBy("token").agg(low.alias("p"), F.min("ball").alias("first"), F.max("ball").alias("last"), F.count("*").alias("n")).where((F.col("first") != F.col("last")) & (F.col("n") > HOT))
     ends = ends.select("token", F.col("p.node").alias("pivot"), F.col("p.ball").alias("other"), "n")
     crowd = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "token"))
     spread = held.join(ends, "token").where("ball <> other").withColumn("k", crowd).where(F.col("k") <= PIVOTS)
     spread = spread.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    spread = scratch(measure(_matching(spread, signatures, threshold), texts).where("linked"), "spread")
+    spread = scratch(measure(_matching(spread, signatures, threshold), texts).where("linked"), "spread", folder)
     links = star.select("a", "b").unionByName(spread.select("a", "b"))
-    found = scratch(connected_components(links).withColumnRenamed("component", "group"), "found")
+    links = links.unionByName(scratch(given, "given", folder)) if given is not None else links
+    found = scratch(connected_components(links).withColumnRenamed("component", "group"), "found", folder)
 
     posted = held.join(found, "node", "left").select("token", "ball", F.coalesce("group", "node").alias("group")).distinct()
     df = posted.groupBy("token").agg(F.count("*").alias("df"), F.min("group").alias("first"), F.max("group").alias("last")).where("first <> last").select("token", "df")
     posted = posted.join(df, "token")
     own = Window.partitionBy("ball")
     posted = posted.withColumn("s", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "token")))
-    posted = scratch(posted.where(F.col("r") <= F.col("s") - threshold + 1).select("token", "ball", "group", "df"), "posted")
+    posted = scratch(posted.where(F.col("r") <= F.col("s") - threshold + 1).select("token", "ball", "group", "df"), "posted", folder)
     crowded = posted.where(F.col("df") > HOT).select("ball", "group").distinct()
-    rare = _rare_pairs(held.select("node", "ball").distinct().join(crowded, "ball"), texts)
+    rare = _rare_pairs(held.select("node", "ball").distinct().join(crowded, "ball"), texts, folder)
     posted = posted.where(F.col("df") <= HOT)
     pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.token = y.token and x.ball < y.ball and x.group <> y.group")).select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
-    pairs = scratch(pairs.unionByName(rare).distinct(), "pairs")
+    pairs = scratch(pairs.unionByName(rare).distinct(), "pairs", folder)
 
     radius = balls.groupBy("ball").agg(F.max("dist").alias("radius"))
     ra, rb = radius.select(F.col("ball").alias("a"), F.col("radius").alias("ra")), radius.select(F.col("ball").alias("b"), F.col("radius").alias("rb"))
     sized = pairs.join(ra, "a", "left").join(rb, "b", "left")
     wide = sized.where("ra is not null or rb is not null").select("a", "b")
     lone = _matching(sized.where("ra is null and rb is null").select("a", "b"), signatures, threshold)
-    centres = scratch(measure(lone.unionByName(wide), texts), "centres")
+    centres = scratch(measure(lone.unionByName(wide), texts), "centres", folder)
     links = links.unionByName(centres.where("linked").select("a", "b"))
 
     open_ = centres.where("not linked").join(ra, "a", "left").join(rb, "b", "left").where("(ra is not null or rb is not null) and dist <= 0.25 + coalesce(ra, 0) + coalesce(rb, 0) + 1e-9")
-    open_ = scratch(open_.select("a", "b", "dist"), "open")
+    open_ = scratch(open_.select("a", "b", "dist"), "open", folder)
     if not open_.isEmpty():
         found = connected_components(links)
         ca, cb = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -169,6 +193,6 @@ def linked_components(signatures: DataFrame, texts: DataFrame, threshold: int) -
         ends = open_.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
         member = balls.select("node", "ball").join(ends, "ball").select("node").unionByName(ends.select(F.col("ball").alias("node"))).distinct()
         member = member.join(found, "node", "left").select("node", F.col("node").alias("ball"), F.coalesce("component", "node").alias("group"))
-        inner = scratch(measure(_rare_pairs(scratch(member, "members"), texts).distinct(), texts).where("linked").select("a", "b"), "inner")
+        inner = scratch(measure(_rare_pairs(scratch(member, "members", folder), texts, folder).distinct(), texts).where("linked").select("a", "b"), "inner", folder)
         links = links.unionByName(inner)
     return connected_components(links)

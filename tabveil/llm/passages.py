@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ._shared import _LOWER, _SPACE_LUT, PASS_BYTES, SHINGLE, batches, minhash_parameters, mix64, passes, scratch, shingle_hashes
+from ._shared import _LOWER, _SPACE_LUT, PASS_BYTES, SHINGLE, batches, in_batches, minhash_parameters, mix64, passes, room, scratch, shingle_hashes
 from .linking import linked_components
 
 #: Bands and rows of a band: two paragraphs of similarity 0.75 meet in no band with probability (1 - 0.75 ** 2) ** 12,
@@ -112,20 +112,21 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     paragraphs fall into one class with a probability of 2**-64.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(_signed(least_words), "doc_id long, paragraph long, start long, end long, n_words long, node long, tokens array<long>")
+    found = docs.transform(in_batches, _signed(least_words), "doc_id long, paragraph long, start long, end long, n_words long, node long, tokens array<long>")
     found = scratch(found, "paragraphs")
     signatures = scratch(found.select("node", "tokens").dropDuplicates(["node"]), "classes")
-    linked = linked_components(signatures, docs.select("text").mapInArrow(_texts(least_words), "node long, text string"), 1)
+    lines = docs.select("text").transform(in_batches, _texts(least_words), "node long, text string")
+    linked = linked_components(signatures, lambda nodes: lines.join(nodes, "node", "left_semi").dropDuplicates(["node"]), 1)
     rows = found.drop("tokens").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct("doc_id", "paragraph", "start")
-    clusters = rows.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    clusters = scratch(rows.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1"), "clusters")
     rows = rows.join(clusters, "component")
     kept = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.paragraph") == F.col("paragraph"))
     return rows.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.paragraph").alias("keeper_paragraph"), kept.alias("kept"))
 
 
-#: Words of the grams that are sampled: each window of WINDOW words posts its least gram, so equal windows post the same one.
-GRAM = 8
+#: Words of a piece, and of a run that holds a whole piece wherever it begins.
+PIECE, RUN = 20, 51
 
 
 def _word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,96 +148,93 @@ def _joined(shingles: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _least_grams(shingles: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams, and for each window of words the place of its least gram (the first of equal ones)."""
-    grams = _joined(shingles, GRAM)
-    wide = np.lib.stride_tricks.sliding_window_view(mix64(grams), window - GRAM + 1)
-    least = np.empty(len(wide), dtype=np.int64)
-    for i in range(0, len(wide), PASS):
-        least[i : i + PASS] = wide[i : i + PASS].argmin(axis=1)
-    return grams, least + np.arange(len(wide))
+def pieces(shingles: np.ndarray, piece: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, hash) of the pieces of a text: of each run of so many words, the piece of least hash.
 
-
-def _streams(ids: list, texts: list, window: int):
-    """(id, raw bytes, shingle hashes) of the texts of window words or more, in runs of about PASS_BYTES."""
-    for first, raws in passes(texts):
-        hashes, at, counts = shingle_hashes(raws)
-        for i in np.flatnonzero(counts >= window):
-            yield ids[first + i], raws[i], hashes[at[i] : at[i + 1]]
-
-
-def _posted(window: int):
-    def run(rows):
+    Which piece it is depends on the run's own words only, so equal runs give equal pieces wherever they stand.
+    Equal pieces that overlap, as in a text that repeats a phrase, are one longer piece.
+    """
+    hashes = _joined(shingles, piece)
+    width = run - piece + 1
+    if len(hashes) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), hashes[:0]
+    low, span = hashes, 1
+    while 2 * span <= width:
+        low, span = np.minimum(low[: len(low) - span], low[span:]), 2 * span
+    if span < width:
+        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    # a piece is the least of some run if it equals the least of one of the runs that hold it
+    most, span = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), 1
+    while 2 * span <= width:
+        most, span = np.maximum(most[: len(most) - span], most[span:]), 2 * span
+    if span < width:
+        most = np.maximum(most[: len(most) - (width - span)], most[width - span :])
+    at = np.flatnonzero(hashes == most)
+    own = hashes[at]
+    fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(at) > piece)])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], at[last] + piece - at[first], own[first]
+
+
+def _posted(piece: int, run: int):
+    def post(rows):
         for batch in batches(rows, 500):
-            docs, keys = [], []
-            for doc, _, shingles in _streams(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
-                grams, least = _least_grams(shingles, window)
-                own = grams[np.unique(least)]
-                docs.append(np.full(len(own), doc, dtype=np.int64))
-                keys.append(own.astype(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys))], ["text_id", "gram"])
-
-    return run
-
-
-def _candidates(window: int):
-    def run(rows):
-        for batch in batches(rows, 100):
-            known = dict(zip(batch.column(0).to_pylist(), batch.column(2), strict=True))
             out = []
-            for doc, raw, shingles in _streams(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
-                grams, least = _least_grams(shingles, window)
-                seen = known[doc].values.to_numpy().view(np.uint64)
-                at = np.flatnonzero(np.isin(grams, seen)[least])
-                starts, ends, lines = _word_bounds(raw)
-                span = (starts[at] << 32) | ends[at + window - 1]
-                out.append((np.full(len(at), doc, dtype=np.int64), (at << 32) | lines[at], span, _joined(shingles, window)[at].astype(np.int64)))
+            for begin, raws in passes(batch.column(2).to_pylist()):
+                hashes, at, counts = shingle_hashes(raws)
+                for i in np.flatnonzero(counts >= run):
+                    first, words, own = pieces(hashes[at[i] : at[i + 1]], piece, run)
+                    starts, ends, lines = _word_bounds(raws[i])
+                    out.append((np.full(len(own), begin + i), own.astype(np.int64), first, words, starts[first], ends[first + words - 1], lines[first]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["text_id", "place", "span", "h"])
+                row, own, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(own), *(pa.array(c.astype(np.int32)) for c in rest)], PIECES.names)
 
-    return run
+    return post
 
 
-def repeated_spans(docs: DataFrame, window: int = LEAST_WORDS) -> DataFrame:
-    """The runs of words of docs(doc_id, text) that occur more than once word for word, wherever they begin.
+PIECES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "text_id", "h")), *(T.StructField(c, T.IntegerType()) for c in ("at", "words", "start", "end", "line"))])
+
 
-    Columns as of repeated_passages; paragraph and keeper_paragraph are the lines where the run and its keeper begin.
-    A text is one stream of words, so a run may lie inside a line or cross lines. Each window of so many words that occurs in
-    two places has as keeper the smallest (doc_id, place) of them, and a row is a maximal run of such windows whose keepers
-    lie in one text, those that are kept apart from the others. So every word of a repeated window is in a row; a copy with
-    words changed has a row for each stretch of window words or more between the changes. Rows that repeat a doc_id and
-    text count once.
+def repeated_spans(docs: DataFrame, piece: int = PIECE, run: int = RUN) -> DataFrame:
+    """The runs of words of docs(doc_id, text) that occur more than once word for word, wherever they begin.
 
-    1. Each window posts its least gram: texts that share a window share that gram. Only windows whose gram
-       occurs twice go on.
-    2. Those windows are counted by their hash, and runs are made of the ones that recur.
+    Columns as of repeated_passages; paragraph and keeper_paragraph are the lines where the span and its keeper begin.
+    A text is one stream of words, so a run may lie inside a line or cross lines. It is cut into pieces at places that its
+    own words choose, one at least in each run of so many words: of two equal runs both have it, and it is found.
+    Shorter ones are found if they happen to hold a piece. A piece of two places has as keeper the
+    smallest (doc_id, first word) where it is one; a row is a maximal series of such pieces with less than run - piece words
+    between them whose keepers lie in one text, keepers apart from others. It reaches from the first piece's start to
+    the last one's end, so up to run - piece words of a repeated run may be left at either end. Rows that repeat a doc_id
+    and text count once. Pieces are compared by 64-bit digests of their words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("text is not null").withColumn("text_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    posted = scratch(docs.select("text_id", "text").mapInArrow(_posted(window), "text_id long, gram long"), "grams")
-    twice = posted.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    held = posted.join(twice, "gram").groupBy("text_id").agg(F.collect_list("gram").alias("grams"))
-    taken = docs.select("text_id", "doc_id", "text").join(held, "text_id").dropDuplicates(["text_id"])
-    found = scratch(taken.select("text_id", "text", "grams").mapInArrow(_candidates(window), "text_id long, place long, span long, h long"), "windows")
-    ids = scratch(docs.select("text_id", "doc_id").distinct(), "ids")
-    found = found.join(ids, "text_id")
-    low = F.min(F.struct("doc_id", "text_id", "place"))
-    firsts = found.groupBy("h").agg(low.alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper")
-    rows = found.join(firsts, "h").withColumn("at", F.shiftright("place", 32))
-    rows = rows.withColumn("keeper_id", F.col("keeper.text_id")).withColumn("kept", (F.col("text_id") == F.col("keeper.text_id")) & (F.col("place") == F.col("keeper.place")))
-    run = F.row_number().over(Window.partitionBy("text_id", "keeper_id", "kept").orderBy("at"))
-    rows = rows.withColumn("run", F.col("at") - run)
-    first, last = F.min(F.struct("at", "place", "span", "keeper")), F.max(F.struct("at", "span"))
-    rows = rows.groupBy("text_id", "doc_id", "keeper_id", "kept", "run").agg(first.alias("first"), last.alias("last"))
-    low32 = lambda x: F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))
-    return rows.select(
-        "doc_id",
-        low32("first.place").alias("paragraph"),
-        F.shiftright("first.span", 32).alias("start"),
-        low32("last.span").alias("end"),
-        (F.col("last.at") - F.col("first.at") + window).alias("n_words"),
-        F.col("first.keeper.doc_id").alias("keeper_doc_id"),
-        low32("first.keeper.place").alias("keeper_paragraph"),
-        "kept",
-    )
+    with room(docs.sparkSession) as folder:
+        posted = scratch(docs.select("doc_id", "text_id", "text").transform(in_batches, _posted(piece, run), PIECES), "pieces", folder)
+        place = F.xxhash64("text_id", "at")
+        twice = posted.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("words").alias("w")).where((F.col("a") != F.col("b")) | (F.col("w") > piece))
+        twice = scratch(twice.select("h"), "twice", folder)
+        found = scratch(posted.join(twice, "h"), "recurring", folder)
+        keepers = found.groupBy("h").agg(F.min(F.struct("doc_id", "text_id", "at", "line")).alias("keeper"))
+        rows = found.join(scratch(keepers, "keepers", folder), "h").withColumn("keeper_id", F.col("keeper.text_id"))
+        rows = rows.withColumn("kept", (F.col("text_id") == F.col("keeper_id")) & (F.col("at") == F.col("keeper.at")))
+        own = Window.partitionBy("text_id", "keeper_id", "kept").orderBy("at")
+        fresh = F.coalesce(F.col("at") - F.lag(F.col("at") + F.col("words")).over(own) > run - piece, F.lit(True))
+        rows = rows.withColumn("fresh", fresh.cast("int")).withColumn("series", F.sum("fresh").over(own))
+        first, last = F.min(F.struct("at", "start", "line", "keeper")), F.max(F.struct(F.col("at") + F.col("words"), "end"))
+        rows = rows.groupBy("text_id", "doc_id", "keeper_id", "kept", "series").agg(first.alias("first"), last.alias("last"))
+        return scratch(
+            rows.select(
+                "doc_id",
+                F.col("first.line").cast("long").alias("paragraph"),
+                F.col("first.start").cast("long").alias("start"),
+                F.col("last.end").cast("long").alias("end"),
+                (F.col("last.col1") - F.col("first.at")).cast("long").alias("n_words"),
+                F.col("first.keeper.doc_id").alias("keeper_doc_id"),
+                F.col("first.keeper.line").cast("long").alias("keeper_paragraph"),
+                "kept",
+            ),
+            "spans",
+        )

@@ -3,7 +3,7 @@ import random
 
 from tabveil.llm._shared import shingles_of
 from tabveil.llm.linking import _rare_pairs
-from tabveil.llm.near_dedup import near_duplicates
+from tabveil.llm.near_dedup import deduplicate, near_duplicates
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
@@ -79,7 +79,7 @@ def test_null_ids_take_their_class(spark):
     assert got == {(3, 3): (3, True), (None, 3): (3, False), (None, 1): (None, True)}
 
 
-def test_rare_pairs_lose_no_linked_pair_of_balls(spark):
+def test_rare_pairs_lose_no_linked_pair_of_balls(spark, tmp_path):
     rng = random.Random(11)
     bases = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (12, 40, 150)]
     shared = [f"s{i}" for i in range(30)]
@@ -100,5 +100,38 @@ def test_rare_pairs_lose_no_linked_pair_of_balls(spark):
         for y in range(x)
         if ball[x] != ball[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
     }
-    found = {(r.a, r.b) for r in _rare_pairs(members, nodes).distinct().collect()}
+    found = {(r.a, r.b) for r in _rare_pairs(members, nodes, str(tmp_path)).distinct().collect()}
     assert expected and expected <= found
+
+
+def test_many_far_variants_make_few_pairs(spark, tmp_path):
+    """Variants of one text, mostly too far from each other: their maps tell it before they are paired."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        own = [f"c{k}" for k in range(90)]
+        for k in rng.sample(range(90), rng.choice([2, 3])):
+            own[k] = f"y{rng.randrange(2000)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "node long, text string")
+    members = df.select("node", df.node.alias("ball"), df.node.alias("group"))
+    sets = [shingles_of(t) for _, t in rows]
+    near = {(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+    found = {(r.a, r.b) for r in _rare_pairs(members, df, str(tmp_path)).collect()}
+    assert near <= found and len(found) < 0.35 * 400 * 399 / 2
+    assert result(near_duplicates(df.withColumnRenamed("node", "doc_id"))) == brute_force(rows)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    one, two = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    near = lambda t: t.replace("7 ", "7q ", 1)
+    df = spark.createDataFrame([(5, one), (5, two), (2, near(two)), (3, near(one)), (9, "alone")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(2, 2), (3, 2), (5, 2), (9, 9)}
+
+
+def test_deduplicate_null_ids_and_clashing_names(spark):
+    x = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, x, 1), (3, x, 2), (None, "other", 3), (None, None, 4), (7, x + " more", 5), (8, None, 6), (8, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long")
+    assert sorted(r.gone for r in deduplicate(df).collect()) == [2, 3, 4, 6, 7]
+    assert deduplicate(df).columns == df.columns and deduplicate(df.limit(0)).collect() == []

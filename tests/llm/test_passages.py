@@ -3,7 +3,7 @@ import random
 import re
 
 from tabveil.llm._shared import shingles_of, words_of
-from tabveil.llm.passages import repeated_passages, repeated_spans
+from tabveil.llm.passages import PIECE, RUN, repeated_passages, repeated_spans
 
 LEAST = 20
 
@@ -67,52 +67,66 @@ def test_edges(spark):
     assert repeated_passages(df.limit(0)).collect() == []
 
 
-def windows(rows):
-    """(doc, first word) of each run of LEAST words that has another place, with the least place of it."""
+def occurrences(rows, n):
+    """The places (doc, first word) of each run of n words."""
     places = {}
     for d, t in rows:
         words = words_of(t)
-        for i in range(len(words) - LEAST + 1):
-            places.setdefault(tuple(words[i : i + LEAST]), []).append((d, i))
-    return {p: min(own) for own in places.values() if len(own) > 1 for p in own}
+        for i in range(len(words) - n + 1):
+            places.setdefault(tuple(words[i : i + n]), set()).add((d, i))
+    return places
 
 
 def check_spans(rows, df):
-    """Each row must be repeated text with its keeper, and each repeated window be in rows that hold all its words."""
-    wanted, texts, seen = windows(rows), dict(rows), set()
+    """A row's first and last piece occur elsewhere, the first one in its keeper's line; each repeated run of RUN words has a piece in a row."""
+    short, texts = occurrences(rows, PIECE), dict(rows)
+    covered = {}
     for r in df.collect():
         text = texts[r.doc_id]
-        first, words = len(words_of(text[: r.start])), words_of(text[r.start : r.end])
-        own = [(r.doc_id, first + i) for i in range(len(words) - LEAST + 1)]
-        assert len(words) == r.n_words >= LEAST and r.paragraph == text[: r.start].count("\n")
-        assert {wanted[p][0] for p in own} == {r.keeper_doc_id} and {wanted[p] == p for p in own} == {r.kept}
-        d, i = wanted[own[0]]
-        at = [m.start() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", texts[d])][i]
-        assert r.keeper_paragraph == texts[d][:at].count("\n")
-        assert not seen & set(own)
-        seen |= set(own)
-    assert seen == set(wanted)
+        at, words = len(words_of(text[: r.start])), words_of(text[r.start : r.end])
+        assert len(words) == r.n_words >= PIECE and r.paragraph == text[: r.start].count("\n")
+        for x in (words[:PIECE], words[-PIECE:]):
+            assert len(short[tuple(x)]) > 1
+        own = short[tuple(words[:PIECE])]
+        keepers = sorted(x for x in own if x[0] == r.keeper_doc_id)[:20]  # of its places, the least where it is a piece
+        assert r.keeper_paragraph in {line(texts[d], i) for d, i in keepers} and (not r.kept or (r.doc_id, at) in own)
+        covered.setdefault(r.doc_id, []).append((at, at + len(words)))
+    runs = [p for own in occurrences(rows, RUN).values() if len(own) > 1 for p in own]
+    for d, i in runs:
+        assert any(min(b, i + RUN) - max(a, i) >= PIECE for a, b in covered[d]), (d, i)
+    return runs
+
+
+def line(text, word):
+    at = [m.start() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)][word]
+    return text[:at].count("\n")
 
 
 def test_spans_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check_spans([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()], repeated_spans(docs))
+    assert check_spans([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()], repeated_spans(docs))
 
 
 def test_spans_in_mid_line_and_over_short_lines(spark):
     rng = random.Random(6)
     words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
-    inside, across, short = words(60), words(60).split(), words(20)
+    inside, across = words(RUN), words(60).split()
     rows = [(i, f"{words(50 + i)} \u00e9\U0001f600 {inside.upper() if i % 2 else inside} {words(40)}") for i in range(6)]
     rows += [(10 + i, "\n".join([words(9), *(" ".join(across[j : j + 4 + i]) for j in range(0, 60, 4 + i)), words(7)])) for i in range(6)]
-    rows += [(20, f"{words(30)} {short} {words(5)}"), (21, short), (22, words(400)), (23, "again " * 90)]
+    rows += [(20, words(400)), (21, "again " * 3_000), (22, "once more " * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check_spans(rows, repeated_spans(df))
     found = {}
     for r in repeated_spans(df).collect():
-        found.setdefault(r.doc_id, []).append(r.n_words)
-    assert {d: sum(n) for d, n in found.items()} == {**{i: 61 for i in range(6)}, **{10 + i: 60 for i in range(6)}, 20: 20, 21: 20, 23: 109}
-    assert not repeated_passages(df).count()
-    more = spark.createDataFrame([(None, inside), (1, inside), (1, inside), (2, None), (3, "")], "doc_id long, text string")
-    assert sorted(((r.doc_id or 0), r.keeper_doc_id, r.kept, r.n_words) for r in repeated_spans(more).collect()) == [(0, None, True, 60), (1, None, False, 60)]
+        found.setdefault(r.doc_id, []).append((r.n_words, r.keeper_doc_id, r.kept))
+    assert {*found} == {*range(6), *range(10, 16), 21, 22} and found[21] == [(3_000, 21, True)]
+    assert all((0, k, d == k) in [(0, *x[1:]) for x in found[d]] for d in found if d < 20 for k in (10 * (d // 10),))
+    assert not repeated_passages(df).where("doc_id < 20").count()
+
+
+def test_spans_edges(spark):
+    inside = " ".join(f"x{k}" for k in range(70))
+    df = spark.createDataFrame([(None, inside, "a"), (1, inside, "b"), (1, inside, None), (2, None, "c"), (3, "", "d")], "doc_id long, text string, h string")
+    got = sorted(((r.doc_id or 0), r.keeper_doc_id, r.kept) for r in repeated_spans(df).collect())
+    assert got == [(0, None, True), (1, None, False)]
     assert repeated_spans(df.limit(0)).collect() == []
