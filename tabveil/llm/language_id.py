@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._shared import POWERS, batches, hash_sample, in_batches, mix64, passes, prefix_hashes
 
-#: Units of each direction, bytes of a sequence at most (longer words are cut), documents and words to learn from.
+#: Units of each direction, bytes of a sequence at most (longer words are cut into several), documents and words to learn from.
 UNITS, REACH, TRAIN_DOCS, TRAIN_WORDS = 12, 48, 3000, 60_000
 STEPS, BATCH, RATE = 900, 256, 0.02
 
@@ -128,10 +128,10 @@ class Network:
 
 
 def matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Left-aligned bytes of words, none of them empty, cut at REACH, and their lengths."""
-    lengths = np.array([min(len(w), REACH) for w in words])
+    """Left-aligned bytes of words of 1 to REACH bytes, and their lengths."""
+    lengths = np.array([len(w) for w in words])
     width = int(lengths.max())
-    return np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width), lengths
+    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width), lengths
 
 
 def label_texts(network: Network, raws: list[bytes]) -> np.ndarray:
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAI
     """Fit on docs(doc_id, text, lang): words of train_docs documents at most, chosen by a hash of doc_id.
 
     Of their distinct (word, lang) at most train_words are taken, again by hash. Both bounds are the
-    classifier's training sample; rows without text or lang don't count. None if nothing is left.
+    classifier's training sample; a word over REACH bytes is learnt in pieces, as it is read in identify(). Rows without text or lang don't count. None if nothing is left.
     """
     chosen = hash_sample(docs.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "doc_id", train_docs)
     words = chosen.select("lang", F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("word")).where("word <> ''")
@@ -190,8 +190,9 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAI
         return None
     langs = sorted({r.lang for r in found})
     at = {x: i for i, x in enumerate(langs)}
-    texts = [r.word.encode("utf-8", "replace") for r in found]
-    return Network.new(langs).train(texts, np.array([at[r.lang] for r in found]), np.array([r.n for r in found]))
+    cut = [(raw[i : i + REACH], at[r.lang], r.n) for r in found if (raw := r.word.encode("utf-8", "replace")) for i in range(0, len(raw), REACH)]
+    pieces, labels, counts = zip(*cut, strict=True)
+    return Network.new(langs).train([*pieces], np.array(labels), np.array(counts))
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -37,21 +38,42 @@ _DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-]
 #: Candidates to learn from, share of them that calibrates, precision that a threshold must reach, trees, depth.
 TRAIN, CALIBRATE, PRECISION, TREES, DEPTH = 3000, 4, 0.95, 6, 3
 BEFORE, AFTER = 24, 8
+#: Matches whose places are summed up at a time.
+RUN = 128
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once, also where use has lambdas of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of a pattern's matches: code points, end exclusive."""
+    """array<struct<s, e, m>> of a pattern's matches: code points, end exclusive.
+
+    Places are summed up in runs of RUN matches and then over the runs, as appending to one array of all would take time
+    in the square of the matches.
+    """
     lone = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(F.split(text, pattern, -1), lone, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    kind = "array<struct<s:int,e:int,m:string>>"
+    none = F.expr(f"cast(array() as {kind})")
+    span = lambda s, e, m: F.array(F.struct(s.alias("s"), e.alias("e"), m.alias("m")))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc.at + p.gap
         end = start + F.char_length(p.m)
-        return F.when(p.m.isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("s"), end.alias("e"), p.m.alias("m")))).alias("out")))
+        return F.when(p.m.isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc.out, span(start, end, p.m)).alias("out")))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc.out)
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+    def placed(acc: Column, run: Column) -> Column:
+        moved = F.transform(run.out, lambda x: F.struct((x.s + acc.at).alias("s"), (x.e + acc.at).alias("e"), x.m.alias("m")))
+        return F.struct((acc.at + run.at).alias("at"), F.concat(acc.out, F.array(moved)).alias("out"))
+
+    def found(every: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(RUN))
+        runs = F.transform(starts, lambda i: F.aggregate(F.slice(every, i, F.lit(RUN)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out")), placed, lambda acc: F.flatten(acc.out))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(pieces, found)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -86,8 +108,8 @@ def base_spans(text: Column) -> Column:
 
 
 def proposals(text: Column) -> Column:
-    """array<struct<kind, s, e, m>> of the generators, overlaps included."""
-    return F.concat(*[F.transform(matches(text, PROPOSED[kind]), lambda x: F.struct(F.lit(k).alias("kind"), x.s.alias("s"), x.e.alias("e"), x.m.alias("m"))) for k, kind in enumerate(KINDS)])
+    """array<struct<kind, s, e>> of the generators, overlaps included."""
+    return F.concat(*[F.transform(matches(text, PROPOSED[kind]), lambda x: F.struct(F.lit(k).alias("kind"), x.s.alias("s"), x.e.alias("e"))) for k, kind in enumerate(KINDS)])
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -216,28 +238,36 @@ def train(spark: SparkSession, n: int = TRAIN) -> Judge:
     return judge
 
 
-def find(docs: DataFrame, judge: Judge) -> DataFrame:
-    """docs with pii_base and pii_spans, arrays of (kind, s, e) by start, then kind: code points, end exclusive.
+def find(docs: DataFrame, judge: Judge, prefix: str = "pii") -> DataFrame:
+    """docs with pii_base and pii_spans (or another prefix), arrays of (kind, s, e) by start, then kind: code points, end exclusive.
 
     pii_base holds what the base rules find, pii_spans also the proposed candidates that the trees accept
     and that touch no base span; where accepted ones overlap, the leftmost longest stays. Null and
     empty texts have no spans. Columns of these names are replaced, others pass through; repeated rows stay.
-    Everything is computed within the row; a row's time grows faster than its matches beyond some 10,000.
+    Everything is computed within the row.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.drop("pii_base", "pii_spans")
+    base, spans = f"{prefix}_base", f"{prefix}_spans"
+    docs = docs.drop(base, spans)
+
+    packed = lambda x: x.kind.cast("long") * (1 << 60) + x.s.cast("long") * (1 << 30) + x.e
 
     def context(c: Column) -> Column:
-        start = F.greatest(c.s - BEFORE, F.lit(0))
-        return F.struct(c.kind.alias("kind"), c.s.alias("s"), c.e.alias("e"), c.m.alias("m"), F.substr(text, start + 1, c.s - start).alias("before"), F.substr(text, c.e + 1, F.lit(AFTER)).alias("after"))
+        """Of a packed candidate, its span, its text and what stands around it."""
+        kind, s, e = (F.pmod(F.shiftright(c, n), F.lit(1 << 30)).cast("int") for n in (60, 30, 0))
+        start = F.greatest(s - BEFORE, F.lit(0))
+        return F.struct(kind.alias("kind"), s.alias("s"), e.alias("e"), F.substr(text, s + 1, e - s).alias("m"), F.substr(text, start + 1, s - start).alias("before"), F.substr(text, e + 1, F.lit(AFTER)).alias("after"))
 
     least = F.array(*map(F.lit, judge.least))
-    accepted = F.filter(F.transform(proposals(text), context), lambda c: judge.score(features(c)) >= F.element_at(least, c.kind + 1))
+    found = docs.withColumn(base, _sorted(base_spans(text)))
+    # what the base rules have found needs no judgement; numbers, as Spark hashes these
+    left = F.array_except(F.transform(proposals(text), packed), F.transform(base, packed))
+    accepted = F.filter(F.transform(left, context), lambda c: judge.score(features(c)) >= F.element_at(least, c.kind + 1))
     bare = F.transform(accepted, lambda c: F.struct(c.kind.alias("kind"), c.s.alias("s"), c.e.alias("e")))
-    found = docs.withColumn("pii_base", _sorted(base_spans(text))).withColumn("pii_spans", bare)
-    apart = F.filter("pii_spans", lambda c: ~F.exists("pii_base", lambda b: (b.s < c.e) & (c.s < b.e)))
+    found = found.withColumn(spans, bare)
+    apart = F.filter(spans, lambda c: ~F.exists(base, lambda b: (b.s < c.e) & (c.s < b.e)))
     first = F.aggregate(_sorted(apart), F.expr("cast(array() as array<struct<kind:int,s:int,e:int>>)"), lambda out, c: F.when((F.size(out) == 0) | (F.element_at(out, -1).e <= c.s), F.concat(out, F.array(c))).otherwise(out))
-    return found.withColumn("pii_spans", F.when(F.size("pii_spans") == 0, F.col("pii_base")).otherwise(_sorted(F.concat("pii_base", first))))
+    return found.withColumn(spans, F.when(F.size(spans) == 0, F.col(base)).otherwise(_sorted(F.concat(F.col(base), first))))
 
 
 def _sorted(spans: Column) -> Column:
@@ -255,7 +285,8 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, judge: Judge) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; null texts stay null, other columns as they are."""
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = find(docs, judge)
+    prefix = f"pii_{uuid.uuid4().hex}"  # no column of docs has such a name
+    found = find(docs, judge, prefix)
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substr(F.col("text"), acc.at + 1, x.s - acc.at)
@@ -263,5 +294,5 @@ def redact(docs: DataFrame, judge: Judge) -> DataFrame:
         return F.when(x.s >= acc.at, put).otherwise(F.struct(F.greatest(acc.at, x.e).alias("at"), acc.out.alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate("pii_spans", start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(F.col("text"), acc.at + 1, F.char_length("text") - acc.at)))
-    return found.withColumn("text", F.when(F.size("pii_spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    done = F.aggregate(f"{prefix}_spans", start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(F.col("text"), acc.at + 1, F.char_length("text") - acc.at)))
+    return found.withColumn("text", F.when(F.size(f"{prefix}_spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)

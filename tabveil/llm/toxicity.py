@@ -193,15 +193,16 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 PASSAGES = T.ArrayType(T.StructType([T.StructField("first_token", T.IntegerType()), T.StructField("last_token", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with tox_score (0 to 1) and tox_passages added.
+def score(docs: DataFrame, model: Model, prefix: str = "tox") -> DataFrame:
+    """docs with tox_score (0 to 1) and tox_passages (or another prefix) added.
 
     A passage is a maximal scoring segment of tokens whose score chance reaches less than SIGNIFICANT times in a
     text of this length. A text without tokens, null texts included, has no passage and the lowest score. Columns
     of these names are replaced, others pass through; repeated rows stay.
     """
-    docs = docs.drop("tox_score", "tox_passages").withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_passages", PASSAGES)])
+    names = [f"{prefix}_score", f"{prefix}_passages"]
+    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], PASSAGES)])
     arrow = pa.list_(pa.struct([("first_token", pa.int32()), ("last_token", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(rows):
@@ -212,6 +213,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(model.probability(n, found))
                 told = [{"first_token": a, "last_token": b, "score": s, "expected": float(model.scale * n * np.exp(-model.rate * s))} for a, b, s in found]
                 passages.append([x for x in told if x["expected"] <= SIGNIFICANT])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, arrow)], [*batch.schema.names, "tox_score", "tox_passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, arrow)], [*batch.schema.names, *names])
 
     return docs.transform(in_batches, run, schema)

@@ -247,3 +247,32 @@ def test_pipeline_stages_decide(spark, judge):
         assert not base(r.text) or "[" in r.text
     out = corpus_pipeline.STAGES[4][1](spark, state, sf)
     assert out.where("not lossless").count() == 0 and out.count() == len(kept[4])
+
+
+def test_many_matches_and_clashing_columns(spark, judge):
+    text = " and ".join(f"é u{i}@h{i}.org" for i in range(3 * pii.RUN + 5))
+    df = spark.createDataFrame([(1, text, "mine"), (2, None, "too")], "doc_id long, text string, pii_base string")
+    found = pii.find(df.drop("pii_base"), judge).where("doc_id = 1").first()
+    assert [(x.s, x.e) for x in found.pii_base] == [m.span() for m in re.finditer(RULES["email"], text)]
+    out = {r.doc_id: r for r in pii.redact(df, judge).collect()}
+    assert out[1].pii_base == "mine" and out[1].text == re.sub(RULES["email"], "[EMAIL]", text) and out[2].text is None
+
+
+def test_pipeline_run_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet", mode="overwrite")
+
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, same, "en", "a", 1, "x"), (2, same + " end", "en", "a", 1, None), (3, None, None, None, None, "x"), (None, same, "en", "a", 1, "x"), (None, "of its own", "en", "a", 1, "x"), (5, "", "en", "a", 0, "x"), (6, "mail me@x.org", "en", "a", 1, "x"), (7, "the item that a benchmark holds is here", "en", "a", 1, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tox_score string"
+    write("documents", rows, schema)
+    write("labels", [], "doc_id long, quality int, toxic int")
+    write("benchmark", [(1, "item that a benchmark holds"), (2, None)], "item_id long, text string")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1) for r in out) == [-1, 1, 3, 5, 6] and all(r.lossless for r in out)
+    assert {r.doc_id: r.n_tokens for r in out if r.doc_id in (3, 5)} == {3: 0, 5: 0}
+    write("documents", [], schema)
+    write("benchmark", [], "item_id long, text string")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
