@@ -1,7 +1,14 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+For every stage: a null or empty text has nothing to find, so its row stays; rows with a null doc_id are documents of their
+own; rows that repeat a doc_id share its fate; an empty table gives an empty table; further columns, whatever their
+names, pass through to the last stage.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,10 +21,14 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents by passages; the labels of the documents at hand train the scorer and are not looked up to decide."""
+    """Rejects documents by passages; the labels of the documents at hand train the scorer and are not looked up to decide.
+
+    Without labels of both classes nothing is toxic, and all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.score(docs, model).where(F.col("tox_score") < REJECT).select(*docs.columns)
+    prefix = f"tox_{uuid.uuid4().hex}"  # no column of docs has such a name
+    return toxicity.score(docs, model, prefix).where(F.col(f"{prefix}_score") < REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item; without items all stay."""
     return containment.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -51,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of the documents of sf_dir that pass all stages; each stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir), name)
