@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import token
-from .distributions import cardinality_table, clean, rare_categories
+from .distributions import cardinality_table, clean, rare_categories, same
 
 
 def both_tables(first: DataFrame, second: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -55,16 +55,14 @@ def js_joint(first: DataFrame, second: DataFrame, n_variables: int = 2, exclude:
 
 def _pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     counts = clean(df.select(x, y)).groupBy(token(x).alias("x"), token(y).alias("y")).agg(F.count("*").alias("c"))
-    n = F.sum("c").over(Window.partitionBy())
-    return counts.select("x", "y", "c", F.sum("c").over(Window.partitionBy("x")).alias("cx"), F.sum("c").over(Window.partitionBy("y")).alias("cy"), n.alias("n"))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
+    return counts.select("x", "y", "c", F.sum("c").over(Window.partitionBy("x")).alias("cx"), F.sum("c").over(Window.partitionBy("y")).alias("cy"), "n")
 
 
 def theils_u(df: DataFrame, x: str, y: str) -> DataFrame:
     """value: the uncertainty of x that y removes, (H(x) - H(x|y)) / H(x); 1 if x is constant. NULL is a category."""
     cells = _pair_counts(df, x, y)
-    hx = F.sum(-F.col("c") / F.col("n") * F.ln(F.col("cx") / F.col("n")))  # each row of x weighs its own count
-    hxy = F.sum(-F.col("c") / F.col("n") * F.ln(F.col("c") / F.col("cy")))
-    return cells.agg(hx.alias("hx"), hxy.alias("hxy")).select(F.when(F.col("hx") == 0, 1.0).otherwise((F.col("hx") - F.col("hxy")) / F.col("hx")).alias("value"))
+    return cells.agg(_theil("cx", "cy").alias("value"))
 
 
 def cramers_v(df: DataFrame, x: str, y: str, corrected: bool = False) -> DataFrame:
@@ -83,10 +81,16 @@ def cramers_v(df: DataFrame, x: str, y: str, corrected: bool = False) -> DataFra
 def correlation_ratio(df: DataFrame, nominal: str, numeric: str) -> DataFrame:
     """value: eta, the root of the share of the variance between groups; rows without a number are left out."""
     rows = clean(df.select(nominal, numeric)).where(F.col(numeric).isNotNull())
-    groups = rows.groupBy(token(nominal).alias("g")).agg(F.count("*").alias("n"), F.avg(numeric).alias("m"), F.sum(F.col(numeric) * F.col(numeric)).alias("s2"))
-    mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
-    total = groups.withColumn("mean", mean).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("b"), (F.sum("s2") - F.sum("n") * F.pow(F.first("mean"), 2)).alias("t"))
-    return total.select(F.when(F.col("t") <= 0, 0.0).otherwise(F.sqrt(F.col("b") / F.col("t"))).alias("value"))
+    groups = rows.groupBy(token(nominal).alias("g")).agg(F.count("*").alias("n"), F.avg(numeric).alias("m"), F.var_pop(numeric).alias("v"))
+    return _eta(groups.withColumn("at", F.lit(0)), ["at"]).select("value")
+
+
+def _eta(groups: DataFrame, by: list[str]) -> DataFrame:
+    """by, value from groups(by, n, m, v) of size, mean and variance: sums of squares about means, none of which cancel."""
+    means = groups.groupBy(*by).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    between, within = F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)), F.sum(F.col("n") * F.col("v"))
+    found = groups.join(F.broadcast(means), by).groupBy(*by).agg(between.alias("b"), within.alias("w"))  # a row for each pair of columns
+    return found.select(*by, F.when(F.col("b") + F.col("w") <= 0, 0.0).otherwise(F.sqrt(F.col("b") / (F.col("b") + F.col("w")))).alias("value"))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -95,26 +99,53 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def associations(df: DataFrame, nominal: list[str] | None = None, kind: str = "theil") -> DataFrame:
-    """row, col, value of all pairs of columns; strings and booleans are nominal unless named."""
+    """row, col, value of all pairs of columns; strings and booleans are nominal unless named.
+
+    Three jobs whatever the number of columns: the counts of all pairs of nominal columns, which give both directions;
+    the groups of all nominal columns with the moments of all numbers; the correlations. What isn't defined is 0.
+    """
     if kind not in ("theil", "cramer"):
         raise ValueError("the association of nominal columns is theil or cramer")
-    nominal = [f.name for f in df.schema if f.dataType.typeName() in ("string", "boolean")] if nominal is None else nominal
-    parts = []
-    for x in df.columns:
-        for y in df.columns:
-            if x == y:
-                one = df.sparkSession.range(1).select(F.lit(1.0).alias("value"))
-            elif x in nominal and y in nominal:
-                one = theils_u(df, x, y) if kind == "theil" else cramers_v(df, x, y)
-            elif x in nominal or y in nominal:
-                one = correlation_ratio(df, x, y) if x in nominal else correlation_ratio(df, y, x)
-            else:
-                one = pearson(df, x, y)
-            parts.append(one.select(F.lit(x).alias("row"), F.lit(y).alias("col"), F.coalesce("value", F.lit(0.0)).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    nominal = [f.name for f in df.schema if f.dataType.typeName() in ("string", "boolean")] if nominal is None else [c for c in df.columns if c in nominal]
+    numeric = [c for c in df.columns if c not in nominal]
+    df = clean(df).select(*[token(c).alias(f"x{i}") for i, c in enumerate(nominal)], *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(numeric)])
+    name = lambda names, at: F.element_at(F.array(*map(F.lit, names)), F.col(at) + 1)
+    out = df.sparkSession.createDataFrame([(c, c, 1.0) for c in [*nominal, *numeric]], "row string, col string, value double")
+    both = lambda found, a, b: found.select(F.explode(F.array(F.struct(a.alias("row"), b.alias("col"), "value"), F.struct(b.alias("row"), a.alias("col"), F.col("back").alias("value")))).alias("p")).select("p.*")
+    if len(nominal) > 1:
+        base = df.groupBy(*[f"x{i}" for i in range(len(nominal))]).agg(F.count("*").alias("c"))
+        pairs = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for i, j in combinations(range(len(nominal)), 2)]
+        cells = base.select("c", F.explode(F.array(*pairs)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y").agg(F.sum("c").alias("c"))
+        cells = cells.withColumn("cx", F.sum("c").over(Window.partitionBy("a", "b", "x"))).withColumn("cy", F.sum("c").over(Window.partitionBy("a", "b", "y")))
+        cells = cells.crossJoin(F.broadcast(base.agg(F.sum("c").alias("n"))))  # one row
+        found = cells.groupBy("a", "b").agg(_theil("cx", "cy").alias("value"), _theil("cy", "cx").alias("back")) if kind == "theil" else cells.groupBy("a", "b").agg(_cramer().alias("value")).withColumn("back", F.col("value"))
+        out = out.unionByName(both(found, name(nominal, "a"), name(nominal, "b")))
+    if nominal and numeric:
+        moments = [F.struct(F.lit(k).alias("k"), F.count(f"y{k}").alias("n"), F.avg(f"y{k}").alias("m"), F.var_pop(f"y{k}").alias("v")) for k in range(len(numeric))]
+        groups = df.withColumn("g", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.col(f"x{i}").alias("x")) for i in range(len(nominal))])))
+        groups = groups.groupBy("g.a", "g.x").agg(F.array(*moments).alias("moments")).select("a", F.explode("moments").alias("y")).select("a", "y.*").where("n > 0")
+        found = _eta(groups, ["a", "k"]).withColumn("back", F.col("value"))
+        out = out.unionByName(both(found, name(nominal, "a"), name(numeric, "k")))
+    if len(numeric) > 1:
+        pairs = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.corr(f"y{i}", f"y{j}").alias("value")) for i, j in combinations(range(len(numeric)), 2)]
+        found = df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*").withColumn("back", F.col("value"))
+        out = out.unionByName(both(found, name(numeric, "a"), name(numeric, "b")))
+    return out.withColumn("value", F.nanvl(F.coalesce("value", F.lit(0.0)), F.lit(0.0)))
+
+
+def _theil(own: str, other: str):
+    """Theil's U of own that other removes, as an aggregate of cells c of totals own, other and n."""
+    h = F.sum(-F.col("c") / F.col("n") * F.ln(F.col(own) / F.col("n")))  # each row weighs its own count
+    left = F.sum(-F.col("c") / F.col("n") * F.ln(F.col("c") / F.col(other)))
+    return F.when(h == 0, 1.0).otherwise((h - left) / h)
+
+
+def _cramer():
+    """Cramer's V as an aggregate of cells; a level's cells hold its whole count, so their shares of it count the levels."""
+    n = F.max("n")
+    phi = (F.sum(F.col("c") * F.col("c") * F.col("n") / (F.col("cx") * F.col("cy"))) - n) / n
+    least = F.least(F.round(F.sum(F.col("c") / F.col("cx"))), F.round(F.sum(F.col("c") / F.col("cy")))) - 1
+    return F.when(least <= 0, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), phi) / least))
 
 
 def association_distance(first: DataFrame, second: DataFrame, nominal: list[str] | None = None, kind: str = "theil") -> DataFrame:
@@ -123,38 +154,59 @@ def association_distance(first: DataFrame, second: DataFrame, nominal: list[str]
     return a.join(b.withColumnRenamed("value", "other"), ["row", "col"]).agg(F.sqrt(F.sum(F.pow(F.col("value") - F.col("other"), 2))).alias("distance"))
 
 
+#: Ranges of an order that are summed up apart.
+RANGES = 64
+
+
+def _ranged(df: DataFrame, order: str) -> DataFrame:
+    """df with __part, the range of its order: between approximate percentiles, so that no task gets all rows."""
+    ends = sorted(set(df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(order).cast("double"))) if ends else F.lit(0)
+    return df.withColumn("__part", part.cast("int"))
+
+
+def _running(df: DataFrame, values: dict[str, str], order: str, by: list[str], descending: bool = False) -> DataFrame:
+    """df of _ranged() with the sum of each value so far in the order: within its range, plus those of the ranges before."""
+    turn = F.desc if descending else F.asc
+    parts = df.groupBy(*by, "__part").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy(turn("__part")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    parts = parts.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
+    within = Window.partitionBy(*by, "__part").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({out: F.sum(v).over(within) for v, out in values.items()})
+    on = same([F.col(c) for c in [*by, "__part"]], [F.col(c) for c in [*(f"__by{i}" for i in range(len(by))), "__p"]])
+    df = df.join(parts, on).withColumns({out: F.col(out) + F.col(f"__{v}") for v, out in values.items()})
+    return df.drop("__p", *(f"__by{i}" for i in range(len(by))), *(f"__{v}" for v in values))
+
+
 def kaplan_meier(df: DataFrame, time: str, event: str, group: str | None = None) -> DataFrame:
-    """group, time, at_risk, events, survival at each time of each group; rows without a time are left out."""
+    """group, time, at_risk, events, survival at each time of each group; rows without a time are left out. Times are numbers."""
     g = F.col(group) if group else F.lit(None).cast("string")
-    rows = df.select(g.alias("group"), F.col(time).alias("time"), F.col(event).cast("int").alias("event")).where("time is not null")
-    steps = rows.groupBy("group", "time").agg(F.count("*").alias("n"), F.sum("event").alias("events"))
-    later = Window.partitionBy("group").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    so_far = Window.partitionBy("group").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("at_risk", F.sum("n").over(later))
+    rows = clean(df.select(g.alias("group"), F.col(time).alias("time"), F.col(event).cast("int").alias("event"))).where("time is not null")
+    steps = _ranged(rows.groupBy("group", "time").agg(F.count("*").alias("n"), F.sum("event").alias("events")), "time")
+    steps = _running(steps, {"n": "at_risk"}, "time", ["group"], descending=True)
     left = 1 - F.col("events") / F.col("at_risk")
-    gone = F.max((left <= 0).cast("int")).over(so_far)
-    log = F.sum(F.when(left > 0, F.ln(left)).otherwise(0.0)).over(so_far)
-    return steps.select("group", "time", "at_risk", "events", F.when(gone == 1, 0.0).otherwise(F.exp(log)).alias("survival"))
+    steps = steps.withColumn("end", (left <= 0).cast("int")).withColumn("step", F.when(left > 0, F.ln(left)).otherwise(0.0))
+    steps = _running(steps, {"step": "log", "end": "gone"}, "time", ["group"])
+    return steps.select("group", "time", "at_risk", "events", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("log")).alias("survival"))
 
 
-def ranking_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """score, tp, fp, tpr, fpr, precision at each threshold from the highest score on.
+def _ranked(df: DataFrame, score: str, label: str) -> DataFrame:
+    """score, y, tp, fp, p, all at each distinct score."""
+    steps = _ranged(df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("y"), F.count("*").alias("n")), "score")
+    every = steps.agg(F.sum("y").alias("p"), F.sum("n").alias("all"))
+    steps = _running(steps, {"y": "tp", "n": "seen"}, "score", [], descending=True)
+    return steps.crossJoin(F.broadcast(every)).select("score", "y", "tp", (F.col("seen") - F.col("tp")).alias("fp"), "p", "all")  # one row
 
-    Equal scores are one point. Only the distinct scores are ordered; round scores first if they are many.
-    """
-    steps = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("y"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    tp, n = F.sum("y").over(w), F.sum("n").over(w)
-    steps = steps.select("score", tp.alias("tp"), (n - tp).alias("fp"), F.sum("y").over(every).alias("p"), F.sum("n").over(every).alias("all"))
-    return steps.select("score", "tp", "fp", (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / (F.col("all") - F.col("p"))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+
+def ranking_points(df: DataFrame, score: str, label: str) -> DataFrame:
+    """score, tp, fp, tpr, fpr, precision at each threshold from the highest score on; equal scores are one point."""
+    return _ranked(df, score, label).select("score", "tp", "fp", (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / (F.col("all") - F.col("p"))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """average_precision: the sum of precision times the step of recall, not interpolated."""
-    points = ranking_points(df, score, label)
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return points.select((step * F.col("precision")).alias("x")).agg(F.sum("x").alias("average_precision"))
+    step = F.col("y") / F.col("p") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    return _ranked(df, score, label).agg(F.sum(step).alias("average_precision"))
 
 
 class Metric(ABC):

@@ -615,14 +615,27 @@ def assoc_pearson(spark, d):
     return r6(metrics.pearson(read(spark, d, "part"), "p_size", "p_retailprice"), "value")
 
 
-def _theil_pairs(x: str, y: str) -> str:
-    one = lambda k: f"({theil_sql(x, y, 'part').replace('FROM part', f'FROM part WHERE p_partkey % 2 = {k}')})"
-    return f"SELECT power({one(0)} - {one(1)}, 2) AS d"
+def _assoc_sql(k: int) -> str:
+    """The association of each pair of p_brand, p_type, p_size and x in one half of part, in the order of the pairs."""
+    half = f"(SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'nan'::double WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS x FROM part WHERE p_partkey % 2 = {k}) h"
+    theil = lambda a, b: theil_sql(a, b, "part").replace("FROM part", f"FROM {half}")
+    number = lambda y: f"CASE WHEN NOT isnan({y}::double) THEN {y}::double END"
 
+    def eta(a: str, y: str) -> str:
+        rows = f"SELECT {a} AS g, {number(y)} AS y FROM {half} WHERE {number(y)} IS NOT NULL"
+        return f"""SELECT sqrt(sum(n * (m - a) * (m - a)) / sum(n * v + n * (m - a) * (m - a))) FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS a
+          FROM (SELECT g, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM ({rows}) GROUP BY 1))"""
 
-@query(f"SELECT round(sqrt(sum(d)), 6) AS distance FROM ({_theil_pairs('p_brand', 'p_type')} UNION ALL {_theil_pairs('p_type', 'p_brand')} UNION ALL SELECT 2 * power((SELECT 0), 2))")
+    pairs = [theil("p_brand", "p_type"), theil("p_type", "p_brand"), *(eta(a, y) for a in ("p_brand", "p_type") for y in ("p_size", "x") for _ in range(2))]
+    corr = f"SELECT corr(p_size, {number('x')}) FROM {half} WHERE {number('x')} IS NOT NULL"
+    return " UNION ALL ".join(f"SELECT {i} AS i, ({p}) AS v" for i, p in enumerate([*pairs, corr, corr]))
+
+
+@query(f"SELECT round(sqrt(sum(power(a.v - b.v, 2))), 6) AS distance FROM ({_assoc_sql(0)}) a JOIN ({_assoc_sql(1)}) b USING (i)")
 def association_distance(spark, d):
-    return r6(metrics.association_distance(*_halves(spark, d, "part", "p_partkey", ("p_brand", "p_type"))), "distance")
+    part = read(spark, d, "part").withColumn("x", F.when(F.col("p_partkey") % 7 == 0, float("nan")).when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")))
+    halves = [part.where(f"p_partkey % 2 = {k}").select("p_brand", "p_type", "p_size", "x") for k in (0, 1)]
+    return r6(metrics.association_distance(*halves), "distance")
 
 
 @query()
