@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import POWERS, batches, mix64, prefix_hashes, scratch
+from ._shared import POWERS, batches, in_batches, mix64, prefix_hashes, room, scratch
 
 #: Bytes of a string that counts as repeated; bytes of a gram that the cover compares.
 LENGTH, GRAM = 400, 16
@@ -55,30 +55,42 @@ def _raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _key(raw: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(raw), "big", signed=True)
+def _states(names: np.ndarray, wholes: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Of each run of one text: 0 if it isn't known to recur, 1 if it is (the first of equal ones), 2 if it equals one before.
+
+    So a text that repeats itself, however often, posts each run once.
+    """
+    _, first, inverse, n = np.unique(np.stack([names, wholes]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+    inverse = inverse.ravel()
+    out = np.where(sure | (n[inverse] > 1), 1, 0)
+    out[first[inverse] != np.arange(len(names))] = 2
+    return out
+
+
+def _batch(keys: list[bytes], sizes: list[int], columns: list[np.ndarray]) -> pa.RecordBatch:
+    own = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), sizes)))
+    return pa.RecordBatch.from_arrays([own, *(pa.array(c.astype(np.int64)) for c in columns)], ["key", "p", "lo", "hi", "state", "name", "whole"])
 
 
 def _named(length: int):
-    """(key, p, lo, hi, name, whole) of each sampled position: name of what all its strings hold, and of all that they hold."""
+    """(key, p, lo, hi, state, name, whole) of each sampled position: name of what all its strings hold, and of all that they hold."""
 
     def run(rows):
         left, right = length * FIRST // LENGTH, length - (length * FIRST // LENGTH + max(1, length * RANGE // LENGTH) - 1)
         digest = xxhash.xxh3_64_intdigest
         for batch in batches(rows, 200):
-            keys, parts, names, wholes = [], [], [], []
+            keys, parts = [], []
             for text in batch.column(0).to_pylist():
                 raw = _raw(text)
                 p, lo, hi = cover(raw, length)
                 if not len(p):
                     continue
-                keys.append(np.full(len(p), _key(raw)))
-                parts.append((p, lo, hi))
-                names += [digest(raw[x - left : x + right]) for x in p.tolist()]
-                wholes += [digest(raw[a : b + length], x - a) for x, a, b in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                keys.append(xxhash.xxh3_128_digest(raw))
+                names = np.array([digest(raw[x - left : x + right]) for x in p.tolist()], dtype=np.uint64)
+                wholes = np.array([digest(raw[a : b + length], x - a) for x, a, b in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64)
+                parts.append((p, lo, hi, _states(names, wholes, np.zeros(len(p), bool)), names, wholes))
             if keys:
-                columns = [np.concatenate(keys), *(np.concatenate([x[k] for x in parts]) for k in range(3)), np.array(names, dtype=np.uint64).astype(np.int64), np.array(wholes, dtype=np.uint64).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "p", "lo", "hi", "name", "whole"])
+                yield _batch(keys, [len(x[0]) for x in parts], [np.concatenate(c) for c in zip(*parts, strict=True)])
 
     return run
 
@@ -87,7 +99,7 @@ def _keyed(rows):
     """Each row's own key and size beside it."""
     for batch in batches(rows, 500):
         raws = [_raw(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_key(r) for r in raws], pa.int64()), pa.array([len(r) for r in raws], pa.int64())], ["doc_id", "text", "key", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(r) for r in raws], pa.binary()), pa.array([len(r) for r in raws], pa.int64())], ["doc_id", "text", "key", "n_bytes"])
 
 
 def _split(length: int, block: int):
@@ -104,31 +116,32 @@ def _split(length: int, block: int):
                     for k in range((p - hi) // block, (p - lo) // block + 1):
                         first, last = p - k * block - block + 1, p - k * block
                         a, b = max(first, lo), min(last, hi)
-                        out.append((key, p, a, b, r["sure"], digest(raw[last : first + length]), digest(raw[a : b + length], p - a)))
-                columns = [*zip(*out, strict=True)]
-                columns = [np.array(c, dtype=np.uint64).astype(np.int64) if k > 4 else np.array(c) for k, c in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "p", "lo", "hi", "sure", "name", "whole"])
+                        out.append((p, a, b, r["sure"], digest(raw[last : first + length]), digest(raw[a : b + length], p - a)))
+                p, lo, hi, sure, names, wholes = (np.array(c, dtype=np.uint64 if k > 3 else None) for k, c in enumerate(zip(*out, strict=True)))
+                yield _batch([key], [len(p)], [p, lo, hi, _states(names, wholes, sure), names, wholes])
 
     return run
 
 
-RUNS = "key long, p long, lo long, hi long, sure boolean, name long, whole long"
+RUNS = "key binary, p long, lo long, hi long, state long, name long, whole long"
 
 
-def _settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, label: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """(settled, open) of named runs: those that recur as a whole, and one of each kind under a name of several kinds.
 
-    sure tells of a run that recurs already; it is kept as what others may equal.
+    A run of state 1 recurs already; it is kept as what others may equal. The keys that go on are tables of their own,
+    so that a join on a name that a third of all texts hold can be split.
     """
-    rows = rows.withColumn("id", F.xxhash64("key", "lo", "p"))
+    known = rows.where("state > 0").select("key", "lo", "hi")
+    rows = rows.where("state < 2").withColumn("id", F.xxhash64("key", "lo", "p"))
     again = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("name")
-    rows = scratch(rows.join(again, "name", "left_semi"), label)
+    rows = scratch(rows.join(scratch(again, f"{label}-names", folder), "name", "left_semi"), label, folder)
     one = F.min(F.struct("id", "key", "p", "lo", "hi")).alias("one")
-    kinds = rows.groupBy("name", "whole").agg(one, F.max("id").alias("b"), F.max("sure").alias("sure"))
-    kinds = scratch(kinds.select("name", "whole", "one.key", "one.p", "one.lo", "one.hi", (F.col("sure") | (F.col("one.id") != F.col("b"))).alias("sure")), f"{label}-kinds")
-    settled = rows.where("not sure").join(kinds.where("sure").select("name", "whole"), ["name", "whole"], "left_semi").select("key", "lo", "hi").distinct()
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    return settled, kinds.join(mixed, "name", "left_semi").select("key", "p", "lo", "hi", "sure")
+    kinds = rows.groupBy("name", "whole").agg(one, F.max("id").alias("b"), (F.max("state") > 0).alias("sure"))
+    kinds = scratch(kinds.select("name", "whole", "one.key", "one.p", "one.lo", "one.hi", (F.col("sure") | (F.col("one.id") != F.col("b"))).alias("sure")), f"{label}-kinds", folder)
+    settled = rows.where("state = 0").join(kinds.where("sure").select("name", "whole"), ["name", "whole"], "left_semi").select("key", "lo", "hi")
+    mixed = scratch(kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), f"{label}-mixed", folder)
+    return known.unionByName(settled).distinct(), kinds.join(mixed, "name", "left_semi").select("key", "p", "lo", "hi", "sure")
 
 
 def _cut(length: int):
@@ -163,22 +176,21 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if it is covered by a string of length bytes that also starts anywhere else in the input, the same
     text included; spans are the maximal runs that go, in bytes of the UTF-8 text, and kept is the rest. Null
     texts are empty; texts shorter than length keep all. Repeated rows are copies of each other and go whole. Other
-    columns are ignored. length must be 16 or more. Texts and strings are
-    compared by 64-bit digests under a 64-bit name.
+    columns are ignored. length must be 16 or more. Texts are compared by 128-bit digests, strings by 64-bit ones
+    under a 64-bit name.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = docs.mapInArrow(_keyed, "doc_id long, text string, key long, n_bytes long")
-    named = docs.select("text").mapInArrow(_named(length), "key long, p long, lo long, hi long, name long, whole long")
-    settled, left = _settle(scratch(named, "named").withColumn("sure", F.lit(False)), "again")
-    gone = settled
-    for block in BLOCKS:
-        runs = left.groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "sure")).alias("runs"))  # of one text
-        one = texts.select("key", "text").join(runs, "key").dropDuplicates(["key"])
-        settled, left = _settle(scratch(one.select("key", "text", "runs").mapInArrow(_split(length, block), RUNS), f"split-{block}"), f"again-{block}")
-        gone = gone.unionByName(settled)
-    gone = gone.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))  # of one text
-
-    copies = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
-    marks = scratch(gone.join(copies, "key", "full_outer"), "marks")
+    texts = docs.transform(in_batches, _keyed, "doc_id long, text string, key binary, n_bytes long")
+    with room(docs.sparkSession) as folder:
+        named = scratch(docs.select("text").transform(in_batches, _named(length), RUNS), "named", folder)
+        gone, left = _settle(named, "again", folder)
+        for block in BLOCKS:
+            runs = left.groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "sure")).alias("runs"))  # of one text
+            one = texts.select("key", "text").join(runs, "key").dropDuplicates(["key"])
+            settled, left = _settle(scratch(one.select("key", "text", "runs").transform(in_batches, _split(length, block), RUNS), f"split-{block}", folder), f"again-{block}", folder)
+            gone = gone.unionByName(settled)
+        gone = gone.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))  # of one text
+        copies = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
+        marks = scratch(gone.join(copies, "key", "full_outer"), "marks")
     marked = texts.join(marks, "key", "left").select("doc_id", "text", "n_bytes", "copied", "gone")
-    return marked.mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return marked.transform(in_batches, _cut(length), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
