@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import token
-from .distributions import cardinality_table, clean, rare_categories, same
+from .distributions import cardinalities, cardinality_table, clean, marginals, rare_categories, same
 
 
 def both_tables(first: DataFrame, second: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -263,6 +264,26 @@ class AssociationComparison(Metric):
         return a.join(b.withColumnRenamed("value", "artificial"), ["row", "col"]).withColumnRenamed("value", "original")
 
 
+class SurvivalComparison(Metric):
+    """Survival curves of the groups of both tables, side by side; there is no score."""
+
+    def __init__(self, time: str, event: str, group: str | None = None, exclude: tuple[str, ...] = ()) -> None:
+        super().__init__(exclude)
+        self.time, self.event, self.group = time, event, group
+
+    def score(self) -> None:
+        return None
+
+    def plot_data(self) -> DataFrame:
+        return survival_curves(dict(zip(("original", "artificial"), self.tables_, strict=True)), self.time, self.event, self.group)
+
+
+def survival_curves(tables: dict[str, DataFrame], time: str, event: str, group: str | None = None) -> DataFrame:
+    """table and the columns of kaplan_meier for each of several tables."""
+    found = [kaplan_meier(df, time, event, group).select(F.lit(name).alias("table"), "*") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 class EqualLength(Metric):
     """1 if both tables have as many rows."""
 
@@ -293,3 +314,22 @@ def profile(df: DataFrame, cardinality: int = 50, rare: float = 0.05) -> DataFra
     return high.unionAll(rare_categories(df, df.columns, rare).select(F.lit("rare").alias("finding"), "column", "value"))
 
 
+
+
+class OriginalEvaluator:
+    """What to know of a table before it is learnt: profile() as stats, and its marginals as numbers of a figure."""
+
+    def __init__(self, cardinality: int = 50, rare: float = 0.05) -> None:
+        self.cardinality, self.rare = cardinality, rare
+
+    def fit(self, df: DataFrame) -> OriginalEvaluator:
+        self.table_ = df
+        return self
+
+    def stats(self) -> DataFrame:
+        return profile(self.table_, self.cardinality, self.rare)
+
+    def plot_data(self) -> DataFrame:
+        """column, value, count, p of the columns of no more distinct values than cardinality."""
+        sizes = cardinalities(self.table_, with_null=False)
+        return marginals(self.table_, [c for c in self.table_.columns if sizes[c] <= self.cardinality])

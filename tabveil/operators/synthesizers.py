@@ -13,17 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import privacy, scores
-from .distributions import MAX_CELLS, cardinalities, clean, uniform_distribution
+from .distributions import MAX_CELLS, NotFittedError, cardinalities, clean, uniform_distribution
 from .metrics import js_marginal
 from .sampling import draw
 
 log = logging.getLogger(__name__)
 
 
-class NotFittedError(ValueError):
-    """The model has not been fitted."""
-
-
 @dataclass(frozen=True)
 class Pair:
     """A column of a network and its parents."""

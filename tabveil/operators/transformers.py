@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import uniform
-from .distributions import clean, shares
+from .distributions import NotFittedError, clean, shares
 from .privacy import Ledger, dp_joint
 
 #: Edges nearer than this are one.
@@ -108,13 +108,35 @@ def replace_rare(df: DataFrame, column: str, min_support: float | int = 0.01, ne
     return out.withColumn(column, F.when(F.col("__rare"), F.col("__to")).otherwise(F.col(column).cast("string"))).select(*df.columns)
 
 
+class Reversible:
+    """What fit(df, ...), transform(df) and inverse_transform(df, key, seed) of a transformer have in common.
+
+    fit keeps the columns' types, and inverse_transform gives them back; both others need fit before.
+    """
+
+    def _learn(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        if missing := [c for c in columns if c not in df.columns]:
+            raise ValueError(f"the table lacks {missing}")
+        self.types_ = {c: df.schema[c].dataType for c in columns}
+        return clean(df)
+
+    def _check_fitted(self, df: DataFrame) -> None:
+        if not hasattr(self, "types_"):
+            raise NotFittedError(f"{type(self).__name__} has not been fitted")
+        if missing := [c for c in self.types_ if c not in df.columns]:
+            raise ValueError(f"the table lacks {missing}")
+
+    def _restore(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(c).cast(t) for c, t in self.types_.items()})
+
+
 def group_rare(df: DataFrame, columns: list[str], threshold: float = 0.05, label: str = "other") -> DataFrame:
     """Values below a share of the non-null rows become label in each of columns; NULL stays. One small join a column."""
     return RareCategories(threshold, label).fit(df, columns).transform(df)
 
 
 @dataclass
-class RareCategories:
+class RareCategories(Reversible):
     """The learned form of group_rare: fit finds the frequent values, transform replaces all others; nothing restores them."""
 
     threshold: float = 0.05
@@ -122,13 +144,14 @@ class RareCategories:
     kept_: dict[str, DataFrame] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, columns: list[str]) -> RareCategories:
-        df = clean(df)
+        df = self._learn(df, columns)
         for c in columns:
             counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("__v")).agg(F.count("*").alias("n"))
             self.kept_[c] = shares(counts, "n").where(F.col("p") >= self.threshold).select("__v", F.lit(True).alias("__kept"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        self._check_fitted(df)
         names, out = df.columns, clean(df)
         for c, kept in self.kept_.items():
             out = out.join(kept, F.col(c).cast("string") == F.col("__v"), "left")
@@ -140,7 +163,7 @@ class RareCategories:
 
 
 @dataclass
-class ContinuousBins:
+class ContinuousBins(Reversible):
     """Ordinal bin codes of numeric columns, and numbers back from them."""
 
     n_bins: int = 10
@@ -150,7 +173,7 @@ class ContinuousBins:
     whole_: dict[str, bool] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, columns: list[str]) -> ContinuousBins:
-        df = clean(df)
+        df = self._learn(df, columns)
         for c in columns:
             own = df.where(~F.col(c).isin(self.labelled_missing[c])) if self.labelled_missing.get(c) else df
             self.edges_[c] = edges_of(own, c, self.n_bins, strategy=self.strategy)
@@ -159,6 +182,7 @@ class ContinuousBins:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Values at an edge go to the upper bin, by a nudge of 1e-8 + 1e-5 of the value; labelled codes stay."""
+        self._check_fitted(df)
         df = clean(df)
         for c, edges in self.edges_.items():
             x = F.col(c).cast("double")
@@ -168,6 +192,7 @@ class ContinuousBins:
         return df
 
     def inverse_transform(self, df: DataFrame, key: str, seed: str = "0") -> DataFrame:
+        self._check_fitted(df)
         for c, edges in self.edges_.items():
             u, code = uniform(seed, F.lit(c), key), F.col(c).cast("int")
             if len(edges) < 2:
@@ -179,11 +204,11 @@ class ContinuousBins:
             marked = self.labelled_missing.get(c)
             known = F.col(c).isNotNull() & (~F.col(c).isin(marked) if marked else F.lit(True))
             df = df.withColumn(c, F.when(known, value).otherwise(F.col(c)))
-        return df
+        return self._restore(df)
 
 
 @dataclass
-class CategoryBins:
+class CategoryBins(Reversible):
     """Categories in sorted order, dealt to n_bins of equal width; back by the learned shares within a bin.
 
     The shares are marginals with Laplace noise, epsilon / d for each of d columns; an infinite epsilon keeps them exact.
@@ -198,7 +223,7 @@ class CategoryBins:
     def fit(self, df: DataFrame, columns: list[str]) -> CategoryBins:
         if self.n_bins < 1:
             raise ValueError("n_bins must be positive")
-        df, seed = clean(df), self.seed if self.seed is not None else secrets.token_hex(16)
+        df, seed = self._learn(df, columns), self.seed if self.seed is not None else secrets.token_hex(16)
         ledger = Ledger(self.epsilon)
         for c in columns:
             share = ledger.spend(f"categories {c}", self.epsilon / len(columns))
@@ -211,12 +236,14 @@ class CategoryBins:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        self._check_fitted(df)
         names, df = df.columns, clean(df)
         for c, codes in self.codes_.items():
             df = df.join(codes.select("__v", "__code"), F.col(c).cast("string") == F.col("__v"), "left").withColumn(c, F.col("__code")).select(*names)
         return df
 
     def inverse_transform(self, df: DataFrame, key: str, seed: str = "0") -> DataFrame:
+        self._check_fitted(df)
         names = df.columns
         for c, codes in self.codes_.items():
             w = Window.partitionBy("__code")
@@ -226,7 +253,7 @@ class CategoryBins:
             df = df.withColumn("__u", u).join(cdf, F.col(c) == F.col("__code"), "left")
             hit = F.get(F.filter("cdf", lambda x: x.hi > F.col("__u")), F.lit(0))
             df = df.withColumn(c, F.coalesce(hit["__v"], F.element_at("cdf", -1)["__v"])).select(*names)
-        return df
+        return self._restore(df)
 
 
 def generalize(df: DataFrame, column: str, mapping: dict[str, str], label: str | None = None) -> DataFrame:
@@ -247,6 +274,30 @@ def specialize(df: DataFrame, column: str, mapping: dict[str, str], key: str, se
     return df.withColumn(column, F.coalesce(F.when(options.isNotNull(), pick), F.col(column)))
 
 
+@dataclass
+class Scheme(Reversible):
+    """generalize and specialize of several columns, each by a mapping of its own; with label, unmapped values become it."""
+
+    mappings: dict[str, dict[str, str]]
+    label: str | None = None
+
+    def fit(self, df: DataFrame) -> Scheme:
+        self._learn(df, [*self.mappings])
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        self._check_fitted(df)
+        for c, mapping in self.mappings.items():
+            df = generalize(df, c, mapping, self.label)
+        return df
+
+    def inverse_transform(self, df: DataFrame, key: str, seed: str = "0") -> DataFrame:
+        self._check_fitted(df)
+        for c, mapping in self.mappings.items():
+            df = specialize(df, c, mapping, key, seed)
+        return self._restore(df)
+
+
 def pseudonyms(df: DataFrame, column: str, order: str, prefix: str = "entity_") -> DataFrame:
     """Each distinct value becomes prefix and its place by first appearance in order; NULL stays NULL but takes a place."""
     places = df.groupBy(F.col(column).alias("__v")).agg(F.min(order).alias("__first"))

@@ -1,13 +1,14 @@
 """Hand-computed cases, properties, and every query against its SQL twin."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tabveil.operators import distributions as dist, metrics, privacy, scores, synthesizers as syn, transformers as tr
+from tabveil.operators import distributions as dist, efficacy, metrics, privacy, scores, synthesizers as syn, transformers as tr
 from tabveil.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +145,44 @@ def test_fitted_transformers_run_on_streams(spark, tmp_path):
     bins = tr.ContinuousBins(4).fit(part, ["p_retailprice"])
     transform_stream(spark, str(tmp_path / "in"), part.schema, bins.transform, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(bins.transform(part)).count() == 0
+
+
+def test_transformers_know_whether_they_are_fitted(spark):
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, 7.0, "b")], "k long, x double, c string")
+    for t in (tr.ContinuousBins(2), tr.CategoryBins(2, seed="s"), tr.RareCategories(), tr.Scheme({"c": {"a": "z"}})):
+        with pytest.raises(syn.NotFittedError):
+            t.transform(df)
+    with pytest.raises(ValueError):
+        tr.ContinuousBins(2).fit(df, ["no"])
+    whole = spark.createDataFrame([(1, 3), (2, 9)], "k long, x int")
+    bins = tr.ContinuousBins(2).fit(whole, ["x"])
+    assert bins.inverse_transform(bins.transform(whole), "k").schema["x"].dataType == whole.schema["x"].dataType
+    scheme = tr.Scheme({"c": {"a": "z", "b": "z"}}).fit(df)
+    assert {r.c for r in scheme.transform(df).collect()} == {"z"} and {r.c for r in scheme.inverse_transform(scheme.transform(df), "k").collect()} <= {"a", "b"}
+
+
+def test_tuned_classifiers_and_the_last_column(spark):
+    rows = [(float(i % 17), i % 3 == 0, "ab"[i % 2], int(i % 17 > 8)) for i in range(240)]
+    df = spark.createDataFrame(rows, "x double, flag boolean, c string, y int")
+    found = efficacy.ClassifierComparison(tune=True, grid={"c": [0.01, 1.0]}).fit(df, df)
+    assert found.y == "y" and found.score(df)["original"] > 0.95
+    names = {r.feature for r in efficacy.FeatureImportanceComparison().fit(df, df).aligned().collect()}
+    assert any("flag" in n and "true" in n for n in names) and any(n.startswith("c") for n in names)
+    assert efficacy.tuned("rf", 100).getNumFolds() == 3 and len(efficacy.tuned("rf", 100).getEstimatorParamMaps()) == 18
+
+
+def test_survival_of_two_tables_and_the_original_evaluator(spark):
+    df = spark.createDataFrame([(1.0, 1, "g"), (2.0, 0, "g"), (3.0, 1, "h"), (3.0, 1, "h"), (5.0, 0, "h")], "t double, e int, g string")
+    curves = metrics.SurvivalComparison("t", "e", "g").fit(df, df.where("t < 3")).plot_data().collect()
+    assert {(r.table, r.group) for r in curves} == {("original", "g"), ("original", "h"), ("artificial", "g")}
+    assert [round(r.survival, 6) for r in sorted(curves, key=lambda r: r.time) if (r.table, r.group) == ("original", "h")] == [0.333333, 0.333333]
+    seen = metrics.OriginalEvaluator(2).fit(df)
+    assert {r["column"] for r in seen.stats().collect() if r.finding == "high_cardinality"} == {"t"} and {r["column"] for r in seen.plot_data().collect()} == {"e", "g"}
+    big = spark.range(5000).select(((F.col("id") * 37) % 4001).cast("double").alias("t"), (F.col("id") % 3 == 0).cast("int").alias("e"))
+    own = metrics.kaplan_meier(big, "t", "e").orderBy("time").collect()
+    times, left, s = Counter((i * 37) % 4001 for i in range(5000)), 5000, 1.0
+    for r in own:
+        assert r.at_risk == left
+        s *= 1 - r.events / left
+        left -= times[int(r.time)]
+        assert abs(r.survival - s) < 1e-9
