@@ -18,6 +18,8 @@ from ._shared import batches, in_batches
 NONE = np.int64(1 << 40)
 #: Cells of one matrix, and pieces whose ids a task remembers.
 CELLS, REMEMBERED = 1 << 18, 100_000
+#: Ids of a row beyond which equal pairs that come next to one another in turn are merged in one round.
+LONG = 2048
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,7 +91,7 @@ class Vocabulary:
     def _merge_rows(self, pieces: list[bytes], rows: list[int], width: int, out: list[list[int]]) -> None:
         """One bucket: each round every row merges its leftmost pair of least rank and is compacted.
 
-        If a row has several such pairs and no pair that a merge would make ranks lower, they are merged in
+        If a row of more than LONG ids has several such pairs and no pair that a merge would make ranks lower, they are merged in
         the same round: one at a time would take them next, in this order. This bounds the rounds of long rows by
         the ranks they hold rather than by their length.
         """
@@ -111,7 +113,7 @@ class Vocabulary:
                 if not len(rows_at):
                     return
             first = (ranks == least[:, None]).argmax(axis=1)
-            if ids.shape[1] > 128:
+            if ids.shape[1] > LONG:
                 self._merge_all(ids, ranks, lengths, least, first)
             else:
                 self._merge_first(ids, ranks, least, first)
