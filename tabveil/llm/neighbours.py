@@ -16,7 +16,9 @@ CENTROIDS, TRAIN, ROUNDS = 256, 20_000, 12
 #: A query's traversal ends when its cells hold this share of the distinct vectors, whatever their number.
 SHARE = 0.4
 #: Vectors of one block, queries that meet a block in one task, queries that one numpy pass takes.
-BLOCK, QUERIES, PASS = 8192, 4096, 128
+BLOCK, QUERIES, PASS = 4096, 4096, 128
+#: Queries whose cells one task chooses.
+TRAVERSED = 64
 
 
 def _fit_half(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -179,7 +181,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
             at = pa.array(np.repeat(np.arange(len(ids)), slices))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.repeat(block, slices)), pa.array(np.tile(np.arange(slices), len(ids))), batch.column(1).take(at), batch.column(2).take(at)], ["vec_id", "block", "slice", "cell", "embedding"])
 
-    asking = asked.transform(in_batches, ask, "query_id long, block long, limit double, embedding array<double>")
+    spread = asked.repartition(max(1, min(n_asked // TRAVERSED, 10_000)))  # a traversal takes some 20 ms
+    asking = spread.transform(in_batches, ask, "query_id long, block long, limit double, embedding array<double>")
     asking = asking.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
     dealt = posted.transform(in_batches, deal, "vec_id long, block long, slice long, cell int, embedding array<double>")
 
