@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._shared import batches, in_batches, mix64, passes, scratch, shingle_hashes, shingles_of
 
-#: Minima of a sketch at most, bytes of item text that one pass over the documents carries.
-SKETCH, BLOCK_BYTES = 24, 4 << 20
+#: Bytes of item text that one pass over the documents carries.
+BLOCK_BYTES = 4 << 20
 #: Share of an item's shingles, in per cent, that a document must contain.
 CONTAINED = 75
-#: Matches of a full sketch that a candidate needs: of 24 minima each is in a document that contains 75 % of
-#: the item with probability 0.75, and fewer than 8 are with one under 1e-6.
-NEEDED = 8
+#: Size classes of items: shingles up to which, and minima of their sketch. Smaller sets are their own sketch.
+SMALL, CLASSES = 24, ((64, 24), (256, 32), (1 << 62, 48))
+#: Chance at most that a document which contains CONTAINED per cent of an item matches too few of its minima.
+MISS = 1e-6
+
+
+def matches_needed(minima: int) -> int:
+    """The most matches that such a document has but for a chance of MISS: each minimum is in it with the share CONTAINED."""
+    p, below = CONTAINED / 100, 0.0
+    for t in range(minima + 1):
+        below += math.comb(minima, t) * p**t * (1 - p) ** (minima - t)
+        if below > MISS:
+            return max(1, t)
+    return minima
+
 
 _BITS = 20
 
@@ -22,13 +36,14 @@ _BITS = 20
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """The MinHash sketch of a set, by its size class, and the matches a candidate needs.
 
-    Small sets (up to SKETCH) are their own sketch and need CONTAINED per cent exactly; of larger ones the
-    SKETCH smallest hashes are taken.
+    Small sets are their own sketch and need CONTAINED per cent exactly; of larger ones the smallest hashes are taken, as
+    many as their class says.
     """
     own = np.unique(hashes)
-    if len(own) <= SKETCH:
+    if len(own) <= SMALL:
         return own, max(1, -(-CONTAINED * len(own) // 100))
-    return own[np.argsort(mix64(own ^ np.uint64(0x5851F42D4C957F2D)))[:SKETCH]], NEEDED
+    minima = next(m for most, m in CLASSES if len(own) <= most)
+    return own[np.argsort(mix64(own ^ np.uint64(0x5851F42D4C957F2D)))[:minima]], matches_needed(minima)
 
 
 class Index:

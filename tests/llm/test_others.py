@@ -276,3 +276,101 @@ def test_pipeline_run_on_odd_tables(spark, tmp_path):
     write("documents", [], schema)
     write("benchmark", [], "item_id long, text string")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def segments_of(values, first=0):
+    """(first, last, sum) of the maximal scoring segments: the best one, the shortest of equal ones, then those left and right of it."""
+    best, low, at, total = None, 0.0, 0, 0.0
+    for i, v in enumerate(values):
+        total += v
+        if best is None or total - low > best[0] + 1e-12:
+            best = (total - low, at, i)
+        if total <= low:
+            low, at = total, i + 1
+    if best is None or best[0] <= 1e-12:
+        return []
+    s, a, b = best
+    return segments_of(values[:a], first) + [(first + a, first + b, s)] + segments_of(values[b + 1 :], first + b + 1)
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.lexicon
+    for r in rows:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        found = segments_of([model.lexicon.get(w, 0.0) - toxicity.DRIFT for w in words])
+        level = np.log(max(model.scale * len(words), 1e-9) / toxicity.SIGNIFICANT)
+        x = model.offset + model.slope * np.log1p(sum(max(0.0, model.rate * s - level) for *_, s in found))
+        own = got[r.doc_id]
+        assert abs(own.score - 1 / (1 + np.exp(-x))) < 1e-6 and own.predicted == (own.score >= 0.3) and own.held_out == held_out(r.doc_id)
+
+
+def test_language_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = language_id.learn(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    got, known = {r.doc_id: r for r in queries.op10_language(spark, SF).collect()}, {}
+    for r in docs.select("doc_id", "text").collect():
+        total = np.zeros(len(net.langs))
+        for word in re.split(rb"[ \t\n\x0b\x0c\r]+", (r.text or "").encode()):
+            for piece in (word[i : i + language_id.REACH] for i in range(0, len(word), language_id.REACH)):
+                if piece not in known:
+                    known[piece] = net.positions(*language_id.matrix([piece]))[0].sum(axis=0)
+                total += known[piece]
+        own = got[r.doc_id]
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (own.lang_pred, own.score) == ("und", 0)
+        else:
+            assert own.lang_pred == net.langs[int(total.argmax())] and abs(own.score - total.max() / total.sum()) < 1e-3
+
+
+def judged(judge, kind, m, before, after):
+    """The trees' score of a candidate, from features that are counted here."""
+    seen = lambda pattern, x: re.search(pattern, x, re.ASCII) is not None
+    digits = re.sub("[^0-9]", "", m)
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    f = {
+        "kind": kind, "digits": len(digits), "groups": len(re.findall("[0-9]+", m)), "letters": len(re.findall("[A-Za-z]", m)), "length": len(m), "marks": len(re.findall(r"[@()\[\]]", m)),
+        "at_word": " at " in m, "dot_word": seen(r"\(dot\)|\[dot\]| dot ", m), "bracket": m.startswith("("), "top_level": seen(r"[A-Za-z]{2,6}$", m), "octets": seen(rf"^{octet}(?:\D+{octet}){{3}}$", m), "date": seen(pii._DATE, m),
+        "luhn": sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed("0" + digits))) % 10 == 0, "hint": seen(pii._HINTS[pii.KINDS[kind]], before), "against": seen(pii._AGAINST, before), "touches": seen(r"^[A-Za-z0-9%$€]", after),
+    }
+
+    def walk(node):
+        while not isinstance(node, float):
+            node = node[2] if float(f[judge.names[node[0]]]) <= node[1] else node[3]
+        return node
+
+    return 1 / (1 + np.exp(-2 * sum(w * walk(t) for w, t in judge.trees)))
+
+
+def test_all_spans_equal_brute_force(spark, judge):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = [(-1, "write to ann (at) example (dot) org or ann at acme dot com, ip 10[.]0[.]0[.]7; order 2020-01-02, (201) 555-0123 and +49 30 1234567"), (-2, "a@b.c " * 200)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in pii.find(docs, judge).select("doc_id", pii.listed(F.col("pii_spans")).alias("spans")).collect()}
+    more = 0
+    for r in docs.collect():
+        text = r.text or ""
+        own = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in base(text).split(",") if x)]
+        found = []
+        for k, kind in enumerate(pii.KINDS):
+            for m in re.finditer(pii.PROPOSED[kind], text):
+                a, b = m.span()
+                if (k, a, b) in own or any(s < b and a < e for _, s, e in own):
+                    continue
+                if judged(judge, k, m[0], text[max(0, a - pii.BEFORE) : a], text[b : b + pii.AFTER]) >= judge.least[k]:
+                    found.append((k, a, b))
+        end = 0
+        for k, a, b in sorted(found, key=lambda x: (x[1], x[0], -x[2])):
+            if a >= end:
+                own.append((k, a, b))
+                end, more = b, more + 1
+        assert got[r.doc_id] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(own, key=lambda x: (x[1], x[0], -x[2])))
+    assert more >= 4
