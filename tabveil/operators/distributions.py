@@ -77,7 +77,9 @@ def domain(df: DataFrame, cols: list[str], max_cells: int = MAX_CELLS) -> DataFr
 
 
 def dense(df: DataFrame, cols: list[str], max_cells: int = MAX_CELLS) -> DataFrame:
-    """cols, count over the whole domain, 0 where nothing was observed."""
+    """cols, count over the whole domain, 0 where nothing was observed; the domain of one column is what it holds."""
+    if len(cols) == 1:
+        return contingency(df, cols)
     cells, seen = domain(df, cols, max_cells).alias("d"), contingency(df, cols).alias("s")
     on = same([F.col(f"d.{c}") for c in cols], [F.col(f"s.{c}") for c in cols])
     return cells.join(seen, on, "left").select(*[F.col(f"d.{c}").alias(c) for c in cols], F.coalesce("s.count", F.lit(0)).alias("count"))

@@ -50,22 +50,23 @@ def dp_contingency(df: DataFrame, cols: str | list[str], epsilon: float, seed: s
     return cells.withColumn("count", F.ceil(_noisy(cells, "count", cols, 1 / epsilon, noise_seed(seed, "contingency", cols, epsilon))).cast("long"))
 
 
-def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS, mechanism: str = "joint") -> DataFrame:
+def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS, mechanism: str = "joint", n: int | None = None) -> DataFrame:
     """cols, p: shares with Laplace(2 / (n * epsilon)), clamped and normalised; with one column a marginal.
 
-    mechanism names the release: another one of the same columns and epsilon has noise of its own.
+    mechanism names the release: another one of the same columns and epsilon has noise of its own. n is the number of rows,
+    counted unless given.
     """
     check_epsilon(epsilon)
     cols = ensure_list(cols)
-    n = df.count()
+    n = df.count() if n is None else n
     cells = shares(dense(df, cols, max_cells), "count")
     scale = 2 / (n * epsilon) if n else 0.0
     return shares(cells.withColumn("v", _noisy(cells, "p", cols, scale, noise_seed(seed, mechanism, cols, epsilon))), "v").select(*cols, "p")
 
 
-def dp_conditional(df: DataFrame, child: str, parents: list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS) -> DataFrame:
+def dp_conditional(df: DataFrame, child: str, parents: list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS, n: int | None = None) -> DataFrame:
     """parents, child, p: a noisy joint, normalised within each parent combination."""
-    noisy = dp_joint(df, [*parents, child], epsilon, seed, max_cells, "conditional")
+    noisy = dp_joint(df, [*parents, child], epsilon, seed, max_cells, "conditional", n)
     return shares(noisy.withColumnRenamed("p", "v"), "v", parents).select(*parents, child, "p") if parents else noisy
 
 

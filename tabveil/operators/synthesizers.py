@@ -96,7 +96,7 @@ class MarginalSynthesizer(Synthesizer):
     def fit(self, df: DataFrame) -> MarginalSynthesizer:
         df = self._capture(df)
         share = self.epsilon / len(df.columns)
-        self.tables_ = {c: privacy.dp_joint(df, c, self.ledger_.spend(f"marginal {c}", share), self.seed, self.max_cells) for c in df.columns}
+        self.tables_ = {c: privacy.dp_joint(df, c, self.ledger_.spend(f"marginal {c}", share), self.seed, self.max_cells, n=self.n_) for c in df.columns}
         return self
 
     def sample(self, n: int | None = None) -> DataFrame:
@@ -190,7 +190,7 @@ class BayesNet(Synthesizer):
             for pair in network:
                 if not math.isinf(share):
                     self.ledger_.spend(f"table {pair.attribute}", share)
-                self.tables_[pair.attribute] = privacy.dp_conditional(df, pair.attribute, [*pair.parents], share, self.seed, self.max_cells)
+                self.tables_[pair.attribute] = privacy.dp_conditional(df, pair.attribute, [*pair.parents], share, self.seed, self.max_cells, self.n_)
         finally:
             base.unpersist()
         return self
