@@ -60,8 +60,7 @@ def _states(names: np.ndarray, wholes: np.ndarray, sure: np.ndarray) -> np.ndarr
 
     So a text that repeats itself, however often, posts each run once.
     """
-    _, first, inverse, n = np.unique(np.stack([names, wholes]), axis=1, return_index=True, return_inverse=True, return_counts=True)
-    inverse = inverse.ravel()
+    _, first, inverse, n = np.unique(mix64(names ^ mix64(wholes)), return_index=True, return_inverse=True, return_counts=True)
     out = np.where(sure | (n[inverse] > 1), 1, 0)
     out[first[inverse] != np.arange(len(names))] = 2
     return out
