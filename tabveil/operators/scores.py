@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import token
@@ -14,12 +12,9 @@ CHUNK = 32
 
 
 def _cells(base: DataFrame, sets: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """set, a (child), b (parents), c for the observed cells of each (child, parents)."""
-    parts = []
-    for k, (child, parents) in enumerate(sets):
-        counts = base.groupBy(child, *parents).agg(F.sum("count").alias("c"))
-        parts.append(counts.select(F.lit(k).alias("set"), token(child).alias("a"), F.array(*[token(p) for p in parents]).cast("array<string>").alias("b"), "c"))
-    return reduce(DataFrame.unionAll, parts)
+    """set, a (child), b (parents), c for the observed cells of each (child, parents), from one pass and one shuffle."""
+    keys = [F.struct(F.lit(k).alias("set"), token(child).alias("a"), F.array(*[token(p) for p in parents]).cast("array<string>").alias("b")) for k, (child, parents) in enumerate(sets)]
+    return base.select("count", F.explode(F.array(*keys)).alias("key")).groupBy("key.set", "key.a", "key.b").agg(F.sum("count").alias("c"))
 
 
 def collapsed(df: DataFrame) -> DataFrame:
@@ -34,8 +29,8 @@ def scores(base: DataFrame, sets: list[tuple[str, tuple[str, ...]]]) -> DataFram
     add their independent mass, so the product of the domains is never built: r = (sum over observed
     cells of |p_ab - p_a p_b| + 1 - sum over these of p_a p_b) / 2.
     """
-    cells = _cells(base, sets)
-    n = F.sum("c").over(Window.partitionBy("set"))
+    n = F.col("n")
+    cells = _cells(base, sets).crossJoin(F.broadcast(base.agg(F.sum("count").alias("n"))))  # one row: all sets have the same rows
     pa, pb = F.sum("c").over(Window.partitionBy("set", "a")) / n, F.sum("c").over(Window.partitionBy("set", "b")) / n
     cells = cells.select("set", (F.col("c") / n).alias("p"), (pa * pb).alias("q"))
     r = (F.sum(F.abs(F.col("p") - F.col("q"))) + 1 - F.sum("q")) / 2
