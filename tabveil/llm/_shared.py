@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Words of a shingle.
 SHINGLE = 5
 #: Bytes of text that one numpy pass takes at most, unless a single text is longer.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 #: Rows and bytes of a batch that a Python task gets at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

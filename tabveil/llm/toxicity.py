@@ -162,7 +162,8 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     hasn't seen. Rows with a null text or label don't count. Without rows of both classes, no text is toxic.
     """
     rows = hash_sample(labelled.where("text is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), "doc_id", train_docs)
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select(F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text").persist()
+    rows = rows.withColumn("h", F.xxhash64("text")).repartition("h")  # the sample's bound brings it to one task
+    rows = rows.groupBy("h").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select(F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text").persist()
     counts = rows.transform(in_batches, _words, "fold int, toxic int, word string").groupBy("word").agg(*(F.count_if(F.expr(f"fold = {f} and toxic = {y}")).cast("double").alias(f"y{y}_{f}") for y in (1, 0) for f in range(FOLDS))).persist()
     try:
         models = _lexicons(counts, -1)
