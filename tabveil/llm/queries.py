@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, containment, language_id, neighbours, passages, pii, repeats, toxicity
+from . import bpe, chat, collocations, containment, importance, language_id, neighbours, passages, pii, repeats, simhash, toxicity
 from .near_dedup import near_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -88,7 +88,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op8_passages, op9_suffix_dedup, op10_language)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_neighbours, op3_decontamination, op4_bpe, op5_pii, op6_chat, op7_toxicity, op8_passages, op9_suffix_dedup, op10_language, op11_simhash, op12_importance, op13_collocations)}
 
 
 def _chat_sql() -> str:
@@ -118,4 +132,22 @@ SELECT conv_id, count(*)::bigint AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": _chat_sql()}
+_COLLOCATIONS = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::bigint AS f FROM places, range(1, 4) ks(k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
+total AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, size, unnest(range(1, size)) AS k, w FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000::hugeint * c.a * c.a // (l.f::hugeint * r.f))::bigint AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ') AND l.k = c.k
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ') AND r.k = c.size - c.k),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM cand WHERE size = 3) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM least s LEFT JOIN longer g USING (lang, phrase) WHERE g.a IS NULL OR 100 * g.a < 50 * s.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, kept.a DESC, phrase)::bigint AS rank, phrase, kept.a AS a, l, r, n, score FROM kept JOIN total USING (lang)) WHERE rank <= 2000"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_chat": _chat_sql(), "op13_collocations": _COLLOCATIONS}
