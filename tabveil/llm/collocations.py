@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from operator import itemgetter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -23,9 +24,11 @@ RANGE_BITS = 21
 #: Bits of the map of heavy cells at most; cells of larger sketches are folded into it, which only adds candidates.
 MAP_BITS = 28
 #: Phrases that a task gathers before it sorts and counts their cells.
-RUN = 1 << 22
+RUN = 1 << 23
 #: Bytes of normalised text that one automaton scans.
 SHARD_BYTES = 2 << 20
+#: Phrases that a task tallies before it hands their counts on.
+TALLY = 500_000
 
 _KIND = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
 _KIND[[32, 9]] = 1
@@ -104,14 +107,14 @@ class Words:
 def _packed(cells: np.ndarray):
     """(range, cells, counts) of a run of cells: sorted, counted up to LEAST, gaps in byte planes."""
     cells = np.sort(cells)
-    begins = np.flatnonzero(np.diff(cells, prepend=cells[:1] + np.uint64(1)))
+    begins = np.append(0, np.flatnonzero(cells[1:] != cells[:-1]) + 1)
     counts = np.minimum(np.diff(begins, append=len(cells)), LEAST).astype(np.uint8)
     cells = cells[begins]
-    ranges = (cells >> np.uint64(RANGE_BITS)).astype(np.int64)
+    ranges = (cells >> RANGE_BITS).astype(np.int64)
     ends = np.append(np.flatnonzero(np.diff(ranges)) + 1, len(ranges))
     low = 0
     for high in ends.tolist():
-        inner = (cells[low:high] & np.uint64((1 << RANGE_BITS) - 1)).astype(np.uint32)
+        inner = (cells[low:high] & ((1 << RANGE_BITS) - 1)).astype(np.uint32)
         gaps = np.diff(inner, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
         yield int(ranges[low]), gaps.T.tobytes(), counts[low:high].tobytes()
         low = high
@@ -122,6 +125,8 @@ def _sketched(bits: int):
         found = list(_packed(np.concatenate(cells)))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["range", "cells", "counts"])
 
+    kind = np.uint32 if bits <= 32 else np.uint64
+
     def run(rows):
         cells, n = [], 0
         for batch in rows:
@@ -129,7 +134,7 @@ def _sketched(bits: int):
                 words = Words(lang, texts)
                 for k in range(1, LONGEST + 1):
                     _, h = words.phrases(k)
-                    cells.append(h >> np.uint64(64 - bits))
+                    cells.append((h >> np.uint64(64 - bits)).astype(kind))
                     n += len(h)
                 if n > RUN:
                     yield emit(cells)
@@ -186,51 +191,86 @@ class Shard:
             kept = heavy[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
             first = first[kept]
             end = at[first + k - 1] + 1 + (words.ends - words.starts)[first + k - 1] + 1  # with the blank behind
-            self.found.append((h[kept], np.full(len(first), k, np.int64), at[first] + self.size, end + self.size))
+            self.found.append((h[kept], at[first] + self.size, end + self.size))
         self.text.append(text)
         self.size += len(text)
 
     def counts(self):
-        """(phrase, words, occurrences) of the candidates: an automaton of blank-guarded phrases scans the text."""
+        """(phrase, occurrences) of the candidates: an automaton of blank-guarded phrases scans the text."""
         text = b"".join(self.text)
-        h, k, begin, end = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        h, begin, end = (np.concatenate(x) for x in zip(*self.found, strict=True))
         _, one = np.unique(h, return_index=True)
-        phrases = [text[a:b].decode() for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+        phrases = [text[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
         if not phrases:
-            return [], [], []
+            return
         automaton = ahocorasick.Automaton()
         for i, phrase in enumerate(phrases):
-            automaton.add_word(phrase, i)
+            automaton.add_word(phrase.decode(), i)
         automaton.make_automaton()
         hits = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text.decode())), np.int64), minlength=len(phrases))
-        return [p[1:-1] for p in phrases], k[one].tolist(), hits.tolist()
+        for phrase, n in zip(phrases, hits.tolist(), strict=True):
+            yield phrase[1:-1], n
 
 
-def _scanned(heavy, bits: int):
-    shift = 64 - min(bits, MAP_BITS)
+class Tally:
+    """Counts of phrases by language that a task has gathered."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, dict[bytes, int]] = {}
+        self.size = 0
 
-    def emit(shards):
-        out = [[], [], [], []]
+    def add(self, shards: dict[str, Shard]) -> None:
         for lang, shard in shards.items():
-            phrases, k, hits = shard.counts()
-            for o, x in zip(out, ([lang] * (len(phrases) + 1), ["", *phrases], [0, *k], [shard.words, *hits]), strict=True):
-                o.extend(x)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "k", "n"])
+            own = self.of.setdefault(lang, {})
+            self.size -= len(own)
+            own[b""] = own.get(b"", 0) + shard.words
+            for phrase, n in shard.counts():
+                own[phrase] = own.get(phrase, 0) + n
+            self.size += len(own)
+
+    def packed(self, ranges: int) -> pa.RecordBatch:
+        """(lang, range, phrases, counts): the phrases of a range in order, a line feed between, as sorted text is small."""
+        rows = []
+        for lang, own in self.of.items():
+            dealt = [[] for _ in range(ranges)]
+            for phrase in sorted(own):
+                dealt[crc32(phrase) % ranges].append(phrase)
+            rows += [(lang, r, b"\n".join(part), np.array([own[p] for p in part], np.uint32).tobytes()) for r, part in enumerate(dealt) if part]
+        types = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["lang", "range", "phrases", "counts"])
+
+
+def _scanned(heavy, bits: int, ranges: int):
+    shift = 64 - min(bits, MAP_BITS)
 
     def run(rows):
-        shards: dict[str, Shard] = {}
+        shards, tally = {}, Tally()
         for batch in rows:
             for lang, texts in _runs(batch):
                 shards.setdefault(lang, Shard()).add(Words(lang, texts), heavy.value, shift)
                 if sum(s.size for s in shards.values()) > SHARD_BYTES:
-                    yield emit(shards)
+                    tally.add(shards)
                     shards = {}
-        if shards:
-            yield emit(shards)
+                    if tally.size > TALLY:
+                        yield tally.packed(ranges)
+                        tally = Tally()
+        tally.add(shards)
+        yield tally.packed(ranges)
 
     return run
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """The phrases of a range and language that reach LEAST; with k = 0 the language's words, under the empty phrase."""
+    sums: dict[bytes, int] = {}
+    for phrases, counts in zip(table.column("phrases"), table.column("counts"), strict=True):
+        for phrase, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_py(), np.uint32).tolist(), strict=True):
+            sums[phrase] = sums.get(phrase, 0) + n
+    kept = [p for p, n in sums.items() if n >= LEAST or not p]
+    lang = pa.array([table.column("lang")[0].as_py()] * len(kept), pa.string())
+    return pa.table({"lang": lang, "phrase": pa.array([p.decode() for p in kept], pa.string()), "k": pa.array([p.count(b" ") + 1 if p else 0 for p in kept], pa.int32()), "n": pa.array([sums[p] for p in kept], pa.int64())})
+
+
 def phrase_counts(docs: DataFrame) -> DataFrame:
     """lang, phrase, k, n of all phrases of 1 to LONGEST words that occur LEAST times or more in a language; and with k = 0
     the number of all its words."""
@@ -238,8 +278,8 @@ def phrase_counts(docs: DataFrame) -> DataFrame:
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(RANGE_BITS, (size // 2).bit_length())  # about two cells a phrase
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_cells(plain, bits))
-    found = plain.transform(in_batches, _scanned(heavy, bits), "lang string, phrase string, k int, n long")
-    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | (F.col("k") == 0))
+    found = plain.transform(in_batches, _scanned(heavy, bits, 1 << max(4, bits - RANGE_BITS - 2)), "lang string, range int, phrases binary, counts binary")
+    return found.groupBy("lang", "range").applyInArrow(_summed, "lang string, phrase string, k int, n long")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
