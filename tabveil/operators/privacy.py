@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import secrets
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import gumbel, laplace, uniform
-from .distributions import MAX_CELLS, dense, ensure_list, shares
+from . import sparse
+from .distributions import MAX_CELLS, cardinalities, contingency, dense, ensure_list, shares
 
 
 class Ledger:
@@ -42,32 +44,75 @@ def _noisy(df: DataFrame, value: str, keys: list[str], scale: float, seed: str):
     return F.greatest(F.lit(0.0), F.col(value) + noise)
 
 
-def dp_contingency(df: DataFrame, cols: str | list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS) -> DataFrame:
-    """cols, count: Laplace(1 / epsilon) on every cell of the domain, clamped, rounded up."""
+def fresh(seed: str | None) -> str:
+    """The given seed, or for None one that no other release has."""
+    return secrets.token_hex(16) if seed is None else seed
+
+
+def dp_contingency(df: DataFrame, cols: str | list[str], epsilon: float, seed: str | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """cols, count: Laplace(1 / epsilon) on every cell of the domain, clamped, rounded up.
+
+    A domain of more than max_cells is never built: see sparse.noisy_cells. Then cells of a noisy count of 0 are left out.
+    """
     check_epsilon(epsilon)
     cols = ensure_list(cols)
-    cells = dense(df, cols, max_cells)
-    return cells.withColumn("count", F.ceil(_noisy(cells, "count", cols, 1 / epsilon, noise_seed(seed, "contingency", cols, epsilon))).cast("long"))
+    seed, scale = noise_seed(fresh(seed), "contingency", cols, epsilon), 1 / epsilon
+    if (sizes := _too_many(df, cols, max_cells)) is None:
+        cells = dense(df, cols, max_cells)
+        noisy = cells.withColumn("count", _noisy(cells, "count", cols, scale, seed))
+    else:
+        noisy = sparse.noisy_cells(contingency(df, cols), df, sizes, "count", scale, max_cells, seed)
+    return noisy.withColumn("count", F.ceil("count").cast("long"))
 
 
-def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS, mechanism: str = "joint", n: int | None = None) -> DataFrame:
+def _too_many(df: DataFrame, cols: list[str], max_cells: int) -> dict[str, int] | None:
+    """The cardinalities of cols if their domain has more than max_cells, else None."""
+    if len(cols) == 1:
+        return None
+    sizes = cardinalities(df, cols)
+    return sizes if math.prod(sizes.values()) > max_cells else None
+
+
+def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str | None = None, max_cells: int = MAX_CELLS, mechanism: str = "joint", n: int | None = None) -> DataFrame:
     """cols, p: shares with Laplace(2 / (n * epsilon)), clamped and normalised; with one column a marginal.
 
     mechanism names the release: another one of the same columns and epsilon has noise of its own. n is the number of rows,
-    counted unless given.
+    counted unless given. A domain of more than max_cells is never built: see sparse.noisy_cells.
     """
     check_epsilon(epsilon)
     cols = ensure_list(cols)
     n = df.count() if n is None else n
-    cells = shares(dense(df, cols, max_cells), "count")
+    if (sizes := _too_many(df, cols, max_cells)) is None:
+        return noisy_shares(dense(df, cols, max_cells), cols, epsilon, seed, mechanism, n)
+    seed, scale = noise_seed(fresh(seed), mechanism, cols, epsilon), 2 / (n * epsilon) if n else 0.0
+    seen = contingency(df, cols).withColumn("count", F.col("count") / max(n, 1))
+    noisy = sparse.noisy_cells(seen, df, sizes, "count", scale, max_cells, seed)
+    return shares(noisy.withColumnRenamed("count", "v"), "v").select(*[F.col(f"`{c}`") for c in cols], "p")
+
+
+def noisy_shares(cells: DataFrame, cols: list[str], epsilon: float, seed: str | None, mechanism: str, n: int) -> DataFrame:
+    """cols, p from the counts of all cells of a domain, of n rows in all."""
     scale = 2 / (n * epsilon) if n else 0.0
-    return shares(cells.withColumn("v", _noisy(cells, "p", cols, scale, noise_seed(seed, mechanism, cols, epsilon))), "v").select(*cols, "p")
+    cells = shares(cells, "count")
+    noisy = _noisy(cells, "p", cols, scale, noise_seed(fresh(seed), mechanism, cols, epsilon))
+    return shares(cells.withColumn("v", noisy), "v").select(*[F.col(f"`{c}`") for c in cols], "p")
+
+
+def dp_conditional(df: DataFrame, child: str, parents: list[str], epsilon: float, seed: str | None = None, max_cells: int = MAX_CELLS, n: int | None = None) -> DataFrame:
+    """parents, child, p: a noisy joint, normalised within each parent combination.
+
+    Each combination needs a distribution, so domains of more than max_cells are refused; the size of a parent set is
+    bounded where a network is learnt.
+    """
+    check_epsilon(epsilon)
+    n = df.count() if n is None else n
+    return noisy_conditional(dense(df, [*parents, child], max_cells), child, parents, epsilon, seed, n)
 
 
-def dp_conditional(df: DataFrame, child: str, parents: list[str], epsilon: float, seed: str, max_cells: int = MAX_CELLS, n: int | None = None) -> DataFrame:
-    """parents, child, p: a noisy joint, normalised within each parent combination."""
-    noisy = dp_joint(df, [*parents, child], epsilon, seed, max_cells, "conditional", n)
-    return shares(noisy.withColumnRenamed("p", "v"), "v", parents).select(*parents, child, "p") if parents else noisy
+def noisy_conditional(cells: DataFrame, child: str, parents: list[str], epsilon: float, seed: str | None, n: int) -> DataFrame:
+    """parents, child, p from the counts of all cells of a domain, of n rows in all."""
+    noisy = noisy_shares(cells, [*parents, child], epsilon, seed, "conditional", n)
+    return shares(noisy.withColumnRenamed("p", "v"), "v", parents).select(*[F.col(f"`{c}`") for c in [*parents, child]], "p") if parents else noisy
 
 
 def r_sensitivity(n: int) -> float:

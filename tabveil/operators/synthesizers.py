@@ -7,13 +7,14 @@ import hashlib
 import json
 import logging
 import math
-import secrets
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..sources import tables
 from . import privacy, scores
-from .distributions import MAX_CELLS, NotFittedError, cardinalities, clean, uniform_distribution
+from .distributions import MAX_CELLS, NotFittedError, cardinalities, clean, filled, grouped_counts, shares
 from .metrics import js_marginal
 from .sampling import draw
 
@@ -29,19 +30,38 @@ class Pair:
 
 
 class Synthesizer:
-    """fit, sample, score, save and load. tables_ holds the learned distributions, one DataFrame each."""
+    """fit, sample, score, save and load. tables_ holds the learned distributions, one DataFrame each.
+
+    fit writes the distributions to the shared folder, so a fitted model needs its source no more and doesn't follow its
+    changes. Without a seed each fit draws noise of its own; a given one makes fits repeatable, and must stay secret.
+    """
 
     def __init__(self, epsilon: float = 1.0, seed: str | None = None, max_cells: int = MAX_CELLS) -> None:
         privacy.check_epsilon(epsilon)
         self.epsilon, self.max_cells = epsilon, max_cells
-        self.seed = secrets.token_hex(16) if seed is None else seed  # never saved
+        self.seed = seed  # never saved
         self.tables_: dict[str, DataFrame] | None = None
 
     def _capture(self, df: DataFrame) -> DataFrame:
-        self.schema_, self.n_ = df.schema, df.count()
+        self.schema_, self.release_ = df.schema, privacy.fresh(self.seed)
         self.ledger_ = privacy.Ledger(self.epsilon)
         return clean(df)
 
+    def _counted(self, df: DataFrame, sets: list[tuple[str, ...]], weight: str | None = None) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+        """(values of each column, cells of each set): one aggregate, written once; n_ follows from the counts."""
+        every = [(c,) for c in self.schema_.names] + sets
+        counts = tables.keep(grouped_counts(df, every, weight), "__set")
+        cut = [counts.where(F.col("__set") == k).select(*[F.col(f"`{c}`") for c in s], "count") for k, s in enumerate(every)]
+        self.n_ = cut[0].agg(F.sum("count")).first()[0] or 0
+        d = len(self.schema_)
+        return dict(zip(self.schema_.names, cut[:d], strict=True)), cut[d:]
+
+    def _keep(self, found: dict[str, DataFrame]) -> None:
+        """Writes the tables in one job, and reads them from there on."""
+        wide = [t.select(F.lit(k).alias("__set"), F.col("p"), *[F.col(f"`{c}`") for c in t.columns if c != "p"]) for k, t in enumerate(found.values())]
+        kept = tables.keep(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide), "__set")
+        self.tables_ = {name: kept.where(F.col("__set") == k).select(*[F.col(f"`{c}`") for c in t.columns]) for k, (name, t) in enumerate(found.items())}
+
     def _check_fitted(self) -> None:
         if self.tables_ is None:
             raise NotFittedError(f"{type(self).__name__} has not been fitted")
@@ -83,6 +103,7 @@ class Synthesizer:
         model = kind(epsilon=float(kept["epsilon"]), seed=seed, max_cells=kept["max_cells"])
         model.schema_, model.n_ = T.StructType.fromJson(state["schema"]), state["n"]
         model.tables_ = {name: spark.read.parquet(f"{path}/table-{k}") for k, name in enumerate(state["tables"])}
+        model.release_ = privacy.fresh(seed)
         model._load_state(kept)
         return model
 
@@ -91,18 +112,18 @@ class Synthesizer:
 
 
 class MarginalSynthesizer(Synthesizer):
-    """Independent noisy marginals, epsilon / d each."""
+    """Independent noisy marginals, epsilon / d each; all are counted in one pass."""
 
     def fit(self, df: DataFrame) -> MarginalSynthesizer:
-        df = self._capture(df)
-        share = self.epsilon / len(df.columns)
-        self.tables_ = {c: privacy.dp_joint(df, c, self.ledger_.spend(f"marginal {c}", share), self.seed, self.max_cells, n=self.n_) for c in df.columns}
+        values, _ = self._counted(self._capture(df), [])
+        share = self.epsilon / len(values)
+        self._keep({c: privacy.noisy_shares(cells, [c], self.ledger_.spend(f"marginal {c}", share), self.release_, "joint", self.n_) for c, cells in values.items()})
         return self
 
     def sample(self, n: int | None = None) -> DataFrame:
         rows = self._rows(n)
         for c, table in self.tables_.items():
-            rows = draw(rows, table, [c], self.seed, "__rid")
+            rows = draw(rows, table, [c], self.release_, "__rid")
         return self._restore(rows)
 
 
@@ -110,24 +131,25 @@ class UniformSynthesizer(MarginalSynthesizer):
     """Each observed value alike; spends nothing, but shows which values there are."""
 
     def fit(self, df: DataFrame) -> UniformSynthesizer:
-        df = self._capture(df)
-        self.tables_ = {c: uniform_distribution(df, c) for c in df.columns}
+        values, _ = self._counted(self._capture(df), [])
+        self._keep({c: shares(cells.select(F.col(f"`{c}`"), F.lit(0).alias("zero")), "zero").select(F.col(f"`{c}`"), "p") for c, cells in values.items()})
         return self
 
 
 class ContingencySynthesizer(Synthesizer):
-    """One noisy table over the whole domain; refuses domains of more than max_cells."""
+    """One noisy table over the whole domain; one of more than max_cells is not built, see sparse.noisy_cells."""
 
     def fit(self, df: DataFrame) -> ContingencySynthesizer:
         df = self._capture(df)
-        table = privacy.dp_contingency(df, df.columns, self.ledger_.spend("contingency", self.epsilon), self.seed, self.max_cells)
+        self.n_ = df.count()
+        table = tables.keep(privacy.dp_contingency(df, df.columns, self.ledger_.spend("contingency", self.epsilon), self.release_, self.max_cells))
         total = table.agg(F.sum("count")).first()[0] or 0
         log.info("contingency table over %s", df.columns)
         self.tables_ = {"contingency": table.withColumn("p", F.col("count") / max(total, 1))}
         return self
 
     def sample(self, n: int | None = None) -> DataFrame:
-        rows = draw(self._rows(n), self.tables_["contingency"], [f.name for f in self.schema_], self.seed, "__rid")
+        rows = draw(self._rows(n), self.tables_["contingency"], [f.name for f in self.schema_], self.release_, "__rid")
         return self._restore(rows)
 
 
@@ -168,40 +190,63 @@ class BayesNet(Synthesizer):
         return scores.max_domain_size(self.n_, self.epsilon, self.split, d, self.theta, child)
 
     def fit(self, df: DataFrame) -> BayesNet:
+        """The source is read once: for a given network by the counts of all its tables, or else for its distinct rows, from
+        which scores and counts are taken."""
         df = self._capture(df)
-        columns, sizes = df.columns, cardinalities(df)
+        columns = df.columns
         network = [*(self.network_init or [])]
         if unknown := {p.attribute for p in network} - set(columns):
             raise ValueError(f"the network names unknown columns: {sorted(unknown)}")
         to_learn = len(columns) - max(1, len(network))
-        if not network:
-            order = sorted(columns, key=lambda c: root_order(self.seed, c))
-            network = [Pair(order[0])]
-        base = scores.collapsed(df).persist()
-        try:
-            epsilon = self._noise_epsilon()
-            while len(network) < len(columns):
-                chosen = {p.attribute: sizes[p.attribute] for p in network}
-                sets = [(c, tuple(sorted(s))) for c in columns if c not in chosen for s in (scores.maximal_parent_sets(chosen, self._limit(len(columns), sizes[c])) or {frozenset()})]
-                network.append(Pair(*self._choose(base, sets, epsilon * self.split / max(1, to_learn), len(network))))
-            self.network_ = network
-            share = (1 - self.split if to_learn else 1) * epsilon / len(columns)
-            self.tables_ = {}
-            for pair in network:
-                if not math.isinf(share):
-                    self.ledger_.spend(f"table {pair.attribute}", share)
-                self.tables_[pair.attribute] = privacy.dp_conditional(df, pair.attribute, [*pair.parents], share, self.seed, self.max_cells, self.n_)
-        finally:
-            base.unpersist()
+        source, weight = (df, None) if len(network) == len(columns) else (tables.keep(scores.collapsed(df)), "count")
+        epsilon = self._noise_epsilon()
+        if weight:
+            network = self._learned(source, network, epsilon * self.split / max(1, to_learn))
+        self.network_ = network
+        share = (1 - self.split if to_learn else 1) * epsilon / len(columns)
+        values, cells = self._counted(source, [(*p.parents, p.attribute) for p in network], weight)
+        sizes = {r["__set"]: r.n for r in self._sizes(values)}
+        found = {}
+        for pair, seen in zip(network, cells, strict=True):
+            if not math.isinf(share):
+                self.ledger_.spend(f"table {pair.attribute}", share)
+            cols = [*pair.parents, pair.attribute]
+            if len(cols) > 1:
+                if (n := math.prod(sizes[c] for c in cols)) > self.max_cells:
+                    raise ValueError(f"the domain of {cols} has {n} cells; at most {self.max_cells} are allowed")
+                whole = reduce(DataFrame.crossJoin, [values[c].select(F.col(f"`{c}`")) for c in cols])  # of checked size
+                seen = filled(seen, whole, cols)
+            found[pair.attribute] = privacy.noisy_conditional(seen, pair.attribute, [*pair.parents], share, self.release_, self.n_)
+        self._keep(found)
         return self
 
-    def _choose(self, base: DataFrame, sets: list[tuple[str, tuple[str, ...]]], epsilon: float, step: int) -> tuple[str, tuple[str, ...]]:
-        found = scores.score_all(base, sets, self.score_function)
+    def _sizes(self, values: dict[str, DataFrame]) -> list:
+        """A row for each column: its name as __set, and n distinct values, NULL one of them."""
+        every = [v.agg(F.lit(c).alias("__set"), F.count("*").alias("n")) for c, v in values.items()]
+        return reduce(DataFrame.unionByName, every).collect()
+
+    def _learned(self, base: DataFrame, network: list[Pair], epsilon: float) -> list[Pair]:
+        """The network, completed greedily; each candidate set is scored once, when its last parent has come."""
+        columns = self.schema_.names
+        self.n_ = base.agg(F.sum("count")).first()[0] or 0
+        sizes = cardinalities(base, columns)
+        network = network or [Pair(min(columns, key=lambda c: root_order(self.release_, c)))]
+        known: dict[tuple[str, tuple[str, ...]], float] = {}
+        while len(network) < len(columns):
+            chosen = {p.attribute: sizes[p.attribute] for p in network}
+            sets = [(c, tuple(sorted(s))) for c in columns if c not in chosen for s in (scores.maximal_parent_sets(chosen, self._limit(len(columns), sizes[c])) or {frozenset()})]
+            new = [s for s in sets if s not in known]
+            known |= dict(zip(new, scores.score_all(base, new, self.score_function), strict=True))
+            network = [*network, Pair(*self._choose(base.sparkSession, sets, [known[s] for s in sets], epsilon, len(network)))]
+        self.scores_ = known
+        return network
+
+    def _choose(self, spark: SparkSession, sets: list[tuple[str, tuple[str, ...]]], found: list[float], epsilon: float, step: int) -> tuple[str, tuple[str, ...]]:
         n = max(self.n_, 2)
         delta = privacy.r_sensitivity(n) if self.score_function == "R" else privacy.mi_sensitivity(n)
-        table = base.sparkSession.createDataFrame([(k, float(s)) for k, s in enumerate(found)], "k long, score double")
+        table = spark.createDataFrame([(k, float(s)) for k, s in enumerate(found)], "k long, score double")
         self.ledger_.spend(f"structure {step}", 0.0 if math.isinf(epsilon) else epsilon)
-        return sets[privacy.exponential(table, "k", "score", epsilon, delta, f"{self.seed}|{step}").first().k]
+        return sets[privacy.exponential(table, "k", "score", epsilon, delta, f"{self.release_}|{step}").first().k]
 
     def sample(self, n: int | None = None) -> DataFrame:
         return self._restore(self._chain(self._rows(n), set()))
@@ -210,7 +255,7 @@ class BayesNet(Synthesizer):
         """One join a column, in the network's order; no loop over rows."""
         for pair in self.network_:
             if pair.attribute not in given:
-                rows = draw(rows, self.tables_[pair.attribute], [pair.attribute], self.seed, "__rid", [*pair.parents])
+                rows = draw(rows, self.tables_[pair.attribute], [pair.attribute], self.release_, "__rid", [*pair.parents])
         return rows
 
     def sample_remaining(self, fixed: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import uniform
 from .distributions import NotFittedError, clean, shares
+from .ordering import quantiles
 from .privacy import Ledger, dp_joint
 
 #: Edges nearer than this are one.
@@ -19,7 +20,7 @@ NEAR = 1e-8
 
 
 def edges_of(df: DataFrame, column: str, n_bins: int, low: float | None = None, high: float | None = None, strategy: str = "uniform") -> list[float]:
-    """Bin edges: equal widths, or exact interpolated percentiles of the values and both bounds. Two aggregates at most."""
+    """Bin edges: equal widths, or exact interpolated percentiles of the values and both bounds, by order statistics."""
     if strategy not in ("uniform", "quantile"):
         raise ValueError("the strategy is uniform or quantile")
     x = clean(df.select(F.col(column).cast("double").alias("x"))).where("x is not null")
@@ -32,7 +33,7 @@ def edges_of(df: DataFrame, column: str, n_bins: int, low: float | None = None,
         edges = [low + (high - low) * k / n_bins for k in range(n_bins)] + [float(high)]
     else:
         ends = df.sparkSession.range(2).select(F.when(F.col("id") == 0, float(low)).otherwise(float(high)).alias("x"))
-        edges = x.unionAll(ends).agg(F.percentile("x", F.array(*[F.lit(k / n_bins) for k in range(n_bins + 1)]))).first()[0]
+        edges = quantiles(x.unionAll(ends), "x", [k / n_bins for k in range(n_bins + 1)])
     kept = [edges[0]]
     for e in edges[1:]:
         if e - kept[-1] > NEAR:
@@ -96,14 +97,12 @@ def replace_rare(df: DataFrame, column: str, min_support: float | int = 0.01, ne
     """Values of less support (a share if float, else a count) become new_name, or with 'mode' the commonest value. NULL is a value."""
     df = clean(df)
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    n, total = F.col("__n"), F.sum("__n").over(Window.partitionBy())
-    counts = counts.withColumn("__rare", (n / total < min_support) if isinstance(min_support, float) else n < min_support)
-    if new_name == "mode":
-        top = F.first(F.col(column).cast("string")).over(Window.partitionBy().orderBy(F.desc("__n"), F.asc_nulls_last(column)))
-        counts = counts.withColumn("__to", top)
-    else:
-        counts = counts.withColumn("__to", F.lit(new_name))
-    counts = counts.select(F.col(column).alias("__v"), "__rare", "__to")
+    # the commonest value, the smaller of two, NULL last
+    first = F.min(F.struct(-F.col("__n"), F.col(column).isNull(), F.col(column).alias("v")))["v"].cast("string")
+    one = counts.agg(F.sum("__n").alias("__total"), (first if new_name == "mode" else F.first(F.lit(new_name))).alias("__to"))
+    counts = counts.crossJoin(F.broadcast(one))  # one row
+    rare = F.col("__n") / F.col("__total") < min_support if isinstance(min_support, float) else F.col("__n") < min_support
+    counts = counts.select(F.col(column).alias("__v"), rare.alias("__rare"), "__to")
     out = df.join(counts, F.col(column).eqNullSafe(F.col("__v")))
     return out.withColumn(column, F.when(F.col("__rare"), F.col("__to")).otherwise(F.col(column).cast("string"))).select(*df.columns)
 

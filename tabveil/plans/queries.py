@@ -249,36 +249,46 @@ def maximal_parent_sets(spark, d):
     return spark.createDataFrame([(",".join(sorted(s)),) for s in scores.maximal_parent_sets(sizes, 200)], "parents string")
 
 
+def _alias_sql(name: str, table: str, child: tuple[str, ...], parents: tuple[str, ...] = (), value: str = "p") -> str:
+    """CTEs ending in name: the alias tables of child by parents, as sampling.draw() builds them, one row a slot."""
+    by = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    order, row = ", ".join(f"{c} NULLS FIRST" for c in child), f"row({', '.join(child)})"
+    keys = ", ".join([*parents, *child])
+    other = ", ".join(f"CASE WHEN o IS NULL THEN {c} ELSE o.v{i} END AS other_{c}" for i, c in enumerate(child))
+    packed = ", ".join(f"v{i} := {c}" for i, c in enumerate(child))
+    return f"""{name}_s AS (SELECT {keys}, row_number() OVER ({by} ORDER BY {order}) - 1 AS slot, count(*) OVER ({by}) AS k, {value} * count(*) OVER ({by}) / sum({value}) OVER ({by})::double AS s FROM ({table}) WHERE {value} > 0),
+{name}_c AS (SELECT *, s < 1 AS light, greatest(1 - s, 0) AS free, sum(greatest(1 - s, 0)) OVER w AS taken, sum(greatest(s - 1, 0)) OVER w AS excess FROM {name}_s WINDOW w AS ({by} ORDER BY slot ROWS UNBOUNDED PRECEDING)),
+{name}_o AS (SELECT *, CASE WHEN light THEN taken - free ELSE excess END AS place FROM {name}_c),
+{name}_a AS (SELECT *, first_value(CASE WHEN NOT light THEN struct_pack({packed}) END IGNORE NULLS) OVER ({by} ORDER BY place, light, slot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS o,
+  coalesce(last_value(CASE WHEN light THEN taken END IGNORE NULLS) OVER ({by} ORDER BY place, light, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS drawn FROM {name}_o),
+{name} AS (SELECT {keys}, slot, k, {other}, CASE WHEN o IS NULL THEN 1 WHEN light THEN s ELSE 1 - greatest(0, drawn - excess) END AS part FROM {name}_a)"""
+
+
+def _drawn_sql(columns: str, rows: str, table: str, child: tuple[str, ...], parents: tuple[str, ...] = (), key: str = "id") -> str:
+    """rows with child drawn from the alias tables of _alias_sql, as sampling.draw() does."""
+    x = f"({uniform_sql(f'{SEED}|{",".join(child)}', f'r.{key}')} * c.k)"
+    on = " AND ".join([f"c.slot = least(floor({x}), c.k - 1)", *(f"r.{p} IS NOT DISTINCT FROM c.{p}" for p in parents)])
+    out = ", ".join(f"CASE WHEN {x} - floor({x}) < c.part THEN c.{c} ELSE c.other_{c} END AS {c}" for c in child)
+    return f"SELECT {columns}, {out} FROM {rows} r JOIN {table} c ON {on}"
+
+
+_PRIORITY = ("o_orderpriority",)
+
+
 @query(
-    f"""WITH {_dp_joint_sql("orders", ("o_orderpriority",), 0.5)}, cdf AS (SELECT o_orderpriority, sum(p) OVER (ORDER BY o_orderpriority ROWS UNBOUNDED PRECEDING) AS hi FROM noisy),
-u AS (SELECT range AS id, {uniform_sql("s|o_orderpriority", "range")} AS u FROM range(2000))
-SELECT id, (SELECT min_by(o_orderpriority, hi) FROM cdf WHERE hi > u OR hi = (SELECT max(hi) FROM cdf)) AS o_orderpriority FROM u"""
+    f"""WITH {_dp_joint_sql("orders", _PRIORITY, 0.5)}, {_alias_sql("a", "SELECT * FROM noisy", _PRIORITY)}, ids AS (SELECT o_orderkey AS id FROM orders)
+SELECT * FROM ({_drawn_sql("r.id", "ids", "a", _PRIORITY)})"""
 )
 def marginal_sample(spark, d):
-    noisy = privacy.dp_joint(read(spark, d, "orders"), "o_orderpriority", 0.5, SEED)
-    return sampling.draw(spark.range(2000), noisy, ["o_orderpriority"], SEED, "id")
+    orders = read(spark, d, "orders")
+    noisy = privacy.dp_joint(orders, "o_orderpriority", 0.5, SEED)
+    return sampling.draw(orders.select(F.col("o_orderkey").alias("id")), noisy, ["o_orderpriority"], SEED, "id")
 
 
 def _flags(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
 
 
-def _cdf_sql(name: str, table: str, child: tuple[str, ...], parents: tuple[str, ...] = (), value: str = "p") -> str:
-    """CTE name: child by parents with lo and hi, the ends of the cumulative shares of value; the last hi is 2."""
-    over = f"PARTITION BY {', '.join(parents)} ORDER BY" if parents else "ORDER BY"
-    order = ", ".join(f"{c} NULLS FIRST" for c in child)
-    total = f"sum({value}) OVER ({over.removesuffix(' ORDER BY') if parents else ''})"
-    return f"""{name} AS (SELECT * REPLACE (CASE WHEN lead(hi) OVER ({over} {order}) IS NULL THEN 2 ELSE hi END AS hi), coalesce(lag(hi) OVER ({over} {order}), 0) AS lo
-FROM (SELECT {", ".join([*parents, *child])}, sum({value}) OVER ({over} {order} ROWS UNBOUNDED PRECEDING) / {total} AS hi FROM ({table})))"""
-
-
-def _drawn_sql(columns: str, rows: str, cdf: str, child: tuple[str, ...], parents: tuple[str, ...] = (), key: str = "id") -> str:
-    """rows with child drawn from cdf, as sampling.draw() does."""
-    u = uniform_sql(f"{SEED}|{','.join(child)}", f"r.{key}")
-    on = " AND ".join([f"{u} >= c.lo", f"{u} < c.hi", *(f"r.{x} IS NOT DISTINCT FROM c.{x}" for x in parents)])
-    return f"SELECT {columns}, {', '.join(f'c.{x}' for x in child)} FROM {rows} r JOIN {cdf} c ON {on}"
-
-
 def _noisy_sql(table: str, cols: tuple[str, ...], epsilon: float, mechanism: str = "joint") -> str:
     return f"WITH {_dp_joint_sql(table, cols, epsilon, mechanism=mechanism)} SELECT * FROM noisy"
 
@@ -289,7 +299,7 @@ _FLAG_CELLS = f"""WITH {_dp_joint_sql("lineitem", FLAGS, 1.0)} SELECT l_returnfl
 
 
 @query(
-    f"""WITH {_IDS}, {_cdf_sql("f", _noisy_sql("lineitem", FLAGS[:1], 0.5), FLAGS[:1])}, {_cdf_sql("s", _noisy_sql("lineitem", FLAGS[1:], 0.5), FLAGS[1:])},
+    f"""WITH {_IDS}, {_alias_sql("f", _noisy_sql("lineitem", FLAGS[:1], 0.5), FLAGS[:1])}, {_alias_sql("s", _noisy_sql("lineitem", FLAGS[1:], 0.5), FLAGS[1:])},
 one AS ({_drawn_sql("r.*", "ids", "f", FLAGS[:1])}), two AS ({_drawn_sql("r.*", "one", "s", FLAGS[1:])}) SELECT l_returnflag, l_linestatus FROM two"""
 )
 def marginal_synthesizer(spark, d):
@@ -297,14 +307,14 @@ def marginal_synthesizer(spark, d):
 
 
 @query(
-    f"""WITH {_IDS}, {", ".join(_cdf_sql(n, f"SELECT DISTINCT {c}, 1 AS p FROM lineitem", (c,)) for n, c in zip("fs", FLAGS))},
+    f"""WITH {_IDS}, {", ".join(_alias_sql(n, f"SELECT DISTINCT {c}, 1 AS p FROM lineitem", (c,)) for n, c in zip("fs", FLAGS))},
 one AS ({_drawn_sql("r.*", "ids", "f", FLAGS[:1])}), two AS ({_drawn_sql("r.*", "one", "s", FLAGS[1:])}) SELECT l_returnflag, l_linestatus FROM two"""
 )
 def uniform_synthesizer(spark, d):
     return syn.UniformSynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample()
 
 
-@query(f"WITH {_IDS}, {_cdf_sql('f', _FLAG_CELLS, FLAGS)}, one AS ({_drawn_sql('r.*', 'ids', 'f', FLAGS)}) SELECT l_returnflag, l_linestatus FROM one")
+@query(f"WITH {_IDS}, {_alias_sql('f', _FLAG_CELLS, FLAGS)}, one AS ({_drawn_sql('r.*', 'ids', 'f', FLAGS)}) SELECT l_returnflag, l_linestatus FROM one")
 def contingency_synthesizer(spark, d):
     return syn.ContingencySynthesizer(1.0, seed=SEED).fit(_flags(spark, d)).sample()
 
@@ -336,7 +346,7 @@ def bayesnet_tables(spark, d):
 #: What a network of three given pairs leaves for each table of a budget of 5.
 _SHARE = 1 * 5.0 / 3
 _PEOPLE = "t AS (SELECT c_custkey, r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-_CHAIN_CDFS = ", ".join(_cdf_sql(f"cdf_{p.attribute}", _noisy_sql("t", (*p.parents, p.attribute), _SHARE, "conditional"), (p.attribute,), p.parents) for p in CHAIN)
+_CHAIN_CDFS = ", ".join(_alias_sql(f"cdf_{p.attribute}", _noisy_sql("t", (*p.parents, p.attribute), _SHARE, "conditional"), (p.attribute,), p.parents) for p in CHAIN)
 
 
 @query(

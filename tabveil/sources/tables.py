@@ -30,6 +30,14 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str, copies: int = 1
     return df.crossJoin(spark.range(copies).select()) if copies != 1 else df
 
 
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written to a new shared folder and read back: what was learnt no longer depends on its source. With by, in a folder
+    for each value of that column, so that a reader of one value reads nothing else."""
+    path = shared_folder(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new name under spark.checkpoint.dir, which driver and executors share, or else under the warehouse.
 
