@@ -1,5 +1,6 @@
 """Column functions."""
 
 from .keyed import gumbel, laplace, token, uniform
+from .normal import normal_cdf, normal_quantile
 
-__all__ = ["gumbel", "laplace", "token", "uniform"]
+__all__ = ["gumbel", "laplace", "normal_cdf", "normal_quantile", "token", "uniform"]

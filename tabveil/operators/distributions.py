@@ -93,12 +93,14 @@ def filled(seen: DataFrame, cells: DataFrame, cols: list[str]) -> DataFrame:
 ID_COLUMNS = 60
 
 
-def grouped_counts(df: DataFrame, sets: list[tuple[str, ...]], weight: str | None = None) -> DataFrame:
+def grouped_counts(df: DataFrame, sets: list[tuple[str, ...]], weight: str | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
     """__set (the index of a set), all columns of the sets, count: the observed cells of each set of columns.
 
     One scan and one shuffle for all sets, and partial counts before it; columns outside a row's set are NULL. weight
-    is a column of counts, if a row stands for several. Sets of more than ID_COLUMNS columns in all are counted in parts.
+    is a column of counts, if a row stands for several; counts names other aggregates in place of count. Sets of more than
+    ID_COLUMNS columns in all are counted in parts.
     """
+    counts = counts or {"count": F.count("*") if weight is None else F.sum(weight)}
     parts, names = [[]], set()
     for k, s in enumerate(sets):
         if len(names | set(s)) > ID_COLUMNS:
@@ -107,19 +109,18 @@ def grouped_counts(df: DataFrame, sets: list[tuple[str, ...]], weight: str | Non
         names |= set(s)
         parts[-1].append(k)
     df = clean(df)
-    out = [_grouped(df, sets, part, weight) for part in parts if part]
+    out = [_grouped(df, sets, part, counts) for part in parts if part]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
-def _grouped(df: DataFrame, sets: list[tuple[str, ...]], part: list[int], weight: str | None) -> DataFrame:
+def _grouped(df: DataFrame, sets: list[tuple[str, ...]], part: list[int], counts: dict[str, Column]) -> DataFrame:
     cols = sorted({c for k in part for c in sets[k]})
     ids = {k: sum(1 << len(cols) - 1 - i for i, c in enumerate(cols) if c not in sets[k]) for k in part}
     of = {g: [k for k in part if ids[k] == g] for g in ids.values()}  # the same columns in another order are one group
     names = {c: F.col(f"`{c}`") for c in cols}
-    count = F.count("*") if weight is None else F.sum(weight)
-    found = df.groupingSets([[names[c] for c in cols if c in sets[ks[0]]] for ks in of.values()], *names.values()).agg(count.alias("count"), F.grouping_id().alias("__id"))
+    found = df.groupingSets([[names[c] for c in cols if c in sets[ks[0]]] for ks in of.values()], *names.values()).agg(*[x.alias(n) for n, x in counts.items()], F.grouping_id().alias("__id"))
     which = F.create_map(*[x for g, ks in of.items() for x in (F.lit(g).cast("long"), F.array(*map(F.lit, ks)))])[F.col("__id").cast("long")]
-    return found.withColumn("__set", F.explode(which)).select("__set", *names.values(), "count")
+    return found.withColumn("__set", F.explode(which)).select("__set", *names.values(), *counts)
 
 
 def conditional(counts: DataFrame, parents: list[str], value: str = "count") -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import token
-from .distributions import cardinalities, cardinality_table, clean, marginals, rare_categories, same
+from .distributions import cardinalities, cardinality_table, clean, grouped_counts, marginals, rare_categories, same
 
 
 def both_tables(first: DataFrame, second: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -46,12 +46,12 @@ def js_marginal(first: DataFrame, second: DataFrame, exclude: tuple[str, ...] =
 
 
 def js_joint(first: DataFrame, second: DataFrame, n_variables: int = 2, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """columns, distance for each combination of n_variables columns; all combinations share one shuffle."""
+    """columns, distance for each combination of n_variables columns; all are counted in one grouping-sets aggregate."""
     both = both_tables(first, second, exclude)
-    cols = [c for c in both.columns if c != "__one"]
-    sets = [F.struct(F.lit(",".join(s)).alias("columns"), F.array(*[token(c) for c in s]).alias("value")) for s in combinations(cols, n_variables)]
-    long = both.select("__one", F.explode(F.array(*sets)).alias("s")).select("__one", "s.columns", "s.value")
-    return _js(_count_both(long, "columns", "value"), "columns")
+    sets = [*combinations([c for c in both.columns if c != "__one"], n_variables)]
+    counts = grouped_counts(both, sets, counts={"c1": F.count_if("__one"), "c2": F.count_if(~F.col("__one"))})
+    name = F.element_at(F.array(*[F.lit(",".join(s)) for s in sets]), F.col("__set") + 1)
+    return _js(counts.select(name.alias("columns"), "c1", "c2"), "columns")
 
 
 def _pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -68,6 +68,10 @@ class Synthesizer:
 
     def _rows(self, n: int | None) -> DataFrame:
         self._check_fitted()
+        if n is not None and (isinstance(n, bool) or not isinstance(n, int)):
+            raise TypeError("the number of rows must be a whole number")
+        if n is not None and n < 0:
+            raise ValueError("the number of rows can't be negative")
         spark = next(iter(self.tables_.values())).sparkSession
         return spark.range(self.n_ if n is None else n).withColumnRenamed("id", "__rid")
 

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-import secrets
 import warnings
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import uniform
+from ..functions import normal_cdf, normal_quantile, uniform
+from ..sources import tables
 from .distributions import NotFittedError, clean, shares
 from .ordering import quantiles
-from .privacy import Ledger, dp_joint
+from .privacy import Ledger, dp_joint, fresh
 
 #: Edges nearer than this are one.
 NEAR = 1e-8
 
 
-def edges_of(df: DataFrame, column: str, n_bins: int, low: float | None = None, high: float | None = None, strategy: str = "uniform") -> list[float]:
-    """Bin edges: equal widths, or exact interpolated percentiles of the values and both bounds, by order statistics."""
+def check_bins(n_bins: int, strategy: str) -> None:
+    if isinstance(n_bins, bool) or not isinstance(n_bins, int):
+        raise TypeError("n_bins must be a whole number")
+    if n_bins < 1:
+        raise ValueError("n_bins must be positive")
     if strategy not in ("uniform", "quantile"):
         raise ValueError("the strategy is uniform or quantile")
+
+
+def check_share(name: str, share: float) -> None:
+    if isinstance(share, bool) or not 0 <= share <= 1:
+        raise ValueError(f"{name} must be from 0 to 1")
+
+
+def edges_of(df: DataFrame, column: str, n_bins: int, low: float | None = None, high: float | None = None, strategy: str = "uniform") -> list[float]:
+    """Bin edges: equal widths, or exact interpolated percentiles of the values and both bounds, by order statistics."""
+    check_bins(n_bins, strategy)
+    if low is not None and high is not None and low > high:
+        raise ValueError("the lower bound is above the upper one")
     x = clean(df.select(F.col(column).cast("double").alias("x"))).where("x is not null")
     if low is None or high is None:
         found = x.agg(F.min("x"), F.max("x")).first()
@@ -34,12 +47,17 @@ def edges_of(df: DataFrame, column: str, n_bins: int, low: float | None = None,
     else:
         ends = df.sparkSession.range(2).select(F.when(F.col("id") == 0, float(low)).otherwise(float(high)).alias("x"))
         edges = quantiles(x.unionAll(ends), "x", [k / n_bins for k in range(n_bins + 1)])
+    return merged(edges, column)
+
+
+def merged(edges: list[float], column: str) -> list[float]:
+    """The edges without those that lie NEAR the one before."""
     kept = [edges[0]]
     for e in edges[1:]:
         if e - kept[-1] > NEAR:
             kept.append(e)
     if len(kept) < len(edges):
-        warnings.warn(f"bins of {column} that are too small were merged", stacklevel=2)
+        warnings.warn(f"bins of {column} that are too small were merged", stacklevel=3)
     return kept
 
 
@@ -62,39 +80,30 @@ def bin_numeric(df: DataFrame, column: str, n_bins: int, low: float | None = Non
     return df.withColumn(column, F.get(spans, code))
 
 
-@F.pandas_udf(T.DoubleType())
-def _truncated(left: pd.Series, right: pd.Series, u: pd.Series, mean: pd.Series, std: pd.Series) -> pd.Series:
-    """Truncated normal by the inverse distribution function; Spark has none of the normal."""
-    out = []
-    for a, b, x, m, s in zip(left, right, u, mean, std, strict=True):
-        if a is None or a != a:
-            out.append(None)
-            continue
-        normal = NormalDist(m, s)
-        low, high = normal.cdf(a), normal.cdf(b)
-        p = min(max(low + x * (high - low), 1e-12), 1 - 1e-12)
-        out.append(min(max(normal.inv_cdf(p), a), b))
-    return pd.Series(out, dtype="float64")
-
-
 def sample_from_bins(df: DataFrame, column: str, key: str, numeric: str = "int", mean: float | None = None, std: float | None = None, seed: str = "0") -> DataFrame:
     """The inverse of bin_numeric: a number within each bin, uniform or truncated normal; int draws from the truncated bounds."""
     if numeric not in ("int", "float"):
         raise ValueError("the numeric type is int or float")
     left, right, u = F.col(f"{column}.left"), F.col(f"{column}.right"), uniform(seed, key)
     if mean is not None and std is not None:
-        value = _truncated(left, right, u, F.lit(float(mean)), F.lit(float(std)))
+        if std <= 0:
+            raise ValueError("the deviation must be positive")
+        low, high = (normal_cdf((x - float(mean)) / float(std)) for x in (left, right))
+        df = df.withColumn("__p", F.least(F.greatest(low + u * (high - low), F.lit(1e-12)), F.lit(1 - 1e-12)))
+        value = F.least(F.greatest(normal_quantile(F.col("__p")) * float(std) + float(mean), left), right)
         value = F.round(value).cast("int") if numeric == "int" else value
     elif numeric == "int":
         a, b = left.cast("int"), right.cast("int")
         value = (a + F.floor(u * F.greatest(b - a, F.lit(1)))).cast("int")
     else:
         value = left + u * (right - left)
-    return df.withColumn(column, F.when(F.col(column).isNotNull(), value))
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), value)).drop("__p")
 
 
 def replace_rare(df: DataFrame, column: str, min_support: float | int = 0.01, new_name: str = "other") -> DataFrame:
     """Values of less support (a share if float, else a count) become new_name, or with 'mode' the commonest value. NULL is a value."""
+    if isinstance(min_support, bool) or min_support < 0 or isinstance(min_support, float) and min_support > 1:
+        raise ValueError("the support is a share from 0 to 1 or a count")
     df = clean(df)
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))
     # the commonest value, the smaller of two, NULL last
@@ -143,10 +152,12 @@ class RareCategories(Reversible):
     kept_: dict[str, DataFrame] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, columns: list[str]) -> RareCategories:
+        check_share("threshold", self.threshold)
         df = self._learn(df, columns)
+        self.kept_ = {}
         for c in columns:
             counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("__v")).agg(F.count("*").alias("n"))
-            self.kept_[c] = shares(counts, "n").where(F.col("p") >= self.threshold).select("__v", F.lit(True).alias("__kept"))
+            self.kept_[c] = tables.keep(shares(counts, "n").where(F.col("p") >= self.threshold).select("__v", F.lit(True).alias("__kept")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -173,6 +184,8 @@ class ContinuousBins(Reversible):
 
     def fit(self, df: DataFrame, columns: list[str]) -> ContinuousBins:
         df = self._learn(df, columns)
+        check_bins(self.n_bins, self.strategy)
+        self.edges_, self.whole_ = {}, {}
         for c in columns:
             own = df.where(~F.col(c).isin(self.labelled_missing[c])) if self.labelled_missing.get(c) else df
             self.edges_[c] = edges_of(own, c, self.n_bins, strategy=self.strategy)
@@ -208,37 +221,48 @@ class ContinuousBins(Reversible):
 
 @dataclass
 class CategoryBins(Reversible):
-    """Categories in sorted order, dealt to n_bins of equal width; back by the learned shares within a bin.
+    """Categories in sorted order, dealt to n_bins of equal width or, with strategy 'quantile', of about as many rows each;
+    back by the learned shares within a bin.
 
     The shares are marginals with Laplace noise, epsilon / d for each of d columns; an infinite epsilon keeps them exact.
-    seed keys the noise; one drawn from secrets is the default. Which categories there are is read without noise.
+    seed keys the noise; one drawn from secrets is the default. Which categories there are is read without noise, as
+    are the edges of quantiles. NULL has no code and stays NULL, unless missing makes it the last category.
     """
 
     n_bins: int = 5
     epsilon: float = 1.0
     seed: str | None = None
     codes_: dict[str, DataFrame] = field(default_factory=dict)
+    strategy: str = "uniform"
+    missing: bool = False
 
     def fit(self, df: DataFrame, columns: list[str]) -> CategoryBins:
-        if self.n_bins < 1:
-            raise ValueError("n_bins must be positive")
-        df, seed = self._learn(df, columns), self.seed if self.seed is not None else secrets.token_hex(16)
+        check_bins(self.n_bins, self.strategy)
+        df, seed = self._learn(df, columns), fresh(self.seed)
         ledger = Ledger(self.epsilon)
+        self.codes_ = {}
         for c in columns:
             share = ledger.spend(f"categories {c}", self.epsilon / len(columns))
-            counts = dp_joint(df.select(F.col(c).cast("string").alias(c)), c, share, seed).select(F.col(c).alias("__v"), "p").where("__v is not null")
-            w = Window.partitionBy()
-            rank = F.row_number().over(w.orderBy("__v")) - 1  # one row a category
-            width = F.greatest((F.count("*").over(w) - 1) / self.n_bins, F.lit(1e-9))
-            code = F.least(F.floor(F.col("__rank") * (1 + 1e-5) / width + 1e-8), F.lit(self.n_bins - 1)).cast("int")
-            self.codes_[c] = counts.withColumn("__rank", rank).withColumn("__code", code).select("__v", "__code", "p")
+            counts = dp_joint(df.select(F.col(c).cast("string").alias(c)), c, share, seed).select(F.col(c).alias("__v"), "p")
+            counts = tables.keep(counts if self.missing else counts.where("__v is not null"))
+            rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("__v"))) - 1  # one row a category
+            ranked = counts.withColumn("__rank", rank)
+            if self.strategy == "quantile":
+                own = df.select(F.col(c).cast("string").alias("__own")).join(ranked, F.col("__own").eqNullSafe(F.col("__v")))
+                edges = quantiles(own, "__rank", [k / self.n_bins for k in range(self.n_bins + 1)])
+                x = F.col("__rank").cast("double")
+                code = code_of(x + 1e-8 + 1e-5 * x, merged(edges, c) if edges else [])
+            else:
+                width = max((counts.count() - 1) / self.n_bins, 1e-9)
+                code = F.least(F.floor(F.col("__rank") * (1 + 1e-5) / width + 1e-8), F.lit(self.n_bins - 1))
+            self.codes_[c] = tables.keep(ranked.withColumn("__code", code.cast("int")).select("__v", "__code", "p"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted(df)
         names, df = df.columns, clean(df)
         for c, codes in self.codes_.items():
-            df = df.join(codes.select("__v", "__code"), F.col(c).cast("string") == F.col("__v"), "left").withColumn(c, F.col("__code")).select(*names)
+            df = df.join(codes.select("__v", "__code"), F.col(c).cast("string").eqNullSafe(F.col("__v")), "left").withColumn(c, F.col("__code")).select(*names)
         return df
 
     def inverse_transform(self, df: DataFrame, key: str, seed: str = "0") -> DataFrame:
@@ -246,12 +270,12 @@ class CategoryBins(Reversible):
         names = df.columns
         for c, codes in self.codes_.items():
             w = Window.partitionBy("__code")
-            cdf = shares(codes.withColumnRenamed("p", "q"), "q", ["__code"]).withColumn("hi", F.sum("p").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+            cdf = shares(codes.withColumnRenamed("p", "q"), "q", ["__code"]).withColumn("hi", F.sum("p").over(w.orderBy(F.asc_nulls_last("__v")).rowsBetween(Window.unboundedPreceding, 0)))
             cdf = cdf.groupBy("__code").agg(F.array_sort(F.collect_list(F.struct("hi", "__v"))).alias("cdf"))  # the categories of one bin
             u = uniform(seed, F.lit(c), key)
             df = df.withColumn("__u", u).join(cdf, F.col(c) == F.col("__code"), "left")
             hit = F.get(F.filter("cdf", lambda x: x.hi > F.col("__u")), F.lit(0))
-            df = df.withColumn(c, F.coalesce(hit["__v"], F.element_at("cdf", -1)["__v"])).select(*names)
+            df = df.withColumn(c, F.when(hit.isNotNull(), hit["__v"]).otherwise(F.element_at("cdf", -1)["__v"])).select(*names)
         return self._restore(df)
 
 
@@ -349,12 +373,3 @@ def restore_dates(df: DataFrame, sequence: list[str], key: str, seed: str = "0")
         date = F.date_add(date, F.col(c).cast("int"))
         out[c] = date
     return df.withColumns(out)
-
-
-def flatten_records(df: DataFrame, key: str, order: str, values: list[str], longest: int) -> DataFrame:
-    """One row a key with value1 .. valueN of its records in order; records beyond longest raise at run time."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    ranked = df.withColumn("__at", F.when(at <= longest, at).otherwise(F.raise_error(F.lit("more records than columns"))))
-    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("__at") == k, F.col(v))).alias(f"{v}{k}") for k in range(1, longest + 1) for v in values])
-
-

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import gumbel, laplace, uniform
-from ..operators import distributions as dist, efficacy, metrics, privacy, sampling, scores, synthesizers as syn, transformers as tr
+from ..functions import gumbel, laplace, normal, uniform
+from ..operators import distributions as dist, efficacy, frames, metrics, ordering, privacy, sampling, scores, sequences as seq, stages, synthesizers as syn, transformers as tr
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -412,9 +412,34 @@ def sample_from_bins_float(spark, d):
     return r6(tr.sample_from_bins(tr.bin_numeric(read(spark, d, "part"), "p_size", 5, 0, 50), "p_size", "p_partkey", "float", seed=SEED), "p_size").select("p_partkey", "p_size")
 
 
-@query()
+def _ratio_sql(parts, x: str) -> str:
+    up, down = (f"{p[0]!r}::double" for p in parts)
+    for c in parts[0][1:]:
+        up = f"({up} * {x} + {c!r}::double)"
+    for c in parts[1][1:]:
+        down = f"({down} * {x} + {c!r}::double)"
+    return f"({up} / {down})"
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The twin of functions.normal_cdf up to a distance of normal.ENDS."""
+    tail = f"(exp(-abs({x}) * abs({x}) / 2) * {_ratio_sql(normal.HART, f'abs({x})')})"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def normal_quantile_sql(p: str) -> str:
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {r} <= 5 THEN {_ratio_sql(normal.NEAR, f'({r} - 1.6)')} ELSE {_ratio_sql(normal.FAR, f'({r} - 5)')} END"
+    return f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_ratio_sql(normal.CENTRE, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} ELSE sign({p} - 0.5) * ({tail}) END)"
+
+
+@query(
+    f"""WITH {_BINNED}, z AS (SELECT *, {normal_cdf_sql("((lo - 25) / 10::double)")} AS a, {normal_cdf_sql("((lo + 10 - 25) / 10::double)")} AS z FROM b),
+q AS (SELECT *, least(greatest(a + u * (z - a), 1e-12), 1 - 1e-12)::double AS p FROM z)
+SELECT p_partkey, round(least(greatest(25 + 10 * {normal_quantile_sql("p")}, lo), lo + 10), 6) AS p_size FROM q"""
+)
 def sample_from_bins_truncnorm(spark, d):
-    return tr.sample_from_bins(tr.bin_numeric(read(spark, d, "part"), "p_size", 5, 0, 50), "p_size", "p_partkey", "float", 25.0, 10.0, SEED).select("p_partkey", "p_size")
+    return r6(tr.sample_from_bins(tr.bin_numeric(read(spark, d, "part"), "p_size", 5, 0, 50), "p_size", "p_partkey", "float", 25.0, 10.0, SEED), "p_size").select("p_partkey", "p_size")
 
 
 _NUDGED = "(p_retailprice + 1e-8 + 1e-5 * abs(p_retailprice))"
@@ -567,7 +592,7 @@ def date_sequence_inverse(spark, d):
 def flatten_sequences(spark, d):
     first = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")).alias("x")
     rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "x.l_returnflag", "x.l_quantity")
-    return tr.flatten_records(rows, "l_orderkey", "l_linenumber", ["l_returnflag", "l_quantity"], 7)
+    return seq.flatten_records(rows, "l_orderkey", "l_linenumber", ["l_returnflag", "l_quantity"], 7)
 
 
 # --- evaluation
@@ -770,6 +795,182 @@ def melt_importances(spark, d):
     return a.join(b, "feature", "full_outer").na.fill(0.0).unpivot(["feature"], ["original", "artificial"], "table", "importance")
 
 
+# --- counts, order and large domains
+
+
+_PARTS4 = ("p_brand", "p_type", "p_size", "p_name")
+
+
+@query(
+    """SELECT rank::int AS rank, x AS value FROM (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS r, count(*) OVER () AS n FROM lineitem)
+JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS rank) ON r = rank * (n - 1) // 4"""
+)
+def order_statistics(spark, d):
+    rows = read(spark, d, "lineitem").select("l_extendedprice")
+    n = rows.count()
+    found = ordering.order_statistics(rows, "l_extendedprice", [k * (n - 1) // 4 for k in range(5)], n)
+    return spark.createDataFrame([*enumerate(found)], "rank int, value double")
+
+
+_LINE_SETS = [("l_returnflag",), ("l_returnflag", "l_linestatus"), ("l_linestatus", "l_linenumber"), ("l_returnflag", "l_linestatus", "l_linenumber")]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {k}::int AS \"set\", {', '.join(c if c in s else f'NULL AS {c}' for c in COLS)}, count(*) AS count FROM lineitem GROUP BY {', '.join(s)}" for k, s in enumerate(_LINE_SETS)
+    )
+)
+def grouped_counts(spark, d):
+    return dist.grouped_counts(read(spark, d, "lineitem"), _LINE_SETS).select(F.col("__set").alias("set"), *COLS, "count")
+
+
+_LARGE = f"seen AS (SELECT {', '.join(_PARTS4)}, count(*) AS c FROM part GROUP BY {', '.join(_PARTS4)}), size AS (SELECT {' * '.join(f'count(DISTINCT {c})::double' for c in _PARTS4)} AS cells FROM part)"
+_LARGE_NOISE = laplace_sql(uniform_sql(privacy.noise_seed(SEED, "contingency", [*_PARTS4], 0.5), *_PARTS4), 2.0)
+
+
+@query(f"WITH {_LARGE} SELECT {', '.join(_PARTS4)}, c AS count FROM seen")
+def contingency_large_domain(spark, d):
+    """Without noise the sparse form is the table of what was observed."""
+    return privacy.dp_contingency(read(spark, d, "part"), [*_PARTS4], math.inf, SEED, max_cells=1000)
+
+
+@query()
+def dp_contingency_large_domain(spark, d):
+    return privacy.dp_contingency(read(spark, d, "part"), [*_PARTS4], 0.5, SEED, max_cells=1000)
+
+
+@query(
+    f"""WITH {_LARGE}, n AS (SELECT {', '.join(_PARTS4)}, c + {_LARGE_NOISE} AS v FROM seen), t AS (SELECT greatest(0, -2 * ln(2 * least(0.5, 1000 / cells))) AS least FROM size)
+SELECT {', '.join(_PARTS4)}, ceil(v)::bigint AS count FROM n, t WHERE v > least"""
+)
+def dp_contingency_large_domain_observed(spark, d):
+    """The observed cells of dp_contingency_large_domain, whose noise is keyed by the cell."""
+    part = read(spark, d, "part")
+    return dp_contingency_large_domain(spark, d).join(part.select(*_PARTS4).distinct(), [*_PARTS4], "left_semi")
+
+
+_SCORED = [("n_name", ("r_name",)), ("c_mktsegment", ("r_name",)), ("c_mktsegment", ("n_name", "r_name"))]
+
+
+@query(
+    f"WITH {_PEOPLE}, f AS ("
+    + " UNION ALL ".join(_score_sql("t", c, p, k) for k, (c, p) in enumerate(_SCORED))
+    + ") SELECT attribute, parents, r AS score FROM f JOIN (VALUES "
+    + ", ".join(f"({k}, '{c}', '{','.join(p)}')" for k, (c, p) in enumerate(_SCORED))
+    + ") v(set, attribute, parents) USING (set)"
+)
+def bayesnet_scores(spark, d):
+    """All sets that the greedy search scores, each once, from a given root on."""
+    model = syn.BayesNetNonPrivate(10_000.0, network=CHAIN[:1], seed=SEED).fit(_people(spark, d))
+    return r6(spark.createDataFrame([(c, ",".join(p), s) for (c, p), s in model.scores_.items()], "attribute string, parents string, score double"), "score")
+
+
+# --- transformers in pipelines, as methods and over sequences
+
+
+def _through(spark, transformer, rows: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, stages.TableModel]:
+    """rows as a pipeline of the transformer has them after it was fitted, saved and loaded; and the loaded stage."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    path = f"{tables.shared_folder(spark)}/pipeline"
+    Pipeline(stages=[stages.TableTransform(transformer, columns)]).fit(rows).write().save(path)
+    model = PipelineModel.load(path)
+    return model.transform(rows), model.stages[0]
+
+
+@query(ORACLE_SQL["generalize_continuous"])
+def pipeline_continuous(spark, d):
+    return _through(spark, tr.ContinuousBins(10), read(spark, d, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"])[0]
+
+
+@query(ORACLE_SQL["generalize_categorical_inverse"])
+def pipeline_categorical_inverse(spark, d):
+    out, stage = _through(spark, tr.CategoryBins(5, seed=SEED), read(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand"])
+    return stage.inverse_transform(out, "p_partkey", SEED)
+
+
+@query(ORACLE_SQL["sample_from_reversed_dict"])
+def pipeline_scheme_inverse(spark, d):
+    rows = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"), "c_mktsegment")
+    out, stage = _through(spark, tr.Scheme({"nation": _regions(spark, d), "c_mktsegment": {"BUILDING": "works", "MACHINERY": "works"}}), rows)
+    return stage.inverse_transform(out, "c_custkey", SEED)
+
+
+@query(ORACLE_SQL["group_rare_categories"])
+def pipeline_rare(spark, d):
+    return _through(spark, tr.RareCategories(0.2), read(spark, d, "events").select("event_id", "event_type"), ["event_type"])[0]
+
+
+@query(ORACLE_SQL["date_sequence_inverse"])
+def pipeline_dates_inverse(spark, d):
+    rows = _dates(spark, d).withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out, stage = _through(spark, seq.DateSequence(["o_orderdate", "l_shipdate"]), rows)
+    out = stage.inverse_transform(out, "k", SEED)
+    return out.select("l_orderkey", "l_linenumber", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("o_orderdate", "l_shipdate")])
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, p_brand, (rank() OVER (ORDER BY p_brand) - 1)::double AS e0 FROM part), r AS (SELECT *, (dense_rank() OVER (ORDER BY p_brand) - 1)::double AS r FROM t),
+q AS (SELECT quantile_cont(r, [0, 0.25, 0.5, 0.75, 1]) AS e FROM r)
+SELECT p_partkey, {_code_sql("(r + 1e-8 + 1e-5 * r)", "e")}::int AS p_brand FROM r, q"""
+)
+def generalize_categorical_quantile(spark, d):
+    part = read(spark, d, "part").select("p_partkey", "p_brand")
+    return tr.CategoryBins(4, seed=SEED, strategy="quantile").fit(part, ["p_brand"]).transform(part)
+
+
+@query(
+    """WITH m AS (SELECT min(p_size) AS a, max(p_size) AS b FROM part WHERE p_size NOT IN (1, 2)), e AS (SELECT list_append([a + (b - a) * k / 4::double FOR k IN range(4)], b::double) AS e FROM m)
+SELECT p_partkey, CASE WHEN p_size IN (1, 2) THEN p_size ELSE least(len(list_filter(e[2:], lambda x: x <= p_size + 1e-8 + 1e-5 * p_size)), len(e) - 2) END::double AS p_size FROM part, e"""
+)
+def generalize_labelled_missing(spark, d):
+    part = read(spark, d, "part").select("p_partkey", "p_size")
+    return tr.ContinuousBins(4, labelled_missing={"p_size": [1, 2]}).fit(part, ["p_size"]).transform(part)
+
+
+@query(
+    f"""WITH c AS (SELECT p_brand, count(*) / (SELECT count(*) FROM part)::double AS p FROM part GROUP BY 1), e AS (SELECT [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]::double[] AS e),
+t AS (SELECT p_partkey, CASE WHEN p < 0.04 THEN 'few' ELSE p_brand END AS p_brand, e[{_code_sql("p_size", "e")} + 1]::int AS lo, {uniform_sql(SEED, "p_partkey")} AS u FROM part JOIN c USING (p_brand), e)
+SELECT p_partkey, p_brand, (lo + floor(u * 10))::int AS p_size, 'P' || row_number() OVER (ORDER BY p_partkey) AS id FROM t"""
+)
+def frame_methods(spark, d):
+    """A chain of steps, each a function of the library in its curried form."""
+    step = frames.STEPS
+    rows = read(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    rows = rows.transform(step["replace_rare"]("p_brand", 0.04, "few")).transform(step["bin_numeric"]("p_size", 5, 0, 50))
+    return rows.transform(step["sample_from_bins"]("p_size", "p_partkey", seed=SEED)).transform(step["add_ids"]("p_partkey", "id", "P"))
+
+
+#: The records of each order in one row; those that were returned are missing.
+_STEPS = [f"l_quantity{k}" for k in range(1, 8)]
+_FLAT = ORACLE_SQL["flatten_sequences"]
+_KNOWN = ", ".join(f"CASE WHEN l_returnflag{k} <> 'R' THEN l_quantity{k} END AS l_quantity{k}" for k in range(1, 8))
+_GAP = "least(" + ", ".join(f"CASE WHEN l_quantity{k} IS NULL AND coalesce({', '.join(_STEPS[k:])}) IS NOT NULL THEN {k} END" for k in range(1, 7)) + ")"
+
+
+def _steps(spark, d) -> DataFrame:
+    flat = flatten_sequences(spark, d)
+    return flat.select("l_orderkey", *[F.when(F.col(f"l_returnflag{k}") != "R", F.col(f"l_quantity{k}")).alias(f"l_quantity{k}") for k in range(1, 8)])
+
+
+@query(f"SELECT l_orderkey, {', '.join(_STEPS)} FROM (SELECT l_orderkey, {_KNOWN} FROM ({_FLAT})) WHERE {_GAP} IS NULL")
+def sequence_consistency(spark, d):
+    return seq.consistent_sequences(_steps(spark, d), _STEPS)
+
+
+@query(f"SELECT l_orderkey, ({_GAP})::int AS gap FROM (SELECT l_orderkey, {_KNOWN} FROM ({_FLAT})) WHERE {_GAP} IS NOT NULL")
+def sequence_gaps(spark, d):
+    return seq.consistent_sequences(_steps(spark, d), _STEPS, errors=True).select("l_orderkey", "gap")
+
+
+@query(
+    """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::int AS place, l_returnflag, l_quantity
+FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity)"""
+)
+def unflatten_sequences(spark, d):
+    return seq.unflatten_records(flatten_sequences(spark, d), ["l_orderkey"], ["l_returnflag", "l_quantity"], 7)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit a marginal model to orders, draw as many rows, and measure each column's distance."""
     rows = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
