@@ -45,6 +45,22 @@ def js_marginal(first: DataFrame, second: DataFrame, exclude: tuple[str, ...] =
     return _js(aligned_counts(first, second, exclude), "column")
 
 
+def js_many(tables: DataFrame, at: str, weight: str, n: int) -> DataFrame:
+    """at, score: the mean distance of the columns of each of n tables (at from 0 on) to the original's (at = -1).
+
+    All tables stand in one, with counts in weight. A value's counts in all of them come together in one row, so there
+    is one aggregate, and no table is joined with another.
+    """
+    cols = [c for c in tables.columns if c not in (at, weight)]
+    texts = clean(tables).select(at, weight, *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    long = texts.unpivot([at, weight], cols, "column", "value").groupBy("column", "value", at).agg(F.sum(weight).alias("c"))
+    cells = long.groupBy("column", "value").agg(F.map_from_entries(F.collect_list(F.struct(at, "c"))).alias("by"))  # n + 1 entries
+    count = lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0))
+    cells = cells.select("column", count(F.lit(-1)).alias("c1"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("at"), count(k).alias("c2")))).alias("x"))
+    both = _js(cells.select(F.struct("x.at", "column").alias("of"), "c1", "x.c2"), "of")
+    return both.groupBy(F.col("of.at").alias(at)).agg(F.avg("distance").alias("score"))
+
+
 def js_joint(first: DataFrame, second: DataFrame, n_variables: int = 2, exclude: tuple[str, ...] = ()) -> DataFrame:
     """columns, distance for each combination of n_variables columns; all are counted in one grouping-sets aggregate."""
     both = both_tables(first, second, exclude)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import secrets
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import gumbel, laplace, uniform
+from ..sources import tables
 from . import sparse
-from .distributions import MAX_CELLS, cardinalities, contingency, dense, ensure_list, shares
+from .distributions import MAX_CELLS, ensure_list, filled, grouped_counts, shares
 
 
 class Ledger:
@@ -49,30 +52,53 @@ def fresh(seed: str | None) -> str:
     return secrets.token_hex(16) if seed is None else seed
 
 
-def dp_contingency(df: DataFrame, cols: str | list[str], epsilon: float, seed: str | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+@dataclass
+class Observed:
+    """What a noisy table over some columns needs: the cells seen, each column's values, their numbers, and the rows."""
+
+    seen: DataFrame
+    values: dict[str, DataFrame]
+    sizes: dict[str, int]
+    n: int
+
+    @classmethod
+    def of(cls, df: DataFrame, cols: list[str], weight: str | None = None) -> Observed:
+        """One aggregate over df, written once. weight is a column of counts, if a row stands for several."""
+        every = [(c,) for c in cols] + [tuple(cols)]
+        counts = tables.keep(grouped_counts(df, every, weight), "__set")
+        cut = [counts.where(F.col("__set") == k).select(*[F.col(f"`{c}`") for c in s], "count") for k, s in enumerate(every)]
+        found = {r["__set"]: r for r in counts.groupBy("__set").agg(F.count("*").alias("k"), F.sum("count").alias("n")).collect()}  # a row a set
+        sizes = {c: found[k].k if k in found else 0 for k, c in enumerate(cols)}
+        values = {c: cut[k].select(F.col(f"`{c}`")) for k, c in enumerate(cols)}
+        return cls(cut[-1], values, sizes, found[0].n if found else 0)
+
+    @property
+    def cells(self) -> int:
+        return math.prod(self.sizes.values())
+
+    def dense(self) -> DataFrame:
+        """All cells of the domain and their counts; its size is for the caller to check."""
+        if len(self.values) == 1:
+            return self.seen
+        return filled(self.seen, reduce(DataFrame.crossJoin, self.values.values()), [*self.values])
+
+
+def dp_contingency(df: DataFrame, cols: str | list[str], epsilon: float, seed: str | None = None, max_cells: int = MAX_CELLS, weight: str | None = None) -> DataFrame:
     """cols, count: Laplace(1 / epsilon) on every cell of the domain, clamped, rounded up.
 
     A domain of more than max_cells is never built: see sparse.noisy_cells. Then cells of a noisy count of 0 are left out.
     """
     check_epsilon(epsilon)
     cols = ensure_list(cols)
-    seed, scale = noise_seed(fresh(seed), "contingency", cols, epsilon), 1 / epsilon
-    if (sizes := _too_many(df, cols, max_cells)) is None:
-        cells = dense(df, cols, max_cells)
+    seed, scale, own = noise_seed(fresh(seed), "contingency", cols, epsilon), 1 / epsilon, Observed.of(df, cols, weight)
+    if len(cols) == 1 or own.cells <= max_cells:
+        cells = own.dense()
         noisy = cells.withColumn("count", _noisy(cells, "count", cols, scale, seed))
     else:
-        noisy = sparse.noisy_cells(contingency(df, cols), df, sizes, "count", scale, max_cells, seed)
+        noisy = sparse.noisy_cells(own.seen, own.values, own.sizes, "count", scale, max_cells, seed)
     return noisy.withColumn("count", F.ceil("count").cast("long"))
 
 
-def _too_many(df: DataFrame, cols: list[str], max_cells: int) -> dict[str, int] | None:
-    """The cardinalities of cols if their domain has more than max_cells, else None."""
-    if len(cols) == 1:
-        return None
-    sizes = cardinalities(df, cols)
-    return sizes if math.prod(sizes.values()) > max_cells else None
-
-
 def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str | None = None, max_cells: int = MAX_CELLS, mechanism: str = "joint", n: int | None = None) -> DataFrame:
     """cols, p: shares with Laplace(2 / (n * epsilon)), clamped and normalised; with one column a marginal.
 
@@ -81,12 +107,13 @@ def dp_joint(df: DataFrame, cols: str | list[str], epsilon: float, seed: str | N
     """
     check_epsilon(epsilon)
     cols = ensure_list(cols)
-    n = df.count() if n is None else n
-    if (sizes := _too_many(df, cols, max_cells)) is None:
-        return noisy_shares(dense(df, cols, max_cells), cols, epsilon, seed, mechanism, n)
+    own = Observed.of(df, cols)
+    n = own.n if n is None else n
+    if len(cols) == 1 or own.cells <= max_cells:
+        return noisy_shares(own.dense(), cols, epsilon, seed, mechanism, n)
     seed, scale = noise_seed(fresh(seed), mechanism, cols, epsilon), 2 / (n * epsilon) if n else 0.0
-    seen = contingency(df, cols).withColumn("count", F.col("count") / max(n, 1))
-    noisy = sparse.noisy_cells(seen, df, sizes, "count", scale, max_cells, seed)
+    seen = own.seen.withColumn("count", F.col("count") / max(n, 1))
+    noisy = sparse.noisy_cells(seen, own.values, own.sizes, "count", scale, max_cells, seed)
     return shares(noisy.withColumnRenamed("count", "v"), "v").select(*[F.col(f"`{c}`") for c in cols], "p")
 
 
@@ -105,8 +132,10 @@ def dp_conditional(df: DataFrame, child: str, parents: list[str], epsilon: float
     bounded where a network is learnt.
     """
     check_epsilon(epsilon)
-    n = df.count() if n is None else n
-    return noisy_conditional(dense(df, [*parents, child], max_cells), child, parents, epsilon, seed, n)
+    own = Observed.of(df, [*parents, child])
+    if parents and own.cells > max_cells:
+        raise ValueError(f"the domain of {[*parents, child]} has {own.cells} cells; at most {max_cells} are allowed")
+    return noisy_conditional(own.dense(), child, parents, epsilon, seed, own.n if n is None else n)
 
 
 def noisy_conditional(cells: DataFrame, child: str, parents: list[str], epsilon: float, seed: str | None, n: int) -> DataFrame:

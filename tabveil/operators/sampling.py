@@ -45,12 +45,13 @@ def _pick(slots: str, u: Column) -> Column:
     return F.when(x - F.floor(x) < slot["left"], slot["v"]).otherwise(slot["other"])
 
 
-def draw(rows: DataFrame, dist: DataFrame, values: list[str], seed: str, row_key: str, by: list[str] | None = None) -> DataFrame:
+def draw(rows: DataFrame, dist: DataFrame, values: list[str], seed: str, row_key: str, by: list[str] | None = None, n_cells: int | None = None) -> DataFrame:
     """rows with values drawn from dist(by, values, p) given the columns by, by uniform numbers keyed by row_key.
 
     A row whose by columns have no distribution is an error, whether or not the drawn columns are read. Each combination
     of by has an alias table, one row that is joined on it; one of more than SLOTS values has several, dealt by a
-    hash of the value, so that none grows with the number of values, and a table over these.
+    hash of the value, so that none grows with the number of values, and a table over these. n_cells is the number of
+    rows of dist, if it is known.
     """
     by = by or []
     keys = _named(by)
@@ -59,7 +60,7 @@ def draw(rows: DataFrame, dist: DataFrame, values: list[str], seed: str, row_key
     drawn = rows.withColumn("__u", uniform(f"{seed}|{','.join(values)}", row_key))
     sized = cells.crossJoin(F.broadcast(sizes)) if not by else cells.alias("c").join(sizes.alias("z"), same([F.col(f"c.{k}") for k in keys], [F.col(f"z.{k}") for k in keys])).select("c.*", "z.n")
     parts = _aliases(sized.withColumn("__block", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / SLOTS))), [*keys, "__block"])
-    if sizes.where(F.col("n") > SLOTS).isEmpty():
+    if n_cells is not None and n_cells <= SLOTS or sizes.where(F.col("n") > SLOTS).isEmpty():
         found = _joined(drawn, parts, by, keys, values)
     else:
         over = _aliases(parts.select(*keys, F.struct("__block").alias("v"), F.col("mass").alias("p")), keys)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import laplace, uniform
-from .distributions import clean, same
+from .distributions import same
 
 #: Drawn cells of a block, about, and values of a column that are numbered together.
 BLOCK, BUCKET = 20_000, 10_000
@@ -65,8 +65,9 @@ def _numbered(values: DataFrame, column: str, size: int) -> DataFrame:
     return dealt.join(F.broadcast(sizes.select("__bucket", before.alias("before"))), "__bucket").select(column, (F.col("__in") + F.col("before")).alias("code"))
 
 
-def unseen_cells(df: DataFrame, sizes: dict[str, int], chance: float, seed: str) -> DataFrame:
-    """The columns of sizes: cells of the domain of df's values, each there with the chance, whether observed or not.
+def unseen_cells(values: dict[str, DataFrame], sizes: dict[str, int], chance: float, seed: str) -> DataFrame:
+    """The columns of values: cells of their domain, each there with the chance, whether observed or not. values has the
+    distinct values of each column, a table each, and sizes their numbers.
 
     The domain is cut into blocks of consecutive cells; how many of a block's cells are there is drawn from the binomial law,
     and as many distinct ones by index. An index stands for one value of each column. So the work grows with the
@@ -74,16 +75,16 @@ def unseen_cells(df: DataFrame, sizes: dict[str, int], chance: float, seed: str)
     """
     cells = math.prod(sizes.values())
     blocks = max(1, math.ceil(cells * chance / BLOCK))
-    spark, names = df.sparkSession, [*sizes]
+    spark, names = next(iter(values.values())).sparkSession, [*sizes]
     schema = ", ".join(f"code{i} long" for i in range(len(names)))
     out = spark.range(blocks, numPartitions=min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_drawn(seed, cells, blocks, chance, [*sizes.values()]), schema)
     for i, c in enumerate(names):
-        values = _numbered(clean(df.select(F.col(f"`{c}`").alias("value"))).distinct(), "value", sizes[c])
-        out = out.join(values.select(F.col("value").alias(f"value{i}"), F.col("code").alias(f"code{i}")), f"code{i}")
+        coded = _numbered(values[c].select(F.col(f"`{c}`").alias("value")), "value", sizes[c])
+        out = out.join(coded.select(F.col("value").alias(f"value{i}"), F.col("code").alias(f"code{i}")), f"code{i}")
     return out.select(*[F.col(f"value{i}").alias(c) for i, c in enumerate(names)])
 
 
-def noisy_cells(seen: DataFrame, df: DataFrame, sizes: dict[str, int], value: str, scale: float, most: int, seed: str) -> DataFrame:
+def noisy_cells(seen: DataFrame, values: dict[str, DataFrame], sizes: dict[str, int], value: str, scale: float, most: int, seed: str) -> DataFrame:
     """The columns of sizes, value: seen(columns, value) with Laplace noise, and unobserved cells whose noise passes.
 
     Every cell of the domain is treated alike: it gets noise of the scale and is kept if it exceeds the threshold that lets
@@ -98,7 +99,7 @@ def noisy_cells(seen: DataFrame, df: DataFrame, sizes: dict[str, int], value: st
     least, chance = threshold(math.prod(sizes.values()), scale, most)
     noise = laplace(uniform(seed, *[F.col(f"`{c}`") for c in sizes]), scale)
     kept = seen.select(*cols, (F.col(value) + noise).alias(value)).where(F.col(value) > least)
-    more = unseen_cells(df, sizes, chance, seed).alias("d")
+    more = unseen_cells(values, sizes, chance, seed).alias("d")
     more = more.join(seen.alias("s"), same([F.col(f"d.`{c}`") for c in sizes], [F.col(f"s.`{c}`") for c in sizes]), "left_anti")
     beyond = least - F.lit(float(scale)) * F.ln(uniform(f"{seed}|unseen", *[F.col(f"`{c}`") for c in sizes]))
     return kept.unionByName(more.select(*[F.col(f"d.`{c}`").alias(c) for c in sizes]).withColumn(value, beyond))

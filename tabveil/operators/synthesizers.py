@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..sources import tables
 from . import privacy, scores
 from .distributions import MAX_CELLS, NotFittedError, cardinalities, clean, filled, grouped_counts, shares
-from .metrics import js_marginal
+from .metrics import js_many, js_marginal
 from .sampling import draw
 
 log = logging.getLogger(__name__)
@@ -33,7 +33,7 @@ class Synthesizer:
     """fit, sample, score, save and load. tables_ holds the learned distributions, one DataFrame each.
 
     fit writes the distributions to the shared folder, so a fitted model needs its source no more and doesn't follow its
-    changes. Without a seed each fit draws noise of its own; a given one makes fits repeatable, and must stay secret.
+    changes. weight names a column of counts, if a row stands for several. Without a seed each fit draws noise of its own; a given one makes fits repeatable, and must stay secret.
     """
 
     def __init__(self, epsilon: float = 1.0, seed: str | None = None, max_cells: int = MAX_CELLS) -> None:
@@ -42,24 +42,27 @@ class Synthesizer:
         self.seed = seed  # never saved
         self.tables_: dict[str, DataFrame] | None = None
 
-    def _capture(self, df: DataFrame) -> DataFrame:
-        self.schema_, self.release_ = df.schema, privacy.fresh(self.seed)
+    def _capture(self, df: DataFrame, weight: str | None = None) -> DataFrame:
+        self.schema_, self.release_ = T.StructType([f for f in df.schema if f.name != weight]), privacy.fresh(self.seed)
         self.ledger_ = privacy.Ledger(self.epsilon)
         return clean(df)
 
-    def _counted(self, df: DataFrame, sets: list[tuple[str, ...]], weight: str | None = None) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-        """(values of each column, cells of each set): one aggregate, written once; n_ follows from the counts."""
+    def _counted(self, df: DataFrame, sets: list[tuple[str, ...]], weight: str | None = None) -> tuple[dict[str, DataFrame], list[DataFrame], dict[str, int]]:
+        """(values of each column, cells of each set, distinct values): one aggregate, written once; n_ follows from it."""
         every = [(c,) for c in self.schema_.names] + sets
         counts = tables.keep(grouped_counts(df, every, weight), "__set")
         cut = [counts.where(F.col("__set") == k).select(*[F.col(f"`{c}`") for c in s], "count") for k, s in enumerate(every)]
-        self.n_ = cut[0].agg(F.sum("count")).first()[0] or 0
+        found = {r["__set"]: r for r in counts.groupBy("__set").agg(F.count("*").alias("k"), F.sum("count").alias("n")).collect()}  # a row a set
+        self.n_ = found[0].n if found else 0
         d = len(self.schema_)
-        return dict(zip(self.schema_.names, cut[:d], strict=True)), cut[d:]
+        return dict(zip(self.schema_.names, cut[:d], strict=True)), cut[d:], {c: found[k].k if found else 0 for k, c in enumerate(self.schema_.names)}
 
     def _keep(self, found: dict[str, DataFrame]) -> None:
         """Writes the tables in one job, and reads them from there on."""
         wide = [t.select(F.lit(k).alias("__set"), F.col("p"), *[F.col(f"`{c}`") for c in t.columns if c != "p"]) for k, t in enumerate(found.values())]
         kept = tables.keep(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide), "__set")
+        sizes = dict(kept.groupBy("__set").count().collect())  # a row a table
+        self.cells_ = {name: sizes.get(k, 0) for k, name in enumerate(found)}
         self.tables_ = {name: kept.where(F.col("__set") == k).select(*[F.col(f"`{c}`") for c in t.columns]) for k, (name, t) in enumerate(found.items())}
 
     def _check_fitted(self) -> None:
@@ -107,7 +110,7 @@ class Synthesizer:
         model = kind(epsilon=float(kept["epsilon"]), seed=seed, max_cells=kept["max_cells"])
         model.schema_, model.n_ = T.StructType.fromJson(state["schema"]), state["n"]
         model.tables_ = {name: spark.read.parquet(f"{path}/table-{k}") for k, name in enumerate(state["tables"])}
-        model.release_ = privacy.fresh(seed)
+        model.release_, model.cells_ = privacy.fresh(seed), {}
         model._load_state(kept)
         return model
 
@@ -118,8 +121,8 @@ class Synthesizer:
 class MarginalSynthesizer(Synthesizer):
     """Independent noisy marginals, epsilon / d each; all are counted in one pass."""
 
-    def fit(self, df: DataFrame) -> MarginalSynthesizer:
-        values, _ = self._counted(self._capture(df), [])
+    def fit(self, df: DataFrame, weight: str | None = None) -> MarginalSynthesizer:
+        values, _, _ = self._counted(self._capture(df, weight), [], weight)
         share = self.epsilon / len(values)
         self._keep({c: privacy.noisy_shares(cells, [c], self.ledger_.spend(f"marginal {c}", share), self.release_, "joint", self.n_) for c, cells in values.items()})
         return self
@@ -127,15 +130,15 @@ class MarginalSynthesizer(Synthesizer):
     def sample(self, n: int | None = None) -> DataFrame:
         rows = self._rows(n)
         for c, table in self.tables_.items():
-            rows = draw(rows, table, [c], self.release_, "__rid")
+            rows = draw(rows, table, [c], self.release_, "__rid", n_cells=self.cells_.get(c))
         return self._restore(rows)
 
 
 class UniformSynthesizer(MarginalSynthesizer):
     """Each observed value alike; spends nothing, but shows which values there are."""
 
-    def fit(self, df: DataFrame) -> UniformSynthesizer:
-        values, _ = self._counted(self._capture(df), [])
+    def fit(self, df: DataFrame, weight: str | None = None) -> UniformSynthesizer:
+        values, _, _ = self._counted(self._capture(df, weight), [], weight)
         self._keep({c: shares(cells.select(F.col(f"`{c}`"), F.lit(0).alias("zero")), "zero").select(F.col(f"`{c}`"), "p") for c, cells in values.items()})
         return self
 
@@ -143,17 +146,18 @@ class UniformSynthesizer(MarginalSynthesizer):
 class ContingencySynthesizer(Synthesizer):
     """One noisy table over the whole domain; one of more than max_cells is not built, see sparse.noisy_cells."""
 
-    def fit(self, df: DataFrame) -> ContingencySynthesizer:
-        df = self._capture(df)
-        self.n_ = df.count()
-        table = tables.keep(privacy.dp_contingency(df, df.columns, self.ledger_.spend("contingency", self.epsilon), self.release_, self.max_cells))
-        total = table.agg(F.sum("count")).first()[0] or 0
+    def fit(self, df: DataFrame, weight: str | None = None) -> ContingencySynthesizer:
+        df = self._capture(df, weight)
+        self.n_ = df.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+        table = tables.keep(privacy.dp_contingency(df, self.schema_.names, self.ledger_.spend("contingency", self.epsilon), self.release_, self.max_cells, weight))
+        total, cells = table.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+        self.cells_ = {"contingency": cells}
         log.info("contingency table over %s", df.columns)
         self.tables_ = {"contingency": table.withColumn("p", F.col("count") / max(total, 1))}
         return self
 
     def sample(self, n: int | None = None) -> DataFrame:
-        rows = draw(self._rows(n), self.tables_["contingency"], [f.name for f in self.schema_], self.release_, "__rid")
+        rows = draw(self._rows(n), self.tables_["contingency"], [f.name for f in self.schema_], self.release_, "__rid", n_cells=self.cells_.get("contingency"))
         return self._restore(rows)
 
 
@@ -193,23 +197,23 @@ class BayesNet(Synthesizer):
     def _limit(self, d: int, child: int) -> float:
         return scores.max_domain_size(self.n_, self.epsilon, self.split, d, self.theta, child)
 
-    def fit(self, df: DataFrame) -> BayesNet:
+    def fit(self, df: DataFrame, weight: str | None = None) -> BayesNet:
         """The source is read once: for a given network by the counts of all its tables, or else for its distinct rows, from
         which scores and counts are taken."""
-        df = self._capture(df)
-        columns = df.columns
+        df = self._capture(df, weight)
+        columns = self.schema_.names
         network = [*(self.network_init or [])]
         if unknown := {p.attribute for p in network} - set(columns):
             raise ValueError(f"the network names unknown columns: {sorted(unknown)}")
         to_learn = len(columns) - max(1, len(network))
-        source, weight = (df, None) if len(network) == len(columns) else (tables.keep(scores.collapsed(df)), "count")
         epsilon = self._noise_epsilon()
-        if weight:
-            network = self._learned(source, network, epsilon * self.split / max(1, to_learn))
+        if len(network) < len(columns):
+            if weight is None:
+                df, weight = tables.keep(scores.collapsed(df)), "count"
+            network = self._learned(df.withColumnRenamed(weight, "count"), network, epsilon * self.split / max(1, to_learn))
         self.network_ = network
         share = (1 - self.split if to_learn else 1) * epsilon / len(columns)
-        values, cells = self._counted(source, [(*p.parents, p.attribute) for p in network], weight)
-        sizes = {r["__set"]: r.n for r in self._sizes(values)}
+        values, cells, sizes = self._counted(df, [(*p.parents, p.attribute) for p in network], weight)
         found = {}
         for pair, seen in zip(network, cells, strict=True):
             if not math.isinf(share):
@@ -224,11 +228,6 @@ class BayesNet(Synthesizer):
         self._keep(found)
         return self
 
-    def _sizes(self, values: dict[str, DataFrame]) -> list:
-        """A row for each column: its name as __set, and n distinct values, NULL one of them."""
-        every = [v.agg(F.lit(c).alias("__set"), F.count("*").alias("n")) for c, v in values.items()]
-        return reduce(DataFrame.unionByName, every).collect()
-
     def _learned(self, base: DataFrame, network: list[Pair], epsilon: float) -> list[Pair]:
         """The network, completed greedily; each candidate set is scored once, when its last parent has come."""
         columns = self.schema_.names
@@ -259,7 +258,7 @@ class BayesNet(Synthesizer):
         """One join a column, in the network's order; no loop over rows."""
         for pair in self.network_:
             if pair.attribute not in given:
-                rows = draw(rows, self.tables_[pair.attribute], [pair.attribute], self.release_, "__rid", [*pair.parents])
+                rows = draw(rows, self.tables_[pair.attribute], [pair.attribute], self.release_, "__rid", [*pair.parents], self.cells_.get(pair.attribute))
         return rows
 
     def sample_remaining(self, fixed: DataFrame, key: str) -> DataFrame:
@@ -305,14 +304,21 @@ def root_order(seed: str, name: str) -> str:
 
 
 def experiment(df: DataFrame, models: dict[str, type[Synthesizer]], epsilons: tuple[float, ...] = (0.01, 0.1, 1.0), n: int | None = None, seed: str | None = None, path: str | None = None) -> DataFrame:
-    """synthesizer, epsilon, score of the whole grid; with a path, each artificial table is written under it."""
-    found = []
-    for name, kind in models.items():
-        for epsilon in epsilons:
-            model = kind(epsilon=epsilon, seed=seed).fit(df)
-            sample = model.sample(n)
-            if path:
-                sample.write.mode("overwrite").parquet(f"{path}/synthesizer={name}/epsilon={epsilon}")
-            found.append((name, float(epsilon), float(model.score(df, sample))))
-    return df.sparkSession.createDataFrame(found, "synthesizer string, epsilon double, score double")
+    """synthesizer, epsilon, score of the whole grid; with a path, each artificial table is written under it.
 
+    The source is read once, for its distinct rows and their counts: all models are fitted to these. The score, the mean
+    Jensen-Shannon distance of the columns, comes from one aggregate over the samples of the whole grid.
+    """
+    base, columns = tables.keep(scores.collapsed(df)), df.columns
+    samples, grid = [], [(name, float(e), kind) for name, kind in models.items() for e in epsilons]
+    for k, (name, epsilon, kind) in enumerate(grid):
+        sample = kind(epsilon=epsilon, seed=seed).fit(base, "count").sample(n)
+        if path:
+            folder = f"{path}/synthesizer={name}/epsilon={epsilon}"
+            sample.write.mode("overwrite").parquet(folder)
+            sample = df.sparkSession.read.schema(sample.schema).parquet(folder)
+        samples.append(sample.select(F.lit(k).alias("__at"), F.lit(1).cast("long").alias("count"), *[F.col(f"`{c}`") for c in columns]))
+    every = reduce(DataFrame.unionAll, [base.select(F.lit(-1).alias("__at"), "count", *[F.col(f"`{c}`") for c in columns]), *samples])
+    found = js_many(every, "__at", "count", len(grid))
+    named = df.sparkSession.createDataFrame([(k, name, e) for k, (name, e, _) in enumerate(grid)], "__at int, synthesizer string, epsilon double")
+    return named.join(found, "__at").select("synthesizer", "epsilon", "score")

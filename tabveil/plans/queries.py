@@ -784,9 +784,28 @@ def model_save_load(spark, d):
     return syn.Synthesizer.load(spark, path, SEED).sample()
 
 
-@query()
+_GRID = (0.01, 0.1, 1.0)
+
+
+def _grid_sql(model: str, epsilon: float) -> str:
+    """The row of experiment_grid of a model and an epsilon."""
+    if model == "marginal":
+        parts = ", ".join(_alias_sql(n, _noisy_sql("lineitem", (c,), epsilon / 2), (c,)) for n, c in zip("fs", FLAGS, strict=True))
+        drawn = f"WITH {_IDS}, {parts}, one AS ({_drawn_sql('r.*', 'ids', 'f', FLAGS[:1])}), two AS ({_drawn_sql('r.*', 'one', 's', FLAGS[1:])}) SELECT * FROM two"
+    else:
+        noise = laplace_sql(uniform_sql(privacy.noise_seed(SEED, "contingency", [*FLAGS], epsilon), *FLAGS), 1 / epsilon)
+        cells = f"WITH {_dp_joint_sql('lineitem', FLAGS, epsilon)} SELECT l_returnflag, l_linestatus, ceil(greatest(0::double, count + {noise}))::bigint AS p FROM cells"
+        drawn = f"WITH {_IDS}, {_alias_sql('f', cells, FLAGS)} {_drawn_sql('r.*', 'ids', 'f', FLAGS)}"
+    counts = " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::varchar AS v, count(*) FILTER (o) AS c1, count(*) FILTER (NOT o) AS c2 FROM both_ GROUP BY {c}" for c in FLAGS)
+    return f"""SELECT '{model}' AS synthesizer, {epsilon}::double AS epsilon, round(avg(distance), 6) AS score FROM (
+  WITH both_ AS (SELECT l_returnflag, l_linestatus, true AS o FROM lineitem UNION ALL SELECT l_returnflag, l_linestatus, false FROM ({drawn})),
+  c AS ({counts}), s AS (SELECT name, c1 / sum(c1) OVER w AS p, c2 / sum(c2) OVER w AS q FROM c WINDOW w AS (PARTITION BY name))
+  SELECT name, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2)) AS distance FROM s GROUP BY 1)"""
+
+
+@query(" UNION ALL ".join(_grid_sql(m, e) for m in ("marginal", "contingency") for e in _GRID))
 def experiment_grid(spark, d):
-    return syn.experiment(_flags(spark, d), {"marginal": syn.MarginalSynthesizer, "contingency": syn.ContingencySynthesizer}, seed=SEED)
+    return r6(syn.experiment(_flags(spark, d), {"marginal": syn.MarginalSynthesizer, "contingency": syn.ContingencySynthesizer}, _GRID, seed=SEED), "score")
 
 
 @query("SELECT feature, \"table\", importance::double AS importance FROM (VALUES ('a', 'original', 3.0), ('a', 'artificial', 1.0), ('c', 'original', 0.0), ('c', 'artificial', 2.0), ('b', 'original', -2.0), ('b', 'artificial', 0.0)) v(feature, \"table\", importance)")
@@ -824,29 +843,30 @@ def grouped_counts(spark, d):
     return dist.grouped_counts(read(spark, d, "lineitem"), _LINE_SETS).select(F.col("__set").alias("set"), *COLS, "count")
 
 
-_LARGE = f"seen AS (SELECT {', '.join(_PARTS4)}, count(*) AS c FROM part GROUP BY {', '.join(_PARTS4)}), size AS (SELECT {' * '.join(f'count(DISTINCT {c})::double' for c in _PARTS4)} AS cells FROM part)"
-_LARGE_NOISE = laplace_sql(uniform_sql(privacy.noise_seed(SEED, "contingency", [*_PARTS4], 0.5), *_PARTS4), 2.0)
-
-
-@query(f"WITH {_LARGE} SELECT {', '.join(_PARTS4)}, c AS count FROM seen")
+@query(f"SELECT {', '.join(_PARTS4)}, count(*) AS count FROM part GROUP BY {', '.join(_PARTS4)}")
 def contingency_large_domain(spark, d):
-    """Without noise the sparse form is the table of what was observed."""
+    """Without noise the sparse form is the table of what was observed, however many cells the domain has."""
     return privacy.dp_contingency(read(spark, d, "part"), [*_PARTS4], math.inf, SEED, max_cells=1000)
 
 
+_LINE4 = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+_LINE_NOISE = laplace_sql(uniform_sql(privacy.noise_seed(SEED, "contingency", [*_LINE4], 0.5), *_LINE4), 2.0)
+
+
 @query()
 def dp_contingency_large_domain(spark, d):
-    return privacy.dp_contingency(read(spark, d, "part"), [*_PARTS4], 0.5, SEED, max_cells=1000)
+    return privacy.dp_contingency(read(spark, d, "lineitem"), [*_LINE4], 0.5, SEED, max_cells=500)
 
 
 @query(
-    f"""WITH {_LARGE}, n AS (SELECT {', '.join(_PARTS4)}, c + {_LARGE_NOISE} AS v FROM seen), t AS (SELECT greatest(0, -2 * ln(2 * least(0.5, 1000 / cells))) AS least FROM size)
-SELECT {', '.join(_PARTS4)}, ceil(v)::bigint AS count FROM n, t WHERE v > least"""
+    f"""WITH seen AS (SELECT {', '.join(_LINE4)}, count(*) AS c FROM lineitem GROUP BY {', '.join(_LINE4)}), size AS (SELECT {' * '.join(f'count(DISTINCT {c})::double' for c in _LINE4)} AS cells FROM lineitem),
+n AS (SELECT {', '.join(_LINE4)}, c + {_LINE_NOISE} AS v FROM seen), t AS (SELECT greatest(0, -2 * ln(2 * least(0.5, 500 / cells))) AS least FROM size)
+SELECT {', '.join(_LINE4)}, ceil(v)::bigint AS count FROM n, t WHERE v > least"""
 )
 def dp_contingency_large_domain_observed(spark, d):
     """The observed cells of dp_contingency_large_domain, whose noise is keyed by the cell."""
-    part = read(spark, d, "part")
-    return dp_contingency_large_domain(spark, d).join(part.select(*_PARTS4).distinct(), [*_PARTS4], "left_semi")
+    lines = read(spark, d, "lineitem")
+    return dp_contingency_large_domain(spark, d).join(lines.select(*_LINE4).distinct(), [*_LINE4], "left_semi")
 
 
 _SCORED = [("n_name", ("r_name",)), ("c_mktsegment", ("r_name",)), ("c_mktsegment", ("n_name", "r_name"))]

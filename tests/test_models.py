@@ -182,14 +182,42 @@ def test_drawn_cells_agree_in_law_with_dense_ones(spark):
     df = spark.createDataFrame([(i % 30, i * i % 20) for i in range(600)], "a int, b int")
     sizes = dist.cardinalities(df)
     cells = math.prod(sizes.values())
-    seen = dist.contingency(df, ["a", "b"])
+    seen, values = dist.contingency(df, ["a", "b"]), {c: df.select(c).distinct() for c in ("a", "b")}
     dense, drawn = [], []
     for k in range(6):
         dense += [max(0, r["count"]) for r in privacy.dp_contingency(df, ["a", "b"], 0.5, f"d{k}").collect()]
-        rows = sparse.noisy_cells(seen, df, sizes, "count", 2.0, cells, f"d{k}").collect()
+        rows = sparse.noisy_cells(seen, values, sizes, "count", 2.0, cells, f"d{k}").collect()
         assert len({(r.a, r.b) for r in rows}) == len(rows)
         drawn += [math.ceil(r["count"]) for r in rows] + [0] * (cells - len(rows))
     assert len(dense) == len(drawn) == 6 * cells
     for test in (lambda v: v > 0, lambda v: v > 2, lambda v: v > 5, lambda v: v):
         a, b = (np.array([test(v) for v in x], float) for x in (dense, drawn))
         assert abs(a.mean() - b.mean()) < 5 * math.sqrt((a.var() + b.var()) / len(a))
+
+
+def test_an_experiment_reads_its_source_once(spark, tmp_path, monkeypatch):
+    df = people(spark, str(tmp_path / "t"))
+    read = Counter()
+    own = scores.collapsed
+    monkeypatch.setattr(scores, "collapsed", lambda x: (read.update(["source"]), own(x))[1])
+    kinds = {"marginal": syn.MarginalSynthesizer, "uniform": syn.UniformSynthesizer, "contingency": syn.ContingencySynthesizer}
+    found = syn.experiment(df, kinds, (0.5, 5.0), seed="s", path=str(tmp_path / "out"))
+    for f in (tmp_path / "t").iterdir():
+        f.unlink()
+    got = {(r.synthesizer, r.epsilon): r.score for r in found.collect()}
+    assert read == {"source": 1} and len(got) == 6
+    again = people(spark, str(tmp_path / "t2"))
+    for (name, epsilon), score in got.items():
+        sample = spark.read.parquet(str(tmp_path / "out" / f"synthesizer={name}" / f"epsilon={epsilon}"))
+        assert sample.count() == 400
+        assert abs(kinds[name](epsilon, seed="s").fit(again).score(again, sample) - score) < 1e-12
+
+
+def test_weights_stand_for_rows(spark, tmp_path):
+    df = people(spark, str(tmp_path / "t"))
+    for kind, made in MODELS.items():
+        one, two = made(seed="s").fit(df), made(seed="s").fit(scores.collapsed(df), "count")
+        assert one.n_ == two.n_ == 400 and one.schema_ == two.schema_, kind
+        for name in one.tables_:
+            near = lambda t: sorted(([*map(str, r[:-1])], round(r[-1], 9)) for r in t.collect())
+            assert near(one.tables_[name]) == near(two.tables_[name]), kind
