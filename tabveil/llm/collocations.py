@@ -9,6 +9,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._shared import _LOWER_LUT, POWERS, in_batches, mix64, prefix_hashes, room, scratch
@@ -116,7 +117,7 @@ def _packed(cells: np.ndarray):
     for high in ends.tolist():
         inner = (cells[low:high] & ((1 << RANGE_BITS) - 1)).astype(np.uint32)
         gaps = np.diff(inner, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-        yield int(ranges[low]), gaps.T.tobytes(), counts[low:high].tobytes()
+        yield int(ranges[low]), zstandard.compress(gaps.T.tobytes()), zstandard.compress(counts[low:high].tobytes())
         low = high
 
 
@@ -151,9 +152,9 @@ def _heavy(fold: int):
     def run(table: pa.Table) -> pa.Table:
         sums = np.zeros(1 << RANGE_BITS, np.uint8)
         for gaps, counts in zip(table.column("cells"), table.column("counts"), strict=True):
-            planes = np.frombuffer(gaps.as_py(), np.uint8).reshape(3, -1).astype(np.int64)
+            planes = np.frombuffer(zstandard.decompress(gaps.as_py()), np.uint8).reshape(3, -1).astype(np.int64)
             at = np.cumsum(planes[0] | planes[1] << 8 | planes[2] << 16)
-            sums[at] = np.minimum(sums[at] + np.frombuffer(counts.as_py(), np.uint8), LEAST)
+            sums[at] = np.minimum(sums[at] + np.frombuffer(zstandard.decompress(counts.as_py()), np.uint8), LEAST)
         bits = (sums >= LEAST).reshape(-1, 1 << fold).any(axis=1)
         return pa.table({"range": table.column("range")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
@@ -235,7 +236,7 @@ class Tally:
             dealt = [[] for _ in range(ranges)]
             for phrase in sorted(own):
                 dealt[crc32(phrase) % ranges].append(phrase)
-            rows += [(lang, r, b"\n".join(part), np.array([own[p] for p in part], np.uint32).tobytes()) for r, part in enumerate(dealt) if part]
+            rows += [(lang, r, zstandard.compress(b"\n".join(part)), zstandard.compress(np.array([own[p] for p in part], np.uint32).tobytes())) for r, part in enumerate(dealt) if part]
         types = (pa.string(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["lang", "range", "phrases", "counts"])
 
@@ -264,7 +265,7 @@ def _summed(table: pa.Table) -> pa.Table:
     """The phrases of a range and language that reach LEAST; with k = 0 the language's words, under the empty phrase."""
     sums: dict[bytes, int] = {}
     for phrases, counts in zip(table.column("phrases"), table.column("counts"), strict=True):
-        for phrase, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_py(), np.uint32).tolist(), strict=True):
+        for phrase, n in zip(zstandard.decompress(phrases.as_py()).split(b"\n"), np.frombuffer(zstandard.decompress(counts.as_py()), np.uint32).tolist(), strict=True):
             sums[phrase] = sums.get(phrase, 0) + n
     kept = [p for p, n in sums.items() if n >= LEAST or not p]
     lang = pa.array([table.column("lang")[0].as_py()] * len(kept), pa.string())
