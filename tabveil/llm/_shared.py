@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -64,17 +66,38 @@ def room(spark: SparkSession) -> Iterator[str]:
         _delete(spark, folder)
 
 
+def _give_back() -> None:
+    """Returns what a task took to the system: Python workers live on, and what one keeps adds to the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
+def _tidy(run):
+    """run, and afterwards its memory given back."""
+
+    def tidied(rows):
+        try:
+            yield from run(rows)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most, set for the session.
 
-    Texts of any length come in batches that fit a worker; a text longer than that is a batch of its own.
+    Texts of any length come in batches that fit a worker; a text longer than that is a batch of its own. A task that ends
+    gives its memory back.
     """
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = conf.get(f"spark.sql.execution.arrow.{key}", None)
         if now is None or not 0 < int(re.match(r"-?\d+", now)[0]) <= most:
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidy(run), schema)
 
 
 def words_of(text: str | None) -> list[bytes]:
