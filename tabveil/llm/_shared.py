@@ -19,7 +19,7 @@ SHINGLE = 5
 #: Bytes of text that one numpy pass takes at most, unless a single text is longer.
 PASS_BYTES = 1 << 18
 #: Rows and bytes of a batch that a Python task gets at a time.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER_LUT = np.frombuffer(_LOWER, dtype=np.uint8)

@@ -193,7 +193,7 @@ class Encoder:
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
 
-    def encode(self, texts: list[str | None], pass_chars: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str | None], pass_chars: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts end to end, number of ids of each), in the texts' order."""
         run: list[list[str]] = []
         size = 0
