@@ -18,8 +18,8 @@ from .components import connected_components
 
 #: Balls that share a token at most before their pairs must also share a rare shingle.
 HOT = 8
-#: Pivots that a node is measured against in the spread pass.
-PIVOTS = 4
+#: Pivots that a node is measured against in a turn of the spread pass, and turns.
+PIVOTS, TURNS = 4, 3
 #: Of the shingles before it in its prefix, a posted one carries this many, the last.
 PRIOR = 16
 #: 64-bit words of a set's map: each of its shingles flips one bit.
@@ -112,6 +112,14 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     return both.select(F.col("x.ball").alias("a"), F.col("y.ball").alias("b"))
 
 
+def _balls(known: DataFrame) -> DataFrame:
+    """(node, ball, dist) of links (a, b, dist): the neighbour of the most links, for nodes that have fewer or as many and a smaller number."""
+    both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    rows = both.join(degree, "a").join(degree.toDF("b", "m"), "b").where("m > n or m = n and b > a")
+    return rows.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("m", "b", "dist")).alias("top")).select("node", F.col("top.b").alias("ball"), F.col("top.dist").alias("dist"))
+
+
 def linked_components(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: int, given: DataFrame | None = None) -> DataFrame:
     """(node, component) of all nodes that have a link of 0.75 Jaccard similarity or more.
 
@@ -120,10 +128,13 @@ def linked_components(signatures: DataFrame, texts: Callable[[DataFrame], DataFr
     shuffle of their tokens. given(a, b) are links besides those that are found.
 
     1. Star pass: each node is measured against one pivot, the smallest node that shares its most frequent
-       token. Nodes linked to a pivot form its ball. A group of n near copies costs n pairs, not n * n.
-    2. Spread pass: each node is measured against the pivots, chosen by a hash, of its PIVOTS most crowded tokens
-       whose pivots are in other balls. So most copies that are too far from the first pivot join their group, at a
-       number of pairs in proportion to the nodes.
+       token. A group of n near copies costs n pairs, not n * n.
+    2. Spread pass, in TURNS turns: each node is measured against the pivots of PIVOTS of its tokens (the most
+       crowded, in later turns any) whose pivots are in other components by then. Each token and turn chooses its
+       pivot by a hash of its own, so large parts of one group are merged by some pair of them, and most copies
+       that are too far from the first pivot join their group, at a number of pairs in proportion to the nodes. Of
+       the nodes that it was found linked to, each then joins the ball of the one with the most links, unless it has
+       more itself.
     3. Inverted join over balls: a ball posts the tokens of all its members once. Tokens that one component
        alone holds drop out, so those of groups of copies do. The others are ordered from the rarest on; of s
        tokens only the first s - threshold + 1 are posted, as any two balls that share threshold tokens share
@@ -131,7 +142,8 @@ def linked_components(signatures: DataFrame, texts: Callable[[DataFrame], DataFr
        as with a common passage, they are paired by their rarest shingles instead, which loses no link.
     4. Pairs of balls in which members may still be linked by the triangle inequality (Jaccard distance
        is a metric; all distances used are exact) are opened up and their members paired by their rarest
-       shingles, unless they are in one component by then.
+       shingles, unless they are in one component by then. Of these only the pairs are measured whose own distances
+       to their centres leave a link possible.
     """
     with room(signatures.sparkSession) as folder:
         return _linked(signatures, texts, threshold, given, folder)
@@ -150,19 +162,28 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
     pivots = hottest.groupBy("token").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     star = hottest.join(pivots, "token").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     star = scratch(measure(_matching(star, signatures, threshold), texts).where("linked"), "star", folder)
-    balls = star.select(F.col("a").alias("node"), F.col("b").alias("ball"), "dist")
-
-    held = scratch(shared.select("node", "token").join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held", folder)
-    low = F.min(F.struct(F.xxhash64("node"), "node", "ball"))
-    ends = held.groupBy("token").agg(low.alias("p"), F.min("ball").alias("first"), F.max("ball").alias("last"), F.count("*").alias("n")).where((F.col("first") != F.col("last")) & (F.col("n") > HOT))
-    ends = ends.select("token", F.col("p.node").alias("pivot"), F.col("p.ball").alias("other"), "n")
-    crowd = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "token"))
-    spread = held.join(ends, "token").where("ball <> other").withColumn("k", crowd).where(F.col("k") <= PIVOTS)
-    spread = spread.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    spread = scratch(measure(_matching(spread, signatures, threshold), texts).where("linked"), "spread", folder)
-    links = star.select("a", "b").unionByName(spread.select("a", "b"))
+    known = star.select("a", "b", "dist")
+    shared = scratch(shared.select("node", "token"), "held", folder)
+    links = star.select("a", "b")
     links = links.unionByName(scratch(given, "given", folder)) if given is not None else links
-    found = scratch(connected_components(links).withColumnRenamed("component", "group"), "found", folder)
+    grouped = lambda: scratch(connected_components(links).withColumnRenamed("component", "group"), "found", folder)
+    found = grouped()
+    for turn in range(TURNS):
+        crowd = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)) if turn else F.desc("n"), "token"))
+        now = shared.join(found, "node", "left").select("node", "token", F.coalesce("group", "node").alias("group"))
+        low = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node", "group"))
+        ends = now.groupBy("token").agg(low.alias("p"), F.min("group").alias("first"), F.max("group").alias("last"), F.count("*").alias("n")).where((F.col("first") != F.col("last")) & (F.col("n") > HOT))
+        ends = ends.select("token", F.col("p.node").alias("pivot"), F.col("p.group").alias("other"), "n")
+        spread = now.join(ends, "token").where("group <> other").withColumn("k", crowd).where(F.col("k") <= PIVOTS)
+        spread = spread.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        spread = scratch(measure(_matching(spread, signatures, threshold), texts).where("linked"), "spread", folder)
+        if spread.isEmpty():
+            break
+        known = known.unionByName(spread.select("a", "b", "dist"))
+        links = links.unionByName(spread.select("a", "b"))
+        found = grouped()
+    balls = scratch(_balls(known), "balls", folder)
+    held = scratch(shared.join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held", folder)
 
     posted = held.join(found, "node", "left").select("token", "ball", F.coalesce("group", "node").alias("group")).distinct()
     df = posted.groupBy("token").agg(F.count("*").alias("df"), F.min("group").alias("first"), F.max("group").alias("last")).where("first <> last").select("token", "df")
@@ -193,6 +214,13 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
         ends = open_.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
         member = balls.select("node", "ball").join(ends, "ball").select("node").unionByName(ends.select(F.col("ball").alias("node"))).distinct()
         member = member.join(found, "node", "left").select("node", F.col("node").alias("ball"), F.coalesce("component", "node").alias("group"))
-        inner = scratch(measure(_rare_pairs(scratch(member, "members", folder), texts, folder).distinct(), texts).where("linked").select("a", "b"), "inner", folder)
+        member = scratch(member, "members", folder)
+        # by the triangle inequality, what a pair's distances to its centres leave
+        off = scratch(member.select("node").join(balls, "node", "left").select("node", F.coalesce("ball", "node").alias("ball"), F.coalesce("dist", F.lit(0.0)).alias("off")), "off", folder)
+        oa, ob = off.toDF("a", "ball_a", "off_a"), off.toDF("b", "ball_b", "off_b")
+        centre = open_.toDF("low", "high", "dist")
+        near = _rare_pairs(member, texts, folder).distinct().join(oa, "a").join(ob, "b")
+        near = near.join(centre, F.expr("low = least(ball_a, ball_b) and high = greatest(ball_a, ball_b) and dist <= 0.25 + off_a + off_b + 1e-9"), "left_semi")
+        inner = scratch(measure(near.select("a", "b"), texts).where("linked").select("a", "b"), "inner", folder)
         links = links.unionByName(inner)
     return connected_components(links)
