@@ -10,7 +10,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from ._shared import hash_sample
+
+#: The kinds of the base rules in their order, then those that are only proposed.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base rules, possessive where the next character can't be one of the run, so that no run is read twice; a
 #: lookbehind stands for the leftmost start of a run, \G for the end of the match before.
 BASE = {
@@ -19,24 +22,32 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Printable ASCII without quotes, commas and semicolons.
+_VALUE = r"[!#-&(-+\x2D-:<-~]"
 #: High-recall generators beside the base rules: spelled-out addresses, bracketed dots, dotted or slashed groups of
-#: digits, numbers without a country code. They propose, the trees decide.
+#: digits, numbers without a country code; for secrets, whatever is assigned (after = or :), and runs of letters and digits
+#: of 20 to 256 characters. They propose, the trees decide.
 PROPOSED = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}+){1,4}",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}+(?:[./_][0-9]{4}+){3}(?:[./_][0-9]{1,3}+)?(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}+\)?[ ./-]{1,2}+[0-9]{2,4}+[ ./-][0-9]{2,4}+(?:[ ./-][0-9]{2,4}+)?(?![0-9A-Za-z])",
+    "secret": rf"""(?:(?<=[:=])|(?<=[:=] )|(?<=[:=]["'])|(?<=[:=] ["'])){_VALUE}{{6,256}}+(?!{_VALUE})|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{20,256}}+={{0,2}}+(?![A-Za-z0-9+/_=-])""",
 }
 _HINTS = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|courriel|correo)\W*\w*\W*$",
     "ip": r"(?i)(?:\bip|host|server|addr\w*|from|login)\W*\w*\W*$",
     "card": r"(?i)(?:card|visa|master\w*|amex|pay\w*|karte|carte|tarjeta)\W*\w*\W*$",
     "phone": r"(?i)(?:phone|tel\w*|call|fax|mobile|cell|ring|handy)\W*\w*\W*$",
+    "secret": r"(?i)(?:token|secret|passw\w*|passphrase|pwd|key|credential\w*|auth\w*|bearer)\W*(?:id|is|value)?\W*$",
 }
-_AGAINST = r"(?i)(?:order|invoice|version|\bver|\bv|isbn|ref|\bid|date|section|chapter|page|build|part|no)\W*$"
+_AGAINST = r"(?i)(?:order|invoice|version|\bver|\bv|isbn|ref|\bid|date|section|chapter|page|build|part|no|commit|sha-?[0-9]*|md5|checksum|digest|hash|etag|rev\w*)\W*$"
 _DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:19|20)[0-9]{2})$"
+_ASSIGNED = r"[:=] ?[\x22']?$"
 #: Candidates to learn from, share of them that calibrates, precision that a threshold must reach, trees, depth.
-TRAIN, CALIBRATE, PRECISION, TREES, DEPTH = 3000, 4, 0.95, 6, 3
+TRAIN, CALIBRATE, PRECISION, TREES, DEPTH = 6000, 4, 0.95, 10, 4
+#: Documents, about, of which each lends a candidate to learn from what stands around it.
+CONTEXTS = 1000
 BEFORE, AFTER = 24, 8
 #: Matches whose places are summed up at a time.
 RUN = 128
@@ -97,7 +108,7 @@ def base_spans(text: Column) -> Column:
         "phone": lambda x: F.char_length(x.d).between(9, 15),
     }
     parts = []
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(BASE):
         found = matches(text, BASE[kind])
         if kind in ("card", "phone"):
             found = F.transform(found, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), _digits(x.m).alias("d")))
@@ -135,6 +146,10 @@ def features(c: Column) -> dict[str, Column]:
         "luhn": flag(luhn(F.concat(F.lit("0"), _digits(c.m)))),
         "hint": flag(hint),
         "against": flag(F.regexp_like(c.before, F.lit(_AGAINST))),
+        "assigned": flag(F.regexp_like(c.before, F.lit(_ASSIGNED))),
+        "hex": flag(F.regexp_like(c.m, F.lit("^[0-9A-Fa-f]{16,}$"))),
+        "classes": sum(flag(F.regexp_like(c.m, F.lit(x))) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[!#-&*+=?@^~]")),
+        "distinct": F.size(F.array_distinct(F.split(c.m, ""))).cast("double"),
         "touches": flag(F.regexp_like(c.after, F.lit(r"^[A-Za-z0-9%$€]"))),
     }
 
@@ -147,8 +162,20 @@ def _number(h: Column, salt: int, low: int, high: int) -> Column:
     return (F.lit(low) + F.pmod(F.xxhash64(h, F.lit(salt)), F.lit(high - low + 1))).cast("string")
 
 
-def examples(spark: SparkSession, n: int = TRAIN) -> DataFrame:
-    """kind, m, before, after, label: n candidates drawn from templates of personal data and of look-alikes."""
+def contexts(docs: DataFrame, n: int = CONTEXTS) -> DataFrame:
+    """One row, around: array<struct<left, right>>, the words before and after a place in each of n documents (2 * n at most)."""
+    texts = hash_sample(docs.select(F.col("text").cast("string").alias("text")).where(r"text rlike '\\s'"), "text", n)
+    at = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.char_length("text") - 40, F.lit(1))).cast("int")
+    window = texts.select(F.substr("text", at + 1, F.lit(32)).alias("left"), F.substr("text", at + 33, F.lit(AFTER)).alias("right"))
+    pair = F.struct(F.regexp_extract("left", r"(?s)^(.*)\s", 1).alias("left"), F.regexp_replace("right", r"^\S*\s*", "").alias("right"))
+    return window.agg(F.array_sort(F.collect_set(pair)).alias("around"))  # short strings of a bounded sample
+
+
+def examples(spark: SparkSession, n: int = TRAIN, docs: DataFrame | None = None) -> DataFrame:
+    """kind, m, before, after, label: n candidates, personal data and look-alikes drawn from templates.
+
+    Given docs, they stand where contexts() found places, between the words of the corpus.
+    """
     h = F.col("id")
     num = lambda salt, low, high: _number(h, salt, low, high)
     quad = lambda salt, sep: F.call_function("concat_ws", F.lit(sep), *[F.lpad(num(salt + i, 0, 9999), 4, "0") for i in range(4)])
@@ -161,9 +188,14 @@ def examples(spark: SparkSession, n: int = TRAIN) -> DataFrame:
     card = F.call_function("concat_ws", dotted, *[F.substr(valid, F.lit(1 + 4 * i), F.lit(4)) for i in range(4)])
     mark = _pick(h, 6, ["[.]", "(.)"])
     # (kind, positive, text, words before it)
-    hints = {0: ["e-mail: ", "contact me at ", "mail ", ""], 1: ["host ", "ip address ", "login from ", ""], 2: ["card ", "visa no. ", "paid by card ", ""], 3: ["phone: ", "call ", "tel. ", "fax "]}
+    hints = {0: ["e-mail: ", "contact me at ", "mail ", ""], 1: ["host ", "ip address ", "login from ", ""], 2: ["card ", "visa no. ", "paid by card ", ""], 3: ["phone: ", "call ", "tel. ", "fax "], 4: ['token = "', "api_key=", "password: ", "SECRET='", "client_secret: ", 'access key: "', "Authorization: Bearer ", "pwd="]}
     plain = ["the ", "of ", "and then ", "value "]
     against = ["order ", "version ", "ref ", "section ", "date ", "id "]
+    code = F.sha1(h.cast("string"))
+    mixed = F.base64(F.unhex(F.substr(code, F.lit(1), F.lit(36))))
+    word = _pick(h, 13, ["required", "string", "changed", "unknown", "something", "another", "enabled", "documents"])
+    named = ["title: ", "note: ", "lang=", "see: ", "size = ", 'name="']
+    sums = ["commit ", "sha1: ", "md5=", "checksum ", 'etag: "', "hash = ", "revision "]
     forms = [
         (0, 1, F.concat(name, _pick(h, 7, [" (at) ", "[at]", " [at] ", "(at)"]), host, _pick(h, 8, [" (dot) ", "[dot]", "."]), top), hints[0]),
         (0, 1, F.concat(name, F.lit(" at "), host, F.lit(" dot "), top), hints[0]),
@@ -177,10 +209,33 @@ def examples(spark: SparkSession, n: int = TRAIN) -> DataFrame:
         (3, 0, F.call_function("concat_ws", sep, num(56, 1990, 2030), F.lpad(num(57, 1, 12), 2, "0"), F.lpad(num(58, 1, 28), 2, "0")), plain + against),
         (3, 0, F.call_function("concat_ws", sep, num(59, 10, 99), num(60, 10, 999), num(61, 10, 999)), plain + against),
         (3, 0, F.call_function("concat_ws", sep, num(62, 201, 989), num(63, 200, 999), F.lpad(num(64, 0, 9999), 4, "0")), against),
+        (4, 1, code, hints[4]),
+        (4, 1, F.upper(F.substr(code, F.lit(1), F.lit(32))), hints[4]),
+        (4, 1, mixed, hints[4]),
+        (4, 1, F.concat(_pick(h, 14, ["sk_live_", "ghp_", "AKIA", "xoxb-"]), F.substr(F.regexp_replace(mixed, "[^A-Za-z0-9]", "x"), F.lit(1), F.lit(20))), hints[4] + plain),
+        (4, 1, F.concat(F.initcap(word), num(15, 1, 9999), _pick(h, 16, ["!", "#", "$", "?", ""])), hints[4]),
+        (4, 0, word, hints[4] + named),
+        (4, 0, code, sums),
+        (4, 0, F.concat(quad(41, ""), num(42, 0, 9999)), plain + against + named),
+        (4, 0, F.concat(F.lit("//"), host, F.lit("."), top, F.lit("/"), word, num(43, 1, 99)), ["http:", "see https:"]),
+        (4, 0, F.concat(num(44, 10, 59), F.lit(":"), num(45, 10, 59), F.lit("."), num(46, 100, 999)), ["at 12:", "time=09:"]),
+        (4, 0, F.concat(word, F.lit("-"), _pick(h, 17, ["chapter", "section", "version", "module"]), F.lit("/"), word, num(47, 1, 99)), plain + named),
+        (4, 0, F.concat(word, word, word, num(48, 1, 9)), plain),
     ]
     which = F.pmod(F.xxhash64(h, F.lit(99)), F.lit(len(forms)))
     made = [F.struct(F.lit(k).alias("kind"), text.alias("m"), _pick(h, 70 + i, words).alias("before"), F.lit(y).alias("label")) for i, (k, y, text, words) in enumerate(forms)]
-    return spark.range(n, numPartitions=2).select(F.element_at(F.array(*made), (which + 1).cast("int")).alias("c"), "id").select("c.*", "id", _pick(h, 98, [" ", ".", ",", " and", "%"]).alias("after"))
+    closing = F.when(F.col("before").rlike("[\\x22']$"), F.substr("before", F.lit(-1))).otherwise("")
+    rows = spark.range(n, numPartitions=2).select(F.element_at(F.array(*made), (which + 1).cast("int")).alias("c"), "id").select("c.*", "id")
+    rows = rows.withColumn("after", F.concat(closing, _pick(h, 98, [" ", ".", ",", " and", "%"])))
+    if docs is None:
+        return rows
+    place = F.get("around", F.pmod(F.xxhash64("id", F.lit(97)), F.greatest(F.size("around"), F.lit(1))).cast("int"))
+    rows = rows.crossJoin(F.broadcast(contexts(docs))).withColumn("place", place)  # of one row
+    left, right = (F.coalesce(F.col(f"place.{side}"), F.lit("")) for side in ("left", "right"))
+    # a word that says nothing gives way to the words of the corpus
+    own = F.when(F.col("before").isin(plain), F.lit("")).otherwise(F.col("before"))
+    before, after = F.concat(left, F.lit(" "), own), F.concat("after", F.lit(" "), right)
+    return rows.select("kind", "m", F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"), "label", "id")
 
 
 @dataclass
@@ -215,9 +270,12 @@ def _tree(lines: list[str]) -> object:
     return (int(feature), float(limit), low, _tree(lines))
 
 
-def train(spark: SparkSession, n: int = TRAIN) -> Judge:
-    """Fit the trees on three quarters of examples(n), and on the rest the least score of PRECISION for each kind."""
-    rows = examples(spark, n)
+def train(spark: SparkSession, docs: DataFrame | None = None, n: int = TRAIN) -> Judge:
+    """Fit the trees on three quarters of n examples(), and on the rest the least score of PRECISION for each kind.
+
+    docs(text), if given, lend the contexts of the examples, from a sample of bounded size.
+    """
+    rows = examples(spark, n, docs)
     f = features(F.struct("kind", "m", "before", "after"))
     rows = rows.select("id", "label", *[c.alias(k) for k, c in f.items()])
     rows = VectorAssembler(inputCols=[*f], outputCol="x").transform(rows).persist()

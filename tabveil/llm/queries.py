@@ -40,9 +40,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
-    counts = [F.size(F.filter("pii_base", lambda x: x.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(spark, docs))
+    counts = [F.size(F.filter("pii_base", lambda x: x.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
