@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows the new text."""
-    return pii.redact(docs, pii.train(spark)).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs, pii.train(spark, docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
