@@ -113,15 +113,15 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.transform(in_batches, _signed(least_words), "doc_id long, paragraph long, start long, end long, n_words long, node long, tokens array<long>")
-    found = scratch(found, "paragraphs")
+    found = scratch(found.withColumn("row", F.monotonically_increasing_id()), "paragraphs")  # tells occurrences apart that are alike
     signatures = scratch(found.select("node", "tokens").dropDuplicates(["node"]), "classes")
     lines = docs.select("text").transform(in_batches, _texts(least_words), "node long, text string")
     linked = linked_components(signatures, lambda nodes: lines.join(nodes, "node", "left_semi").dropDuplicates(["node"]), 1)
     rows = found.drop("tokens").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place = F.struct("doc_id", "paragraph", "start")
+    place = F.struct("doc_id", "paragraph", "start", "row")
     clusters = scratch(rows.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1"), "clusters")
     rows = rows.join(clusters, "component")
-    kept = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.paragraph") == F.col("paragraph"))
+    kept = F.col("keeper.row") == F.col("row")
     return rows.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.paragraph").alias("keeper_paragraph"), kept.alias("kept"))
 
 

@@ -130,3 +130,12 @@ def test_spans_edges(spark):
     got = sorted(((r.doc_id or 0), r.keeper_doc_id, r.kept) for r in repeated_spans(df).collect())
     assert got == [(0, None, True), (1, None, False)]
     assert repeated_spans(df.limit(0)).collect() == []
+
+
+def test_one_keeper_among_rows_that_are_alike(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), (None, text), (7, text), (7, text), (8, text + " x")]
+    kept = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 5 and [r.doc_id for r in kept if r.kept] == [None]
+    kept = repeated_passages(spark.createDataFrame(rows[2:], "doc_id long, text string")).collect()
+    assert len(kept) == 3 and [r.doc_id for r in kept if r.kept] == [7]
