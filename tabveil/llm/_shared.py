@@ -20,6 +20,8 @@ SHINGLE = 5
 PASS_BYTES = 1 << 18
 #: Rows and bytes of a batch that a Python task gets at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: Deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER_LUT = np.frombuffer(_LOWER, dtype=np.uint8)
@@ -44,10 +46,18 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and lost executors lose nothing.
 
-    Give the folder of a room() for what is needed only until that room ends.
+    Give the folder of a room() for what is needed only until that room ends. The shuffle files of the write go when it
+    ends: Spark keeps them otherwise until the driver's garbage collection finds them unused, and operators of many
+    short jobs pile them up.
     """
     path = f"{folder or scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

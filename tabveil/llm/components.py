@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._shared import room, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    low = F.least(F.min("v").over(Window.partitionBy("u")), "u")
+    return both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    low = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
-def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node points at one other at most, and no node that points is pointed at: further rounds change nothing."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))
+    moving = ends.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.count_if(F.col("to").isNull()).alias("into")).where("low <> high or low is not null and into > 0")
+    return moving.agg(F.count("*")).first()[0] == 0
+
+
+def connected_components(links: DataFrame, max_rounds: int = 100, folder: str | None = None) -> DataFrame:
     """(node, component) for each node of links(a, b); component is the smallest node that is reachable.
 
     Edges are rewritten until each node points at its component's smallest one (Kiveris and others,
-    2014), in rounds that grow with the logarithm of the nodes; more than max_rounds is an error. All state is a
-    table in the shared folder; the driver sees two numbers a round. Self-links and null ends are ignored; repeated
-    links count once; an empty table gives an empty table.
+    2014), in rounds that grow with the logarithm of the nodes and take two shuffles of the edges, whose number never
+    grows; more than max_rounds is an error. All state is a table in the shared folder; the driver sees one number a round.
+    Self-links and null ends are ignored; repeated links count once; an empty table gives an empty table. Give the folder of
+    a room() if the result is needed only until that room ends.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
-    with room(spark) as folder:
-        edges = scratch(edges, "edges", folder)
-        seen = None
+    with room(spark) as own:
+        edges = scratch(edges, "edges", own)
         for _ in range(max_rounds):
-            edges = scratch(_small_star(_large_star(edges)), "edges", folder)
-            mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-            if mark == seen:
+            edges = scratch(_small_star(_large_star(edges)), "edges", own)
+            if _settled(edges):
                 break
-            seen = mark
         else:
             raise RuntimeError(f"the components were not settled after {max_rounds} rounds")
-        edges = scratch(edges, "components")
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+        return scratch(pairs.unionByName(roots).distinct(), "components", folder)

@@ -120,6 +120,11 @@ def _balls(known: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("m", "b", "dist")).alias("top")).select("node", F.col("top.b").alias("ball"), F.col("top.dist").alias("dist"))
 
 
+def _star_of(found: DataFrame) -> DataFrame:
+    """(a, b): found(node, group) as links, fewer and flatter than those it was found from."""
+    return found.where(F.col("node") != F.col("group")).select(F.col("node").alias("a"), F.col("group").alias("b"))
+
+
 def linked_components(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: int, given: DataFrame | None = None) -> DataFrame:
     """(node, component) of all nodes that have a link of 0.75 Jaccard similarity or more.
 
@@ -166,8 +171,7 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
     shared = scratch(shared.select("node", "token"), "held", folder)
     links = star.select("a", "b")
     links = links.unionByName(scratch(given, "given", folder)) if given is not None else links
-    grouped = lambda: scratch(connected_components(links).withColumnRenamed("component", "group"), "found", folder)
-    found = grouped()
+    found = connected_components(links, folder=folder).withColumnRenamed("component", "group")
     for turn in range(TURNS):
         crowd = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)) if turn else F.desc("n"), "token"))
         now = shared.join(found, "node", "left").select("node", "token", F.coalesce("group", "node").alias("group"))
@@ -180,8 +184,9 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
         if spread.isEmpty():
             break
         known = known.unionByName(spread.select("a", "b", "dist"))
-        links = links.unionByName(spread.select("a", "b"))
-        found = grouped()
+        links = _star_of(found).unionByName(spread.select("a", "b"))
+        found = connected_components(links, folder=folder).withColumnRenamed("component", "group")
+    links = _star_of(found)
     balls = scratch(_balls(known), "balls", folder)
     held = scratch(shared.join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held", folder)
 
@@ -208,7 +213,7 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
     open_ = centres.where("not linked").join(ra, "a", "left").join(rb, "b", "left").where("(ra is not null or rb is not null) and dist <= 0.25 + coalesce(ra, 0) + coalesce(rb, 0) + 1e-9")
     open_ = scratch(open_.select("a", "b", "dist"), "open", folder)
     if not open_.isEmpty():
-        found = connected_components(links)
+        found = connected_components(links, folder=folder)
         ca, cb = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         open_ = open_.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "dist")
         ends = open_.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
