@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._shared import hash_sample
+from ._shared import give_back, hash_sample
 
 #: The kinds of the base rules in their order, then those that are only proposed.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -181,11 +181,11 @@ def examples(spark: SparkSession, n: int = TRAIN, docs: DataFrame | None = None)
     quad = lambda salt, sep: F.call_function("concat_ws", F.lit(sep), *[F.lpad(num(salt + i, 0, 9999), 4, "0") for i in range(4)])
     name, host, top = _pick(h, 1, ["ann", "j.doe", "info", "max_m", "sales", "li99"]), _pick(h, 2, ["example", "mail5", "acme", "uni-x"]), _pick(h, 3, ["com", "org", "de", "net", "fr"])
     sep = _pick(h, 4, ["-", " ", ".", "/"])
-    digits = quad(20, "")
+    digits = F.col("digits")
     check = F.pmod(10 - F.aggregate(F.sequence(F.lit(0), F.lit(14)), F.lit(0), lambda t, i: t + F.when(i % 2 == 1, F.substr(digits, 15 - i, F.lit(1)).cast("int")).when(F.substr(digits, 15 - i, F.lit(1)).cast("int") > 4, 2 * F.substr(digits, 15 - i, F.lit(1)).cast("int") - 9).otherwise(2 * F.substr(digits, 15 - i, F.lit(1)).cast("int"))) % 10, F.lit(10))
     valid = F.concat(F.substr(digits, F.lit(1), F.lit(15)), check.cast("string"))
     dotted = _pick(h, 5, [".", "/", "_"])
-    card = F.call_function("concat_ws", dotted, *[F.substr(valid, F.lit(1 + 4 * i), F.lit(4)) for i in range(4)])
+    card = F.call_function("concat_ws", dotted, *[F.substr("valid", F.lit(1 + 4 * i), F.lit(4)) for i in range(4)])
     mark = _pick(h, 6, ["[.]", "(.)"])
     # (kind, positive, text, words before it)
     hints = {0: ["e-mail: ", "contact me at ", "mail ", ""], 1: ["host ", "ip address ", "login from ", ""], 2: ["card ", "visa no. ", "paid by card ", ""], 3: ["phone: ", "call ", "tel. ", "fax "], 4: ['token = "', "api_key=", "password: ", "SECRET='", "client_secret: ", 'access key: "', "Authorization: Bearer ", "pwd="]}
@@ -225,7 +225,9 @@ def examples(spark: SparkSession, n: int = TRAIN, docs: DataFrame | None = None)
     which = F.pmod(F.xxhash64(h, F.lit(99)), F.lit(len(forms)))
     made = [F.struct(F.lit(k).alias("kind"), text.alias("m"), _pick(h, 70 + i, words).alias("before"), F.lit(y).alias("label")) for i, (k, y, text, words) in enumerate(forms)]
     closing = F.when(F.col("before").rlike("[\\x22']$"), F.substr("before", F.lit(-1))).otherwise("")
-    rows = spark.range(n, numPartitions=2).select(F.element_at(F.array(*made), (which + 1).cast("int")).alias("c"), "id").select("c.*", "id")
+    # columns of their own, as each place that reads them would hold them whole in the plan otherwise
+    rows = spark.range(n, numPartitions=2).withColumn("digits", quad(20, "")).withColumn("valid", valid)
+    rows = rows.select(F.element_at(F.array(*made), (which + 1).cast("int")).alias("c"), "id").select("c.*", "id")
     rows = rows.withColumn("after", F.concat(closing, _pick(h, 98, [" ", ".", ",", " and", "%"])))
     if docs is None:
         return rows
@@ -275,6 +277,7 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = TRAIN) ->
 
     docs(text), if given, lend the contexts of the examples, from a sample of bounded size.
     """
+    give_back(spark)
     rows = examples(spark, n, docs)
     f = features(F.struct("kind", "m", "before", "after"))
     rows = rows.select("id", "label", *[c.alias(k) for k, c in f.items()])
@@ -285,6 +288,7 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = TRAIN) ->
     held = rows.where(f"id % {CALIBRATE} = 0").select(F.col("kind").cast("int").alias("kind"), F.round(judge.score({k: F.col(k) for k in f}), 6).alias("p"), "label")
     steps = held.groupBy("kind", "p").agg(F.sum("label").alias("yes"), F.count("*").alias("all")).orderBy("kind", F.desc("p")).collect()
     rows.unpersist()
+    give_back(spark)
     for k in range(len(KINDS)):
         yes = every = 0
         least = 2.0  # no score reaches it

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabveil.llm import chat, containment, language_id, neighbours, pii, queries, toxicity
+from tabveil.llm import _shared, chat, containment, language_id, neighbours, pii, queries, toxicity
 from tabveil.llm._shared import shingles_of
 
 from test_near_dedup import brute_force
@@ -135,6 +135,25 @@ def test_personal_data(spark, judge):
     assert pii.find(df.limit(0), judge).collect() == []
 
 
+def test_the_driver_gives_back_what_it_freed(spark, monkeypatch):
+    assert _shared.give_back(spark)
+    calls = []
+    monkeypatch.setattr(_shared, "give_back", calls.append)
+    monkeypatch.setattr(pii, "give_back", calls.append)
+    with _shared.room(spark):
+        assert not calls
+    assert calls == [spark]
+    pii.train(spark, n=600)
+    assert calls == [spark] * 3
+
+
+def test_the_plan_of_the_examples_holds_their_digits_once(spark):
+    rows = pii.examples(spark, 480)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lpad(") <= 20
+    cards = [r.m for r in rows.where("kind = 2 and label = 1").collect()]
+    assert cards and all(base(re.sub("[^0-9]", "", m)).startswith("card:0:16") for m in cards)
+
+
 def test_chat_round_trip_and_machine(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, "x<<TEXT>>\ny"), (2, 1, "tool=<<TEXT>>", None), (2, 2, "null", "a␛1b␛0<<<SYS>>"), (2, 3, "assistant", " lead </s>\n"), (None, None, "user", ""), (3, 0, "assistant", "[[INST]]"), (3, 0, "assistant", "[[INST]]"), (4, 1, "user", "b" * 100_000), (4, 0, "system", "s"), (4, 2, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit(0))
