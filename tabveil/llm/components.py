@@ -8,7 +8,7 @@ from ._shared import room, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     low = F.least(F.min("v").over(Window.partitionBy("u")), "u")
     return both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -25,6 +25,15 @@ def _settled(edges: DataFrame) -> bool:
     return moving.agg(F.count("*")).first()[0] == 0
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v")
+
+
+def flatter(links: DataFrame) -> DataFrame:
+    """(a, b), a > b: one round on links(a, b), with the same components; for uses that need no more than nodes known to be linked."""
+    return _small_star(_large_star(_edges(links))).toDF("a", "b")
+
+
 def connected_components(links: DataFrame, max_rounds: int = 100, folder: str | None = None) -> DataFrame:
     """(node, component) for each node of links(a, b); component is the smallest node that is reachable.
 
@@ -32,18 +41,17 @@ def connected_components(links: DataFrame, max_rounds: int = 100, folder: str |
     2014), in rounds that grow with the logarithm of the nodes and take two shuffles of the edges, whose number never
     grows; more than max_rounds is an error. All state is a table in the shared folder; the driver sees one number a round.
     Self-links and null ends are ignored; repeated links count once; an empty table gives an empty table. Give the folder of
-    a room() if the result is needed only until that room ends.
+    a room() if the result is needed only until that room ends: the settled edges stay there, and the result is read from them.
     """
-    spark = links.sparkSession
-    edges = links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
-    with room(spark) as own:
-        edges = scratch(edges, "edges", own)
-        for _ in range(max_rounds):
-            edges = scratch(_small_star(_large_star(edges)), "edges", own)
-            if _settled(edges):
-                break
-        else:
-            raise RuntimeError(f"the components were not settled after {max_rounds} rounds")
-        pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
-        return scratch(pairs.unionByName(roots).distinct(), "components", folder)
+    if folder is None:
+        with room(links.sparkSession) as own:
+            return scratch(connected_components(links, max_rounds, own), "components")
+    edges = _edges(links).distinct()
+    for _ in range(max_rounds):
+        edges = scratch(_small_star(_large_star(edges)), "edges", folder)
+        if _settled(edges):
+            break
+    else:
+        raise RuntimeError(f"the components were not settled after {max_rounds} rounds")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("component"))
+    return ends.groupBy("node").agg(F.min("component").alias("component"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._shared import batches, in_batches, passes, room, scratch, shingle_hashes, shingles_of
-from .components import connected_components
+from .components import connected_components, flatter
 
 
 #: Balls that share a token at most before their pairs must also share a rare shingle.
@@ -94,7 +94,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """
     rows = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").transform(in_batches, _shingled, "node long, shingle long")
     rows = scratch(rows, "shingles", folder)
-    maps = scratch(_maps(members, rows), "maps", folder)
+    maps = _maps(members, rows)
     df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     own = Window.partitionBy("node")
     rows = rows.join(df, "shingle").withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "shingle")))
@@ -135,7 +135,8 @@ def linked_components(signatures: DataFrame, texts: Callable[[DataFrame], DataFr
     1. Star pass: each node is measured against one pivot, the smallest node that shares its most frequent
        token. A group of n near copies costs n pairs, not n * n.
     2. Spread pass, in TURNS turns: each node is measured against the pivots of PIVOTS of its tokens (the most
-       crowded, in later turns any) whose pivots are in other components by then. Each token and turn chooses its
+       crowded, in later turns any) whose pivots aren't known to be in its component by then; the links so far go through
+       one round of contraction a turn, and are contracted to the end after the last turn. Each token and turn chooses its
        pivot by a hash of its own, so large parts of one group are merged by some pair of them, and most copies
        that are too far from the first pivot join their group, at a number of pairs in proportion to the nodes. Of
        the nodes that it was found linked to, each then joins the ball of the one with the most links, unless it has
@@ -158,9 +159,10 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
     postings = signatures.select("node", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = scratch(postings.join(counts, "token"), "shared", folder)
-    taking = scratch(shared.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("node"), "taking", folder)
+    enough = shared.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    signatures = scratch(signatures.join(enough, "node", "left_semi"), "signatures", folder)
+    taking = signatures.select("node")
     shared = shared.join(taking, "node", "left_semi")
-    signatures = scratch(signatures.join(taking, "node", "left_semi"), "signatures", folder)
     texts = scratch(texts_of(taking), "texts", folder)
 
     hottest = shared.groupBy("node").agg(F.max(F.struct("c", "token")).alias("top")).select("node", F.col("top.token").alias("token"))
@@ -171,8 +173,9 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
     shared = scratch(shared.select("node", "token"), "held", folder)
     links = star.select("a", "b")
     links = links.unionByName(scratch(given, "given", folder)) if given is not None else links
-    found = connected_components(links, folder=folder).withColumnRenamed("component", "group")
     for turn in range(TURNS):
+        links = scratch(flatter(links), "flatter", folder)
+        found = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("group"))
         crowd = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)) if turn else F.desc("n"), "token"))
         now = shared.join(found, "node", "left").select("node", "token", F.coalesce("group", "node").alias("group"))
         low = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node", "group"))
@@ -184,8 +187,8 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
         if spread.isEmpty():
             break
         known = known.unionByName(spread.select("a", "b", "dist"))
-        links = _star_of(found).unionByName(spread.select("a", "b"))
-        found = connected_components(links, folder=folder).withColumnRenamed("component", "group")
+        links = links.unionByName(spread.select("a", "b"))
+    found = connected_components(links, folder=folder).withColumnRenamed("component", "group")
     links = _star_of(found)
     balls = scratch(_balls(known), "balls", folder)
     held = scratch(shared.join(balls.select("node", "ball"), "node", "left").select("node", "token", F.coalesce("ball", "node").alias("ball")), "held", folder)
@@ -227,5 +230,7 @@ def _linked(signatures: DataFrame, texts_of: Callable[[DataFrame], DataFrame], t
         near = _rare_pairs(member, texts, folder).distinct().join(oa, "a").join(ob, "b")
         near = near.join(centre, F.expr("low = least(ball_a, ball_b) and high = greatest(ball_a, ball_b) and dist <= 0.25 + off_a + off_b + 1e-9"), "left_semi")
         inner = scratch(measure(near.select("a", "b"), texts).where("linked").select("a", "b"), "inner", folder)
-        links = links.unionByName(inner)
+        if inner.isEmpty():
+            return scratch(found, "components")
+        links = _star_of(found.withColumnRenamed("component", "group")).unionByName(inner)
     return connected_components(links)

@@ -60,12 +60,12 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = docs.select("doc_id", hashed.alias("text_hash"), "text").transform(in_batches, _signed, "doc_id long, text_hash long, n_shingles long, set_key binary, tokens array<long>")
     signed = scratch(signed, "signed")
     named = signed.where("set_key is not null and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id())
+    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "tokens")).alias("one"))
+    classes = classes.select("set_key", F.col("one.doc_id").alias("first"), "one.text_hash", "one.tokens").withColumn("node", F.monotonically_increasing_id())
     classes = scratch(classes, "classes")
-    shown = named.join(classes, "set_key").where("doc_id = first").select("node", "doc_id", "text_hash", "tokens").dropDuplicates(["node"])
-    shown = scratch(shown, "signatures")
+    shown = classes.select("node", F.col("first").alias("doc_id"), "text_hash", "tokens")
     of_id = named.select("doc_id", "set_key").groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("doc_id")
-    same = named.select("doc_id", "set_key").distinct().join(of_id, "doc_id").join(classes, "set_key").select("doc_id", "node")
+    same = named.select("doc_id", "set_key").distinct().join(of_id, "doc_id").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
     same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
 
     def texts(nodes: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return docs.select("doc_id", hashed.alias("text_hash"), "text").join(wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
 
     components = linked_components(shown.select("node", "tokens"), texts, MATCHES, same)
-    components = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    components = classes.select("set_key", "node", "first").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = components.groupBy("component").agg(F.min("first").alias("least"))
     return signed, components.join(least, "component").select("set_key", F.col("least").alias("component"))
 

@@ -4,8 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from tabveil.llm import components
 from tabveil.llm._shared import scratch
-from tabveil.llm.components import _large_star, _small_star, connected_components
+from tabveil.llm.components import _large_star, _small_star, connected_components, flatter
 
 
 def expected(links):
@@ -51,3 +52,18 @@ def test_a_scratch_table_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.5)
     assert not left and spark.conf.get(key) == setting and table.count() == 7
+
+
+def test_a_settled_star_takes_one_table(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "scratch", lambda df, label, folder=None: written.append(label) or scratch(df, label, folder))
+    links = [(i, 1) for i in range(2, 40)] + [(i, 1) for i in range(2, 9)]
+    got = connected_components(spark.createDataFrame(links, "a long, b long"), folder=str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == expected(links) and written == ["edges"]
+
+
+def test_one_round_keeps_the_components(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(5000, 5000), (None, 3)]
+    got = [tuple(r) for r in flatter(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert expected(got) == expected(links) and len(got) <= len(links) and all(a > b for a, b in got)

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from tabveil.llm import linking
 from tabveil.llm._shared import shingles_of
 from tabveil.llm.linking import _rare_pairs
 from tabveil.llm.near_dedup import deduplicate, near_duplicates
@@ -56,6 +57,22 @@ def test_chains_and_groups_of_near_copies(spark):
     assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
 
 
+def test_spread_turns_settle_no_components(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for i in range(150):  # variants of one text, half of the pairs too far from each other
+        own = [f"c{k}" for k in range(90)]
+        for k in rng.sample(range(90), rng.choice([1, 2, 3])):
+            own[k] = f"y{i}_{k}"
+        rows.append((i, " ".join(own)))
+    turns, settled = [], []
+    scratch, components = linking.scratch, linking.connected_components
+    monkeypatch.setattr(linking, "scratch", lambda df, label, folder=None: turns.append(label) or scratch(df, label, folder))
+    monkeypatch.setattr(linking, "connected_components", lambda *a, **b: settled.append(1) or components(*a, **b))
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
+    assert turns.count("spread") > 1 and len(settled) <= 3
+
+
 def test_a_common_passage_pairs_no_others(spark):
     rng = random.Random(9)
     words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
