@@ -78,9 +78,9 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = repeats.cut_repeats(_read(spark, sf_dir, "documents"))
+    cut = repeats.cut_repeats(_read(spark, sf_dir, "documents"), shorter=repeats.PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("n_shorter").alias("n_passage_bytes"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
