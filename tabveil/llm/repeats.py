@@ -160,15 +160,19 @@ def _search(texts: DataFrame, length: int, label: str, folder: str) -> DataFrame
     return gone.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))  # of one text
 
 
-def _merged(runs: list[dict] | None, length: int) -> list[list[int]]:
-    """The spans that strings of length bytes cover, one for each unbroken row of starts; spans may overlap."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or ()):
-        if out and lo <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [[lo, hi + length] for lo, hi in out]
+def _runs(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(lo, hi) of the runs of each row, none for null."""
+    lo, hi = (column.values.field(k).to_numpy() for k in ("lo", "hi"))
+    ends = column.offsets.to_pylist()
+    return [(lo[a:b], hi[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in order, merged where one begins at most gap after the end of those before."""
+    order = np.argsort(lo)
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    cut = lo[1:] > hi[:-1] + gap
+    return lo[np.concatenate([[True], cut])[: len(lo)]], hi[np.concatenate([cut, [True]])[: len(hi)]]
 
 
 def _pieces(shorter: int, length: int):
@@ -177,11 +181,12 @@ def _pieces(shorter: int, length: int):
     def run(rows):
         for batch in batches(rows, 200):
             out = []
-            for key, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _runs(batch.column(2)), strict=True):
                 raw = _raw(text)
-                for a, b in _merged(runs, shorter):
-                    if b - a >= length:
-                        out.append((xxhash.xxh3_128_digest(key + a.to_bytes(8, "little")), key, a, raw[a:b]))
+                lo, hi = _merged(*runs, 1)
+                hi += shorter
+                for a, b in zip(lo[hi - lo >= length].tolist(), hi[hi - lo >= length].tolist(), strict=True):
+                    out.append((xxhash.xxh3_128_digest(key + a.to_bytes(8, "little")), key, a, raw[a:b]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "whole", "at", "text"])
 
@@ -197,17 +202,12 @@ def _search_within(texts: DataFrame, found: DataFrame, shorter: int, length: int
     return moved.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone"))  # of one text
 
 
-def _covered(runs: list[dict] | None, copied: bool | None, size: int, length: int) -> list[list[int]]:
-    """The maximal spans of a text of size bytes that go."""
+def _covered(runs: tuple[np.ndarray, np.ndarray], copied: bool | None, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal spans of a text of size bytes that strings of length bytes cover."""
     if copied and size >= length:
-        return [[0, size]]
-    own: list[list[int]] = []
-    for a, b in _merged(runs, length):
-        if own and a <= own[-1][1]:
-            own[-1][1] = b
-        else:
-            own.append([a, b])
-    return own
+        return np.array([0]), np.array([size])
+    lo, hi = _merged(*runs, length)
+    return lo, hi + length
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -219,14 +219,18 @@ def _cut(length: int, shorter: int | None):
     def run(rows):
         for batch in batches(rows, 200):
             spans, kept, passages = [], [], []
-            columns = [batch.column(k).to_pylist() for k in (1, 3, 4, 5)]
+            columns = [batch.column(1).to_pylist(), batch.column(3).to_pylist(), _runs(batch.column(4)), _runs(batch.column(5))]
             for text, copied, runs, short in zip(*columns, strict=True):
                 raw = _raw(text)
-                own = _covered(runs, copied, len(raw), length)
+                own = list(zip(*(x.tolist() for x in _covered(runs, copied, len(raw), length)), strict=True))
                 spans.append([{"start": a, "end": b} for a, b in own])
                 ends = [0, *[x for s in own for x in s], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
-                passages.append(sum(b - a for a, b in _covered(short, copied, len(raw), shorter)) if shorter else None)
+                if shorter:
+                    a, b = _covered(short, copied, len(raw), shorter)
+                    passages.append(int((b - a).sum()))
+                else:
+                    passages.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, SPANS), pa.array(kept, pa.binary()), pa.array(passages, pa.int64())], ["doc_id", "n_bytes", "spans", "kept", "n_shorter"])
 
     return run
